@@ -67,9 +67,13 @@ class Model:
         return form
 
     def log_odds(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        return {head: np.clip(self.inputs(x, head) @ w, -20, 20) for head, w in self.weights.items()}
+
+    def inputs(self, x: np.ndarray, head: str) -> np.ndarray:
+        """Scaled features and their squares: toxicity is told from words alone, goodness from form as well."""
         z = np.clip((x - self.centre) / self.scale, -8, 8)
-        z = np.concatenate([z, z**2, np.ones((len(z), 1))], axis=1)
-        return {head: np.clip(z @ w, -20, 20) for head, w in self.weights.items()}
+        z = z[:, -3:] if head == "toxic" else z
+        return np.concatenate([z, z**2, np.ones((len(z), 1))], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
@@ -129,9 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, vocabulary
     got = sample.mapInArrow(features, "x array<double>, good int, toxic int").toArrow()
     x = np.array(got["x"].to_pylist())
     model.centre, model.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.clip((x - model.centre) / model.scale, -8, 8)
-    z = np.concatenate([z, z**2, np.ones((len(z), 1))], axis=1)
-    model.weights = {h: logistic(z, got[h].to_numpy().astype(float)) for h in _HEADS}
+    model.weights = {h: logistic(model.inputs(x, h), got[h].to_numpy().astype(float)) for h in _HEADS}
     return model
 
 
