@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, lines, neighbours, packing, quality, sharding
+from . import decontaminate, language, lines, neighbours, packing, quality, sharding, simhash
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("sig")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"), width=3, seed=42)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +45,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_packing, op5_line_dedup, op7_quality, op8_neighbours, op10_language)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_packing, op5_line_dedup, op7_quality, op8_neighbours, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
