@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import ranked, stored
 
 #: Words kept with their ids in each Python worker; the memory that a worker's cache takes is about 200 bytes a word.
 CACHED_WORDS = 200_000
@@ -165,7 +165,8 @@ def pack(docs: DataFrame, ranks_file: str, capacity: int = 2048, end_id: int = 0
 
     Takes columns doc_id and text; others are ignored. An empty table gives no rows.
     """
-    order = ranked(pieces(docs, ranks_file, capacity, end_id), ["length", "doc_id", "piece", "start", "ids_crc32"], "pieces")
+    cut = stored(pieces(docs, ranks_file, capacity, end_id), "cut-pieces")  # else drawing the range bounds tokenises everything once more
+    order = ranked(cut, ["length", "doc_id", "piece", "start", "ids_crc32"], "pieces")
     histogram = {r["length"]: r["n"] for r in order.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = plan(histogram, capacity)
     starts, total = {}, 0
