@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, lines, neighbours, packing, quality, sharding, simhash
+from . import decontaminate, language, lines, neighbours, packing, quality, recompression, sharding, simhash
 from .common import table
 
 
@@ -40,12 +40,16 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), query_every=50, k=5)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digest(table(spark, sf_dir, "documents"), length=50)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"), held_out_fold=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_packing, op5_line_dedup, op7_quality, op8_neighbours, op10_language)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_packing, op5_line_dedup, op7_quality, op8_neighbours, op9_substring_dedup, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
