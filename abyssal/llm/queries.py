@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, lines, neighbours, packing, quality, recompression, sharding, simhash
+from . import decontaminate, language, lines, neighbours, packing, quality, recompression, sharding, simhash, suffix
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"), length=100)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sig")
 
@@ -49,7 +53,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_packing, op5_line_dedup, op7_quality, op8_neighbours, op9_substring_dedup, op10_language)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_packing, op5_line_dedup, op6_suffix_dedup, op7_quality, op8_neighbours, op9_substring_dedup, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

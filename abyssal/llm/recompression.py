@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .repeats import BASES, REPEAT, Sums, Windows, _at, chunks, first_places, ids_back, mix, open_documents, removed, smallest, states
+from .repeats import BASES, Sums, Windows, ids_back, mix, removed, repeated_windows, smallest, states
 
 ROUNDS = 2
 #: Words of a window that stand before and after a shared sentinel, at least; together they make its key.
@@ -75,50 +74,6 @@ def sentinels(windows: Windows):
     return pick
 
 
-def repeated_windows(docs: DataFrame, marks: DataFrame, windows: Windows) -> DataFrame:
-    """Rows (doc, at) of the windows around open sentinels that an earlier document has."""
-    length = windows.length
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in chunks(batch, ["doc", "sig", "cover", "open"]):
-                words, counts = named([r[-1] for r in rows])
-                h1, h2 = (Sums(words, b).each(length) for b in BASES[:2])
-                found, base = [], 0
-                for (doc, sig, cover, open_, _), n in zip(rows, counts.tolist()):
-                    if n >= length:
-                        edge = np.zeros(n + 1, dtype=np.int64)
-                        p = np.array(open_, dtype=np.int64)
-                        a, b = np.maximum(p - windows.left, 0), np.minimum(p - windows.before, n - length) + 1
-                        ok = a < b
-                        np.add.at(edge, a[ok], 1)
-                        np.add.at(edge, b[ok], -1)
-                        want = np.cumsum(edge)[: n - length + 1] > 0
-                        for s, e in zip(cover[::2], cover[1::2]):
-                            want[s : max(s, min(e, n) - length + 1)] = False
-                        s = np.flatnonzero(want)
-                        found.append((h1[base + s], h2[base + s], np.full(len(s), doc), _at(np.full(len(s), sig), s, 0)))
-                    base += n
-                if found:
-                    a, b, doc, at = (np.concatenate(c) for c in zip(*found))
-                    order, repeat = first_places(a, b, doc, at, windows.within)
-                    a, b, doc, at = a[order], b[order], doc[order], at[order]
-                    a = np.where(repeat, mix(doc.view(np.uint64) + at.view(np.uint64)), a)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), doc, at | np.where(repeat, REPEAT, 0))], names=["h1", "h2", "doc", "at"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b[c].to_numpy() for c in ("h1", "h2", "doc", "at")] for b in batches]
-        if got:
-            a, b, doc, at = (np.concatenate(c) for c in zip(*got))
-            order, repeat = first_places(a, b, doc, at, windows.within)
-            doc, at = doc[order], at[order]
-            told = repeat | (at & 3 == REPEAT)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[told]), pa.array(at[told])], names=["doc", "at"])
-
-    rows = open_documents(docs, marks).mapInArrow(emit, "h1 long, h2 long, doc long, at long")
-    return stored(rows.repartition("h1").mapInArrow(meet, "doc long, at long"), "repeated-windows")
-
-
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept) of every document.
 
@@ -130,7 +85,8 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     windows = Windows(length, BESIDE, BESIDE, False)
     marks = states(docs, windows, sentinels(windows), "word-states")
-    gone = removed(docs, marks, repeated_windows(docs, marks, windows), length)
+    starts = repeated_windows(docs, marks, windows, named, F.concat("open", "hot"), "word-windows")
+    gone = removed(docs, marks, starts, length)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

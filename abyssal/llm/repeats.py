@@ -29,7 +29,9 @@ from .common import beside, stored
 
 #: Bytes of text that a task holds as arrays at a time; a longer document is held whole.
 CHUNK = 6 << 20
-OPEN, REPEAT = 1, 2
+OPEN, REPEAT, HOT = 1, 2, 3
+#: Contexts from which on a key counts as hot: its places are compared window by window.
+HOT_CONTEXTS = 4096
 _M32 = (1 << 32) - 1
 
 
@@ -125,7 +127,7 @@ def _at(sig: np.ndarray, pos: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
 
 
 def settle(key: np.ndarray, context: np.ndarray, doc: np.ndarray, at: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, context and place; which of the ordered rows repeat an earlier one; and whether a key has several contexts."""
+    """Order by key, context and place; which of the ordered rows repeat an earlier one; and how many contexts its key has."""
     order = np.lexsort((at, doc, context, key))
     k, c, d, a = key[order], context[order], doc[order], at[order]
     new_key = np.concatenate([[True], k[1:] != k[:-1]])
@@ -135,19 +137,19 @@ def settle(key: np.ndarray, context: np.ndarray, doc: np.ndarray, at: np.ndarray
     if within:
         repeat |= a != a[first]
     run = np.cumsum(new_key) - 1
-    several = np.bincount(run, new_class)[run] > 1
-    return order, repeat, several
+    return order, repeat, np.bincount(run, new_class)[run]
 
 
 Sentinels = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def states(docs: DataFrame, windows: Windows, sentinels: Sentinels, name: str) -> DataFrame:
-    """Rows (doc, sig, cover, open) of the documents with repeats or open sentinels.
+    """Rows (doc, sig, cover, open, hot) of the documents with repeats or open sentinels.
 
     ``sentinels`` gives for some texts the text, place, key and context hash of each
     sentinel. ``cover`` has the starts and ends of stretches made of repeats, in order;
-    ``open`` the places of sentinels around which windows must be compared in full.
+    ``open`` and ``hot`` the places of sentinels around which windows must be compared in
+    full, the latter with keys of very many contexts.
     """
     within = windows.within
 
@@ -170,9 +172,9 @@ def states(docs: DataFrame, windows: Windows, sentinels: Sentinels, name: str) -
         if got:
             key, context, doc, at = (np.concatenate(c) for c in zip(*got))
             del got
-            order, repeat, several = settle(key, context, doc, at, within)
+            order, repeat, contexts = settle(key, context, doc, at, within)
             doc, at = doc[order], at[order]
-            kind = np.where(repeat | (at & 3 == REPEAT), REPEAT, np.where(several, OPEN, 0))
+            kind = np.where(repeat | (at & 3 == REPEAT), REPEAT, np.where(contexts > HOT_CONTEXTS, HOT, np.where(contexts > 1, OPEN, 0)))
             told = kind > 0
             yield pa.RecordBatch.from_arrays([pa.array(doc[told]), pa.array((at[told] & ~3) | kind[told])], names=["doc", "at"])
 
@@ -186,18 +188,19 @@ def gathered(told: DataFrame, windows: Windows) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cover, open_ = [], []
+            cover, open_, hot = [], [], []
             for at in batch["at"]:
                 at = np.sort(at.values.to_numpy(zero_copy_only=False))
                 pos, kind = (at & _M32) >> 2, at & 3
                 p = pos[kind == REPEAT]
                 cover.append(union(np.maximum(p - windows.left, 0), p + windows.right))
                 open_.append(pos[kind == OPEN])
+                hot.append(pos[kind == HOT])
             ints = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc"], batch["sig"], pa.array(cover, ints), pa.array(open_, ints)], names=["doc", "sig", "cover", "open"])
+            yield pa.RecordBatch.from_arrays([batch["doc"], batch["sig"], *(pa.array(x, ints) for x in (cover, open_, hot))], names=["doc", "sig", "cover", "open", "hot"])
 
     grouped = told.groupBy("doc", F.shiftright("at", 32).alias("sig")).agg(F.collect_list("at").alias("at"))
-    return grouped.mapInArrow(merge, "doc long, sig long, cover array<bigint>, open array<bigint>")
+    return grouped.mapInArrow(merge, "doc long, sig long, cover array<bigint>, open array<bigint>, hot array<bigint>")
 
 
 def union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -210,10 +213,10 @@ def union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([start[new], reach[last]], axis=1).reshape(-1)
 
 
-def open_documents(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows (doc, sig, text, cover, open) of the documents with open sentinels."""
-    some = marks.where(F.size("open") > 0)
-    return beside(identified(docs), some, ["doc", "sig"], "inner", row_bytes=_bytes("cover", "open")).select("doc", "sig", "cover", "open", "text")
+def documents_with(docs: DataFrame, marks: DataFrame, places: Column) -> DataFrame:
+    """Rows (doc, sig, cover, places, text) of the documents with some of ``places`` in their marks."""
+    some = marks.select("doc", "sig", "cover", places.alias("places")).where(F.size("places") > 0)
+    return beside(identified(docs), some, ["doc", "sig"], "inner", row_bytes=_bytes("cover", "places")).select("doc", "sig", "cover", "places", "text")
 
 
 def _bytes(*arrays: str) -> Column:
@@ -248,7 +251,50 @@ def ids_back() -> Column:
     return F.when(F.col("doc") != F.lit(-(1 << 63)), F.col("doc"))
 
 
-def first_places(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by hash and place, and which of them repeat an earlier place of the same hashes."""
-    order, repeat, _ = settle(h1, h2, doc, at, within)
-    return order, repeat
+Units = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+
+
+def repeated_windows(docs: DataFrame, marks: DataFrame, windows: Windows, units: Units, places: Column, name: str) -> DataFrame:
+    """Rows (doc, at) of the windows around ``places`` that stand in an earlier place, by 128-bit hashes of whole windows.
+
+    ``units`` gives the hashed units of some texts one after another and their number in each.
+    """
+    length, columns = windows.length, ["h1", "h2", "doc", "at"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in chunks(batch, ["doc", "sig", "cover", "places"]):
+                values, counts = units([r[-1] for r in rows])
+                h1, h2 = (Sums(values, b).each(length) for b in BASES[:2])
+                found, base = [], 0
+                for (doc, sig, cover, near, _), n in zip(rows, counts.tolist()):
+                    if n >= length:
+                        edge, p = np.zeros(n + 1, dtype=np.int64), np.array(near, dtype=np.int64)
+                        a, b = np.maximum(p - windows.left, 0), np.minimum(p - windows.before, n - length) + 1
+                        ok = a < b
+                        np.add.at(edge, a[ok], 1)
+                        np.add.at(edge, b[ok], -1)
+                        want = np.cumsum(edge)[: n - length + 1] > 0
+                        for s, e in zip(cover[::2], cover[1::2]):  # known to repeat
+                            want[s : max(s, min(e, n) - length + 1)] = False
+                        s = np.flatnonzero(want)
+                        found.append((h1[base + s], h2[base + s], np.full(len(s), doc), _at(np.full(len(s), sig), s, 0)))
+                    base += n
+                if found:
+                    a, b, doc, at = (np.concatenate(c) for c in zip(*found))
+                    order, repeat, _ = settle(a, b, doc, at, windows.within)
+                    a, b, doc, at = a[order], b[order], doc[order], at[order]
+                    a = np.where(repeat, mix(doc.view(np.uint64) + at.view(np.uint64)), a)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), doc, at | np.where(repeat, REPEAT, 0))], names=columns)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b[c].to_numpy() for c in columns] for b in batches]
+        if got:
+            a, b, doc, at = (np.concatenate(c) for c in zip(*got))
+            order, repeat, _ = settle(a, b, doc, at, windows.within)
+            doc, at = doc[order], at[order]
+            told = repeat | (at & 3 == REPEAT)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[told]), pa.array(at[told])], names=["doc", "at"])
+
+    rows = documents_with(docs, marks, places).mapInArrow(emit, "h1 long, h2 long, doc long, at long")
+    return stored(rows.repartition("h1").mapInArrow(meet, "doc long, at long"), name)
