@@ -115,3 +115,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
+
+
+def without(docs: DataFrame, rejected: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``docs`` but those that ``rejected`` names by (doc_id long, sig long), a hash of the text; nulls equal nulls.
+
+    The pairs are broadcast if there are no more than ``limit`` (16 bytes each), else both sides are shuffled.
+    """
+    some = stored(rejected.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.coalesce("sig", F.lit(0)).alias("_sig")).distinct(), "rejected")
+    named = docs.withColumns({"_doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), "_sig": F.xxhash64(docs["text"].cast("string"))})
+    return named.join(F.broadcast(some) if some.count() <= limit else some, ["_doc", "_sig"], "left_anti").select(*(named[c] for c in docs.columns))
