@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import beside, stored
 
 #: Bytes of text that a task holds as arrays at a time; a longer document is held whole.
-CHUNK = 6 << 20
+CHUNK = 1 << 20
 OPEN, REPEAT, HOT = 1, 2, 3
 #: Contexts from which on a key counts as hot: its places are compared window by window.
 HOT_CONTEXTS = 4096

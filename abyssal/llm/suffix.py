@@ -29,7 +29,7 @@ KEY = 32
 #: Bytes whose hash ranks a place among the candidates for a sentinel.
 GRAM = 12
 #: Bytes of text that a shard has about, and that its queues hold in memory before they go to disk.
-SHARD, IN_MEMORY = 4 << 20, 64 << 20
+SHARD, IN_MEMORY = 2 << 20, 64 << 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[2]))
 
 
