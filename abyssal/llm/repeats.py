@@ -216,7 +216,7 @@ def union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def documents_with(docs: DataFrame, marks: DataFrame, places: Column) -> DataFrame:
     """Rows (doc, sig, cover, places, text) of the documents with some of ``places`` in their marks."""
     some = marks.select("doc", "sig", "cover", places.alias("places")).where(F.size("places") > 0)
-    return beside(identified(docs), some, ["doc", "sig"], "inner", row_bytes=_bytes("cover", "places")).select("doc", "sig", "cover", "places", "text")
+    return identified(docs).join(some, ["doc", "sig"]).select("doc", "sig", "cover", "places", "text")
 
 
 def _bytes(*arrays: str) -> Column:
