@@ -1,11 +1,669 @@
-"""All queries of the grid analytics with the SQL that must give the same rows."""
+"""All queries of the grid analytics with the SQL that must give the same rows.
+
+The driver's tables hold no rasters, so each query binds an operator's columns to theirs
+(quantity as age, price as distance, keys as places), with missing values put in where
+an operator has a rule for them. Results are rounded to six digits, to which both engines agree.
+"""
 
 from __future__ import annotations
 
+import math
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar, sphere
+from ..operators import calibrate, graph, grid, kinematics, lifetime, raster, spatial_join, stats
+from ..sources import sinks, text
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+NAN = float("nan")
+R = scalar.MEAN_RADIUS_KM
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def six(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: six(c) for c in columns})
+
+
+# Samples: lineitem with age and distance, some of them missing.
+
+SAMPLES = """samples AS (SELECT *, CASE WHEN l_partkey % 11 = 0 THEN 'NaN'::DOUBLE ELSE l_quantity * 4.3 END AS age,
+ CASE WHEN l_suppkey % 13 = 0 THEN 'NaN'::DOUBLE ELSE l_extendedprice / 25.0 END AS distance FROM lineitem)"""
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.withColumns({"age": F.when(F.col("l_partkey") % 11 == 0, F.lit(NAN)).otherwise(F.col("l_quantity") * 4.3), "distance": F.when(F.col("l_suppkey") % 13 == 0, F.lit(NAN)).otherwise(F.col("l_extendedprice") / 25.0)})
+
+
+def _cubic_sql(model: scalar.CubicModel, a: str, d: str) -> str:
+    a = f"(({a} - {model.mean_age!r}) / sqrt({model.variance_age!r}))"
+    d = f"(({d} - {model.mean_distance!r}) / sqrt({model.variance_distance!r}))"
+    terms = ["1.0", a, d, f"{a}*{a}", f"{a}*{d}", f"{d}*{d}", f"{a}*{a}*{a}", f"{a}*{a}*{d}", f"{a}*{d}*{d}", f"{d}*{d}*{d}"]
+    return f"exp({' + '.join(f'({c!r}::DOUBLE) * {t}' for c, t in zip(model.coefficients, terms))}) * {model.scale!r}"
+
+
+def _predict_sql(model: scalar.CubicModel) -> str:
+    return f"""WITH {SAMPLES} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+ round({_cubic_sql(model, f'least(age, {model.max_age!r})', f'least(distance, {model.max_distance!r})')}, 6) AS predicted
+ FROM samples WHERE NOT isnan(age) AND NOT isnan(distance)"""
+
+
+def _predicted(spark: SparkSession, sf_dir: str, model: scalar.CubicModel) -> DataFrame:
+    rows = samples(spark, sf_dir).where(~F.isnan("age") & ~F.isnan("distance"))
+    value = scalar.predict(scalar.clamp(F.col("age"), model.max_age), scalar.clamp(F.col("distance"), model.max_distance), model)
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", six(value).alias("predicted"))
+
+
+@query(_predict_sql(scalar.THICKNESS))
+def predict_cubic(spark, sf_dir):
+    return _predicted(spark, sf_dir, scalar.THICKNESS)
+
+
+@query(_predict_sql(scalar.RATE))
+def predict_rate(spark, sf_dir):
+    return _predicted(spark, sf_dir, scalar.RATE)
+
+
+@query(_predict_sql(scalar.RATE_TIMES_TEN))
+def predict_cubic_scaled(spark, sf_dir):
+    return _predicted(spark, sf_dir, scalar.RATE_TIMES_TEN)
+
+
+_DECOMPACT = "((t + 0.63 / 5.71e-4 * (exp(-5.71e-4 * t) - 1)) / (1 - 0.63))"
+
+
+@query(f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round({_DECOMPACT}, 6) AS decompacted,
+ round({_DECOMPACT} / greatest(age, 1.0), 6) AS rate
+ FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, o_totalprice / 100 AS t, (l_quantity - 5) * 2.5 AS age FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""")
+def decompact_rate(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.withColumns({"t": F.col("o_totalprice") / 100, "age": (F.col("l_quantity") - 5) * 2.5})
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", six(scalar.decompacted(F.col("t"))).alias("decompacted"), six(scalar.average_rate(F.col("t"), F.col("age"))).alias("rate"))
+
+
+@query("""WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1)
+ SELECT c_custkey, o_orderkey, round(o_totalprice / 100, 6) AS thickness FROM customer JOIN last ON c_custkey = o_custkey""")
+def last_wins_join(spark, sf_dir):
+    last = stats.last_of_key(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", six(F.col("o_totalprice") / 100).alias("thickness"))
+
+
+@query("""WITH p AS (SELECT event_id AS point_id, (user_id % 40) * 0.5::DOUBLE AS paleo_time, (user_id % 40) * 0.5::DOUBLE + abs(value) % 37 AS birth_time FROM events),
+ s AS (SELECT *, ceil(paleo_time / 2)::BIGINT AS f FROM p), u AS (SELECT *, greatest(f, floor(least(birth_time, 40.0) / 2)::BIGINT) AS l FROM s WHERE f * 2 <= 40),
+ o AS (SELECT point_id, paleo_time, (unnest(range(f, l + 1)) * 2)::DOUBLE AS t FROM u),
+ d AS (SELECT *, CASE WHEN (point_id + t::BIGINT) % 17 = 0 THEN pi() * 6371.009 ELSE 900 + 400 * sin(point_id * 0.7 + t) END AS dist_km FROM o)
+ SELECT paleo_time, point_id, count(*) AS n, round(least(avg(dist_km), 3000.0), 6) AS mean_km, round(stddev_pop(dist_km), 6) AS std_km FROM d GROUP BY 1, 2""")
+def lifetime_mean_std(spark, sf_dir):
+    paleo = (F.col("user_id") % 40) * 0.5
+    points = table(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), paleo.alias("paleo_time"), (paleo + F.abs("value") % 37).alias("birth_time"))
+    seen = lifetime.observation_times(points, 2, 40)
+    miss = (F.col("point_id") + F.col("t").cast("long")) % 17 == 0
+    seen = seen.withColumn("dist_km", F.when(miss, math.pi * R).otherwise(900 + 400 * F.sin(F.col("point_id") * 0.7 + F.col("t"))))
+    return rounded(lifetime.lifetime_statistics(seen, 3000.0), "mean_km", "std_km")
+
+
+@query("""WITH w AS (SELECT l_returnflag, l_linestatus, l_tax AS w, l_quantity AS x FROM lineitem)
+ SELECT l_returnflag, l_linestatus, round(sum(w * x) / sum(w), 6) AS mean_x, round(sqrt(greatest(0.0, sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2)), 6) AS std_x, round(sum(w), 6) AS total_w FROM w GROUP BY 1, 2""")
+def weighted_moments(spark, sf_dir):
+    x, w = F.col("l_quantity"), F.col("l_tax")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(six(stats.weighted_mean(x, w)).alias("mean_x"), six(stats.weighted_std(x, w)).alias("std_x"), six(F.sum(w)).alias("total_w"))
+
+
+@query(f"""WITH a AS (SELECT (l_linenumber * 10)::DOUBLE AS time, CASE WHEN l_partkey % 7 = 0 THEN 'NaN'::DOUBLE ELSE l_extendedprice / 50 END AS thickness, 0.1 + l_discount AS arc, l_quantity / 5 AS v, (l_suppkey % 300)::DOUBLE AS o FROM lineitem),
+ b AS (SELECT *, radians(arc) * 1000 * {R} AS len, 0.01 * abs(v) * cos(radians(o)) AS nv FROM a WHERE NOT isnan(thickness))
+ SELECT time, round(sum(len * thickness) / sum(len), 6) AS mean_thickness, round(sqrt(greatest(0.0, sum(len * thickness * thickness) / sum(len) - (sum(len * thickness) / sum(len)) ** 2)), 6) AS std_thickness,
+ round(sum(len) / 1e6, 6) AS length_mm, round(sum(nv * thickness * len) / 1e9, 6) AS volume_km3_yr, round(sum(nv * thickness * len) / sum(len), 6) AS volume_per_m FROM b GROUP BY time""")
+def volume_flux(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_linenumber") * 10).cast("double").alias("time"), F.when(F.col("l_partkey") % 7 == 0, F.lit(NAN)).otherwise(F.col("l_extendedprice") / 50).alias("thickness"),
+        (0.1 + F.col("l_discount")).alias("arc_len_deg"), (F.col("l_quantity") / 5).alias("conv_cm_yr"), (F.col("l_suppkey") % 300).cast("double").alias("conv_obliq_deg"),
+    )
+    out = stats.subducted(rows)
+    return out.select("time", six("mean_thickness").alias("mean_thickness"), six("std_thickness").alias("std_thickness"), six(F.col("length_m") / 1e6).alias("length_mm"), six(F.col("volume_m3_yr") / 1e9).alias("volume_km3_yr"), six("volume_per_m").alias("volume_per_m"))
+
+
+# Grids.
+
+@query("SELECT (i % 52)::INT AS i_lon, (i // 52)::INT AS i_lat, -180.0::DOUBLE + (i % 52) * 7 AS lon, -90.0::DOUBLE + (i // 52) * 7 AS lat FROM range(52 * 26) t(i)")
+def grid_points(spark, sf_dir):
+    return grid.grid_points(spark, 7.0)
+
+
+@query("SELECT (i % 52)::INT AS i_lon, (i // 52)::INT AS i_lat, round(-180.0::DOUBLE + (i % 52) * 360.0::DOUBLE / 51, 6) AS lon, round(-90.0::DOUBLE + (i // 52) * 180.0::DOUBLE / 25, 6) AS lat FROM range(52 * 26) t(i)")
+def stretched_grid_points(spark, sf_dir):
+    return rounded(grid.stretched_grid_points(spark, 7.0), "lon", "lat")
+
+
+_PIXELS = "SELECT i::INT AS node_id, (i % 32)::INT AS i_lon, (i // 32)::INT AS i_lat, -180.0::DOUBLE + ((i % 32) + 0.5) * 11.25 AS lon, -90.0::DOUBLE + ((i // 32) + 0.5) * 11.25 AS lat FROM range(32 * 16) t(i)"
+_HAVERSINE = "2 * asin(least(1.0, sqrt(sin((radians({b}) - radians({a})) / 2) ** 2 + cos(radians({a})) * cos(radians({b})) * sin((radians({d}) - radians({c})) / 2) ** 2)))"
+
+
+def _arc(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    return _HAVERSINE.format(a=lat1, b=lat2, c=lon1, d=lon2)
+
+
+@query(_PIXELS)
+def pixel_nodes(spark, sf_dir):
+    return grid.pixel_nodes(spark, 3).withColumn("node_id", F.col("node_id").cast("int"))
+
+
+@query(f"""WITH n AS ({_PIXELS}), s AS (SELECT * FROM (SELECT unnest(range(-2, 3)) AS di), (SELECT unnest(range(-2, 3)) AS dj) WHERE (abs(di) < 2 AND abs(dj) < 2 AND NOT (di = 0 AND dj = 0)) OR abs(di * dj) = 2),
+ e AS (SELECT a.*, b.node_id AS dst, b.lon AS lon2, b.lat AS lat2 FROM n a JOIN s ON a.i_lat + di BETWEEN 0 AND 15 JOIN n b ON b.i_lat = a.i_lat + di AND b.i_lon = (a.i_lon + dj + 32) % 32)
+ SELECT node_id AS src, dst, round({_arc('lon', 'lat', 'lon2', 'lat2')}, 6) AS dist_rad FROM e""")
+def neighbour_edges(spark, sf_dir):
+    e = graph.neighbour_edges(spark, 3)
+    return e.select(F.col("src").cast("int").alias("src"), "dst", six("dist_rad").alias("dist_rad"))
+
+
+# Places: customers and suppliers as points, parts and suppliers as raster nodes.
+
+_PLACE = "(({k} * 37) % 3600) / 10.0 - 180 + 0.03 AS lon, (({k} * 53) % 1780) / 10.0 - 89 + 0.01 AS lat"
+
+
+def place(key: str) -> list[Column]:
+    k = F.col(key)
+    return [(((k * 37) % 3600) / 10.0 - 180 + 0.03).alias("lon"), (((k * 53) % 1780) / 10.0 - 89 + 0.01).alias("lat")]
+
+
+def customers(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), *place("c_custkey"))
+
+
+def suppliers(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), *place("s_suppkey"), F.col("s_acctbal").alias("z"))
+
+
+_Q = f"q AS (SELECT c_custkey AS query_id, {_PLACE.format(k='c_custkey')} FROM customer)"
+_S = f"s AS (SELECT s_suppkey AS node_id, {_PLACE.format(k='s_suppkey')}, s_acctbal AS z FROM supplier)"
+_QS = f"p AS (SELECT query_id, node_id, z, {_arc('q.lon', 'q.lat', 's.lon', 's.lat')} AS d FROM q, s)"
+
+
+@query(f"""WITH {_Q}, {_S}, {_QS}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS n FROM p WHERE d <= radians(12))
+ SELECT q.query_id, round(coalesce(z, 'NaN'::DOUBLE), 6) AS z FROM q LEFT JOIN b ON q.query_id = b.query_id AND n = 1""")
+def nearest_raster(spark, sf_dir):
+    return rounded(spatial_join.query_raster(customers(spark, sf_dir), suppliers(spark, sf_dir), math.radians(12)), "z")
+
+
+@query(f"""WITH {_Q}, {_S}, {_QS}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS n FROM p WHERE d <= radians(20)),
+ c AS (SELECT a.node_id, b.z, {_arc('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS d FROM s a, s b), m AS (SELECT node_id, sum(z * w) / sum(w) AS z FROM (SELECT *, radians(25) ** 2 / (radians(25) ** 2 + 9 * d * d) AS w FROM c WHERE d <= radians(25)) GROUP BY 1)
+ SELECT q.query_id, round(coalesce(m.z, 'NaN'::DOUBLE), 6) AS z FROM q LEFT JOIN b ON q.query_id = b.query_id AND n = 1 LEFT JOIN m ON m.node_id = b.node_id""")
+def smoothed_raster(spark, sf_dir):
+    return rounded(spatial_join.query_raster(customers(spark, sf_dir), suppliers(spark, sf_dir), math.radians(20), math.radians(25)), "z")
+
+
+@query(f"""WITH {_Q}, {_S}, {_QS} SELECT query_id, round(min(d) * {R}, 6) AS dist_km, count_if(d <= radians(30))::BIGINT AS n_within FROM p GROUP BY 1""")
+def nearest_margin(spark, sf_dir):
+    q, s = customers(spark, sf_dir), suppliers(spark, sf_dir).select("node_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    best = spatial_join.nearest_anywhere(q, s)
+    within = spatial_join.sphere_pairs(q, s, math.radians(30)).groupBy("query_id").agg(F.count("*").alias("n_within"))
+    return best.join(within, "query_id", "left").select("query_id", six(F.col("dist") * R).alias("dist_km"), F.coalesce("n_within", F.lit(0)).alias("n_within"))
+
+
+@query(f"""WITH {_Q}, {_S}, {_QS} SELECT query_id, round(coalesce(min(CASE WHEN d <= radians(15) THEN d END), pi()) * {R}, 6) AS dist_km FROM p GROUP BY 1""")
+def margin_threshold(spark, sf_dir):
+    s = suppliers(spark, sf_dir).select("node_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    near = spatial_join.nearest(customers(spark, sf_dir), s, math.radians(15))
+    return near.select("query_id", six(F.coalesce("dist", F.lit(math.pi)) * R).alias("dist_km"))
+
+
+_COARSE = "c AS (SELECT (i % 37)::INT * 100 + (i // 37)::INT AS src_id, -180.0::DOUBLE + (i % 37) * 10 AS lon, -90.0::DOUBLE + (i // 37) * 10 AS lat FROM range(37 * 19) t(i))"
+_FINE = f"f AS (SELECT c_custkey AS fine_id, {_PLACE.format(k='c_custkey')} FROM customer)"
+
+
+@query(f"""WITH {_COARSE}, {_FINE}, v AS (SELECT src_id, (sin(src_id * 0.37) * 100) AS z FROM c WHERE src_id % 5 <> 0),
+ p AS (SELECT fine_id, c.src_id, z, sqrt((f.lon - c.lon) ** 2 + (f.lat - c.lat) ** 2) AS d FROM f JOIN c ON abs(f.lon - c.lon) <= 12 AND abs(f.lat - c.lat) <= 12 JOIN v ON v.src_id = c.src_id),
+ w AS (SELECT *, (1.0001 * 12 - d) / (1 + 2 * d / 12) AS w, row_number() OVER (PARTITION BY fine_id ORDER BY d, src_id) AS n FROM p WHERE d <= 12)
+ SELECT fine_id, round(sum(z * w) / sum(w), 6) AS z FROM w WHERE n <= 6 GROUP BY 1""")
+def idw_upscale(spark, sf_dir):
+    coarse = grid.grid_points(spark, 10.0).select((F.col("i_lon") * 100 + F.col("i_lat")).alias("src_id"), "lon", "lat").where("src_id % 5 <> 0")
+    fine = customers(spark, sf_dir).withColumnRenamed("query_id", "fine_id")
+    values = coarse.select("src_id", (F.sin(F.col("src_id") * 0.37) * 100).alias("z"))
+    return rounded(spatial_join.upscaled(spatial_join.upscale_weights(coarse, fine, 10.0), values), "z")
+
+
+def _sectors(least: int) -> str:
+    return f"""WITH t AS (SELECT (i % 37)::INT * 100 + (i // 37)::INT AS node_id, -180.0::DOUBLE + (i % 37) * 10 AS lon, -90.0::DOUBLE + (i // 37) * 10 AS lat FROM range(37 * 19) t(i)), {_S},
+ p AS (SELECT t.node_id, s.node_id AS pid, z, sqrt((s.lon - t.lon) ** 2 + (s.lat - t.lat) ** 2) AS d, floor(((degrees(atan2(s.lat - t.lat, s.lon - t.lon)) + 360) % 360) / 90)::INT % 4 AS sector FROM t, s WHERE abs(s.lon - t.lon) <= 15 AND abs(s.lat - t.lat) <= 15),
+ f AS (SELECT *, row_number() OVER (PARTITION BY node_id, sector ORDER BY d, pid) AS n FROM p WHERE d <= 15),
+ g AS (SELECT *, 1 / (1 + (3 * d / 15) ** 2) AS w FROM f WHERE n = 1) SELECT node_id, round(sum(w * z) / sum(w), 6) AS z FROM g GROUP BY 1 HAVING count(*) >= {least}"""
+
+
+def _sectored(spark, sf_dir, least):
+    targets = grid.grid_points(spark, 10.0).select((F.col("i_lon") * 100 + F.col("i_lat")).alias("node_id"), "lon", "lat")
+    return rounded(spatial_join.by_sectors(targets, suppliers(spark, sf_dir).withColumnRenamed("node_id", "point_id"), 15.0, 4, least), "z")
+
+
+@query(_sectors(2))
+def near_sector(spark, sf_dir):
+    return _sectored(spark, sf_dir, 2)
+
+
+@query(_sectors(1))
+def near_sector_plain(spark, sf_dir):
+    return _sectored(spark, sf_dir, 1)
+
+
+@query(f"""WITH n AS (SELECT 45.0 / 2 AS size), {_Q}, a AS (SELECT *, floor(0.5 + (lat + 90) / 22.5)::INT AS r, floor(0.5 + (lon + 180) / 22.5)::INT AS c FROM q),
+ k AS (SELECT query_id, lon, lat, r + di AS r, (c + dj + 16) % 16 AS c FROM a, (SELECT unnest([-1, 0]) AS di), (SELECT unnest([-1, 0]) AS dj)),
+ d AS (SELECT query_id, (r * 16 + c)::INT AS node_id, {_arc('lon', 'lat', '(-180 + (c + 0.5) * 22.5)', '(-90 + (r + 0.5) * 22.5)')} AS dist FROM k WHERE r BETWEEN 0 AND 7),
+ v AS (SELECT query_id, dist, 0.1 + (node_id % 9) * 0.05 AS x FROM d) SELECT query_id, round(sum(x / dist) / sum(1 / dist), 6) AS x, count(*) AS n FROM v GROUP BY 1""")
+def idw_nodes(spark, sf_dir):
+    near = graph.surrounding_nodes(customers(spark, sf_dir), 2)
+    rows = near.withColumn("x", 0.1 + (F.col("node_id") % 9) * 0.05)
+    out = stats.inverse_distance_mean(rows, "query_id", "dist", "x").join(rows.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+    return rounded(out, "x")
+
+
+@query(f"""WITH {_Q}, {_S}, {_QS}, m AS (SELECT *, min(d) OVER (PARTITION BY query_id) AS best FROM p WHERE d <= radians(40)) SELECT query_id, count(*) AS n, round(min(d + (node_id % 7) * 0.01), 6) AS least FROM m WHERE d <= best + 0.05 GROUP BY 1""")
+def cutoff_topk(spark, sf_dir):
+    s = suppliers(spark, sf_dir).select("node_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    near = stats.near_best(spatial_join.sphere_pairs(customers(spark, sf_dir), s, math.radians(40)), "query_id", "dist", 0.05)
+    return near.groupBy("query_id").agg(F.count("*").alias("n"), six(F.min(F.col("dist") + (F.col("node_id") % 7) * 0.01)).alias("least"))
+
+
+# Rasters on a five-degree grid, with values from parts.
+
+_CELLS = "cells AS (SELECT (p_partkey * 7 % 73)::INT AS i_lon, (p_partkey * 11 % 37)::INT AS i_lat, min(CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice END) AS v, min(p_size) AS size FROM part GROUP BY 1, 2)"
+_RASTERS = _CELLS + """, age AS (SELECT i_lon, i_lat, coalesce(v, 'NaN'::DOUBLE) / 8 AS z FROM cells), dist AS (SELECT i_lon, i_lat, CASE WHEN size % 10 = 0 THEN 'NaN'::DOUBLE ELSE size * 70.0 END AS z FROM cells)"""
+
+
+def cells(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").groupBy((k * 7 % 73).cast("int").alias("i_lon"), (k * 11 % 37).cast("int").alias("i_lat")).agg(F.min(F.when(k % 9 != 0, F.col("p_retailprice"))).alias("v"), F.min("p_size").alias("size"))
+
+
+def rasters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = cells(spark, sf_dir)
+    return c.select("i_lon", "i_lat", (F.coalesce("v", F.lit(NAN)) / 8).alias("z")), c.select("i_lon", "i_lat", F.when(F.col("size") % 10 == 0, F.lit(NAN)).otherwise(F.col("size") * 70.0).alias("z"))
+
+
+@query(f"""WITH {_RASTERS} SELECT a.i_lon, a.i_lat, -180.0::DOUBLE + a.i_lon * 5 AS lon, -90.0::DOUBLE + a.i_lat * 5 AS lat, round(least(a.z, 191.87276), 6) AS age, round(least(d.z, 3000.0), 6) AS distance
+ FROM age a JOIN dist d USING (i_lon, i_lat) WHERE NOT isnan(a.z) AND NOT isnan(d.z)""")
+def sample_aligned(spark, sf_dir):
+    out = raster.ages_and_distances(grid.grid_points(spark, 5.0), *rasters(spark, sf_dir), 191.87276, 3000.0)
+    return rounded(out.select("i_lon", "i_lat", "lon", "lat", "age", "distance"), "age", "distance")
+
+
+@query(f"""WITH {_RASTERS} SELECT a.i_lon, a.i_lat, round({_cubic_sql(scalar.THICKNESS, 'least(a.z, 191.87276)', 'least(d.z, 3000.0)')}, 6) AS thickness FROM age a JOIN dist d USING (i_lon, i_lat) WHERE NOT isnan(a.z) AND NOT isnan(d.z)""")
+def predict_grid(spark, sf_dir):
+    out = raster.predicted(grid.grid_points(spark, 5.0), *rasters(spark, sf_dir), scalar.THICKNESS, "thickness")
+    return out.select("i_lon", "i_lat", six("thickness").alias("thickness"))
+
+
+@query(f"""WITH {_RASTERS}, g AS (SELECT (i % 73)::INT AS i_lon, (i // 73)::INT AS i_lat FROM range(73 * 37) t(i)) SELECT i_lon, i_lat, -180.0::DOUBLE + i_lon * 5 AS lon, -90.0::DOUBLE + i_lat * 5 AS lat, round(coalesce(z, 'NaN'::DOUBLE), 6) AS z FROM g LEFT JOIN age USING (i_lon, i_lat)""")
+def grid_fill(spark, sf_dir):
+    return rounded(grid.filled(spark, rasters(spark, sf_dir)[0], 5.0), "z")
+
+
+@query(f"""WITH n AS ({_PIXELS}), v AS (SELECT (s_suppkey % 512)::INT AS node_id, max(s_acctbal) AS z FROM supplier GROUP BY 1) SELECT node_id, i_lon, i_lat, lon, lat, coalesce(z, 'NaN'::DOUBLE) AS z FROM n LEFT JOIN v USING (node_id)""")
+def grid_fill_pixels(spark, sf_dir):
+    v = table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 512).cast("int").alias("node_id")).agg(F.max("s_acctbal").alias("z"))
+    return grid.filled_pixels(spark, v, 3).withColumn("node_id", F.col("node_id").cast("int"))
+
+
+@query(f"""WITH {_RASTERS} SELECT i_lon, i_lat, round(z, 6) AS z FROM dist WHERE NOT isnan(z) AND z <> 700.0 AND z <> 1400.0""")
+def explode_raster(spark, sf_dir):
+    return rounded(raster.nodes(rasters(spark, sf_dir)[1], 700.0).where("z <> 1400.0"), "z")
+
+
+@query(f"""WITH {_RASTERS}, g AS (SELECT (i % 73)::INT AS i_lon, (i // 73)::INT AS i_lat FROM range(73 * 37) t(i)) SELECT i_lon, i_lat FROM g WHERE (i_lon, i_lat) IN (SELECT (i_lon, i_lat) FROM age WHERE NOT isnan(z))""")
+def mask_scan(spark, sf_dir):
+    return raster.masked(grid.grid_points(spark, 5.0), rasters(spark, sf_dir)[0]).select("i_lon", "i_lat")
+
+
+_WAVE = "w AS (SELECT (i % 73)::INT AS i_lon, (i // 73)::INT AS i_lat, sin((i % 73) * 0.3) * 40 + cos((i // 73) * 0.2) * 25 AS z FROM range(73 * 37) t(i))"
+
+
+def wave(spark) -> DataFrame:
+    return grid.grid_points(spark, 5.0).select("i_lon", "i_lat", (F.sin(F.col("i_lon") * 0.3) * 40 + F.cos(F.col("i_lat") * 0.2) * 25).alias("z"))
+
+
+@query(f"""WITH {_WAVE}, {_Q}, a AS (SELECT query_id, (lon + 180) / 5 AS x, (lat + 90) / 5 AS y FROM q), c AS (SELECT *, floor(x)::INT + di AS i_lon, floor(y)::INT + dj AS i_lat FROM a, (SELECT unnest([0, 1]) AS di), (SELECT unnest([0, 1]) AS dj)),
+ k AS (SELECT query_id, i_lon, i_lat, (1 - abs(x - i_lon)) * (1 - abs(y - i_lat)) AS wt FROM c) SELECT query_id, round(CASE WHEN count(z) = count(*) THEN sum(wt * z) END, 6) AS z FROM k LEFT JOIN w USING (i_lon, i_lat) WHERE wt > 0 GROUP BY 1""")
+def sample_bilinear(spark, sf_dir):
+    return rounded(raster.bilinear(customers(spark, sf_dir), wave(spark), 5.0, "query_id"), "z")
+
+
+_KERNEL = "CASE WHEN abs({t}) <= 1 THEN 1.5 * abs({t}) ** 3 - 2.5 * abs({t}) ** 2 + 1 WHEN abs({t}) < 2 THEN -0.5 * abs({t}) ** 3 + 2.5 * abs({t}) ** 2 - 4 * abs({t}) + 2 ELSE 0.0 END"
+
+
+@query(f"""WITH {_WAVE}, {_Q}, a AS (SELECT query_id, (lon + 180) / 5 AS x, (lat + 90) / 5 AS y FROM q), c AS (SELECT *, floor(x)::INT + di AS i_lon, floor(y)::INT + dj AS i_lat FROM a, (SELECT unnest(range(-1, 3)) AS di), (SELECT unnest(range(-1, 3)) AS dj)),
+ k AS (SELECT query_id, i_lon, i_lat, ({_KERNEL.format(t='(x - i_lon)')}) * ({_KERNEL.format(t='(y - i_lat)')}) AS wt FROM c) SELECT query_id, round(CASE WHEN count(z) = count(*) THEN sum(wt * z) END, 6) AS z FROM k LEFT JOIN w USING (i_lon, i_lat) WHERE wt <> 0 GROUP BY 1""")
+def sample_bicubic(spark, sf_dir):
+    return rounded(raster.bicubic(customers(spark, sf_dir), wave(spark), 5.0, "query_id"), "z")
+
+
+@query(f"""WITH {_RASTERS} SELECT a.i_lon, a.i_lat, round(a.z, 6) AS z, round(d.z, 6) AS sedthick, round(w.z, 6) AS sedrate FROM age a LEFT JOIN dist d USING (i_lon, i_lat) LEFT JOIN (SELECT i_lon, i_lat, z * 2 AS z FROM age WHERE i_lon % 3 = 0) w USING (i_lon, i_lat)""")
+def align_rasters(spark, sf_dir):
+    age, dist = rasters(spark, sf_dir)
+    return rounded(raster.aligned(age, sedthick=dist, sedrate=age.where("i_lon % 3 = 0").withColumn("z", F.col("z") * 2)), "z", "sedthick", "sedrate")
+
+
+# Geometry.
+
+@query(f"""WITH d AS (SELECT l_linenumber AS time, l_returnflag || l_linestatus || l_quantity::BIGINT AS geom_key, l_orderkey * 10 + l_linenumber AS geom_id, l_quantity / 1000 AS len, CASE WHEN l_quantity::BIGINT % 5 = 0 THEN 'point' ELSE 'polyline' END AS kind FROM lineitem),
+ e AS (SELECT time, geom_key, min(len) AS len FROM d WHERE kind = 'polyline' GROUP BY 1, 2) SELECT time, round(sum(len) * {R}, 6) AS length_km FROM e GROUP BY 1""")
+def margin_length(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_linenumber").alias("time"), F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").cast("string")).alias("geom_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("geom_id"),
+        (F.col("l_quantity") / 1000).alias("length_rad"), F.when(F.col("l_quantity").cast("long") % 5 == 0, "point").otherwise("polyline").alias("kind"),
+    )
+    return rounded(stats.margin_lengths(rows), "length_km")
+
+
+@query("SELECT l_returnflag, l_linestatus, l_shipdate, l_quantity, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY 1, 2, 3, 4")
+def exact_dedupe(spark, sf_dir):
+    same = ["l_returnflag", "l_linestatus", "l_shipdate", "l_quantity"]
+    return stats.first_of_equal(table(spark, sf_dir, "lineitem"), same, ["l_orderkey", "l_linenumber"]).select(*same, "l_orderkey")
+
+
+def arcs(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey")
+    a = sphere.from_lon_lat(((k * 37) % 360 - 180).cast("double"), ((k * 13) % 120 - 60).cast("double"))
+    b = sphere.from_lon_lat(((k * 37) % 360 - 180 + k % 9).cast("double"), ((k * 13) % 120 - 60 + k % 4).cast("double"))
+    return table(spark, sf_dir, "supplier").select(k.alias("geom_id"), a.alias("a"), b.alias("b"))
+
+
+@query(f"""WITH a AS (SELECT s_suppkey AS geom_id, {_arc('((s_suppkey * 37) % 360 - 180)', '((s_suppkey * 13) % 120 - 60)', '((s_suppkey * 37) % 360 - 180 + s_suppkey % 9)', '((s_suppkey * 13) % 120 - 60 + s_suppkey % 4)')} AS len FROM supplier),
+ n AS (SELECT *, greatest(1, ceil(len / 0.02))::INT AS n FROM a WHERE len > 0) SELECT geom_id, n AS pieces, round(len, 6) AS total_len, round(len / n, 6) AS arc_len FROM n""")
+def tessellate(spark, sf_dir):
+    return spatial_join.tessellated(arcs(spark, sf_dir), 0.02).groupBy("geom_id").agg(F.count("*").cast("int").alias("pieces"), six(F.sum("arc_len")).alias("total_len"), six(F.max("arc_len")).alias("arc_len"))
+
+
+@query(f"""WITH {_Q}, {_S}, {_QS} SELECT query_id, node_id, round(d, 6) AS haversine, round(d, 6) AS by_vectors FROM p WHERE (query_id + node_id) % 50 = 0""")
+def great_circle(spark, sf_dir):
+    q, s = customers(spark, sf_dir).withColumn("part", F.pmod(-F.col("query_id"), F.lit(50))), suppliers(spark, sf_dir).select("node_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), (F.col("node_id") % 50).alias("part"))
+    a, b = sphere.from_lon_lat(F.col("lon"), F.col("lat")), sphere.from_lon_lat(F.col("lon2"), F.col("lat2"))
+    return q.join(s, "part").select("query_id", "node_id", six(sphere.great_circle(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).alias("haversine"), six(sphere.angle(a, b)).alias("by_vectors"))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, ob AS obliquity, CASE WHEN v = 0 THEN 0.0 WHEN abs(ob) > 90 THEN -v ELSE v END AS conv_speed, CASE WHEN v = 0 THEN 0.0 WHEN abs(ob) < 90 THEN -v ELSE v END AS abs_speed, round(0.01 * abs(v) * cos(radians(ob)), 6) AS normal_velocity
+ FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * (l_partkey % 181) AS ob, l_quantity - 10 AS v FROM lineitem)""")
+def convergence_signs(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumns({"v": F.col("l_quantity") - 10, "obliquity": scalar.signed_obliquity((F.col("l_partkey") % 181).cast("double"), F.when(F.col("l_suppkey") % 2 == 0, -1.0).otherwise(1.0))})
+    o, v = F.col("obliquity"), F.col("v")
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "obliquity", scalar.signed_speed(v, o, False).alias("conv_speed"), scalar.signed_speed(v, o, True).alias("abs_speed"), six(scalar.normal_velocity(v, o)).alias("normal_velocity"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE l_partkey % 4 WHEN 0 THEN 'Left' WHEN 1 THEN 'Right' WHEN 2 THEN 'Unknown' END AS polarity, l_suppkey % 3 > 0 AS c1, l_suppkey % 2 = 0 AS r1, l_linenumber % 2 = 0 AS c2, l_orderkey % 3 = 0 AS r2 FROM lineitem WHERE l_linenumber <> 3),
+ o AS (SELECT *, CASE WHEN c1 THEN (polarity = 'Left') = r1 ELSE (polarity = 'Left') <> r1 END AS o1, CASE WHEN c2 THEN (polarity = 'Left') = r2 ELSE (polarity = 'Left') <> r2 END AS o2 FROM s WHERE polarity IN ('Left', 'Right'))
+ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN o1 THEN 1 ELSE 2 END AS overriding_plate, CASE WHEN o1 THEN 2 ELSE 1 END AS subducting_plate, CASE WHEN polarity = 'Left' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS normal_sign FROM o WHERE o1 <> o2""")
+def polarity_case(spark, sf_dir):
+    k = F.col("l_partkey") % 4
+    polarity = F.when(k == 0, "Left").when(k == 1, "Right").when(k == 2, "Unknown")
+    sharer = lambda i, c, r: F.struct(F.lit(i).alias("plate_id"), c.alias("clockwise"), r.alias("reversed"))
+    two = [sharer(1, F.col("l_suppkey") % 3 > 0, F.col("l_suppkey") % 2 == 0), sharer(2, F.col("l_linenumber") % 2 == 0, F.col("l_orderkey") % 3 == 0)]
+    sharing = F.when(F.col("l_linenumber") == 3, F.array(two[0])).otherwise(F.array(*two))
+    rows = kinematics.plates_of_trenches(table(spark, sf_dir, "lineitem").withColumns({"polarity": polarity, "sharing": sharing}))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "overriding_plate", "subducting_plate", scalar.normal_sign(F.col("polarity")).alias("normal_sign"))
+
+
+# Calibration.
+
+_TRAIN = """train AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_suppkey % 97)::DOUBLE AS lon, CASE WHEN l_quantity::BIGINT % 10 = 0 THEN 0.0 WHEN l_quantity::BIGINT % 10 = 1 THEN 'NaN'::DOUBLE ELSE l_extendedprice / 30 END AS sedthick,
+ CASE WHEN l_partkey % 12 = 0 THEN 'NaN'::DOUBLE WHEN l_partkey % 12 = 1 THEN 0.0 ELSE 0.5 + l_tax * 40 + l_quantity / 9 END AS sedrate, CASE WHEN l_suppkey % 15 = 0 THEN 'NaN'::DOUBLE ELSE l_quantity * 3.1 END AS age, CASE WHEN l_orderkey % 19 = 0 THEN 'NaN'::DOUBLE ELSE l_extendedprice / 20 END AS pcb_mean_dist FROM lineitem)"""
+_ID = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+_IDS = ", ".join(_ID)
+_NUMBERS = "NOT isnan(age) AND NOT isnan(pcb_mean_dist) AND NOT isnan(sedrate) AND sedrate <> 0"
+
+
+def train(spark, sf_dir) -> DataFrame:
+    q = F.col("l_quantity").cast("long") % 10
+    p = F.col("l_partkey") % 12
+    return table(spark, sf_dir, "lineitem").select(
+        *_ID, (F.col("l_suppkey") % 97).cast("double").alias("lon"), F.when(q == 0, 0.0).when(q == 1, F.lit(NAN)).otherwise(F.col("l_extendedprice") / 30).alias("sedthick"),
+        F.when(p == 0, F.lit(NAN)).when(p == 1, 0.0).otherwise(0.5 + F.col("l_tax") * 40 + F.col("l_quantity") / 9).alias("sedrate"),
+        F.when(F.col("l_suppkey") % 15 == 0, F.lit(NAN)).otherwise(F.col("l_quantity") * 3.1).alias("age"), F.when(F.col("l_orderkey") % 19 == 0, F.lit(NAN)).otherwise(F.col("l_extendedprice") / 20).alias("pcb_mean_dist"),
+    )
+
+
+@query(f"WITH {_TRAIN} SELECT {_IDS}, lon, round(sedrate, 6) AS sedrate FROM train WHERE sedthick <> 0 AND {_NUMBERS}")
+def calibration_rate_rows(spark, sf_dir):
+    return rounded(calibrate.rate_rows(train(spark, sf_dir)).select(*_ID, "lon", "sedrate"), "sedrate")
+
+
+@query(f"WITH {_TRAIN} SELECT {_IDS}, lon, round(sedthick, 6) AS sedthick FROM train WHERE sedthick <> 0 AND NOT isnan(sedthick) AND {_NUMBERS}")
+def calibration_thickness_rows(spark, sf_dir):
+    return rounded(calibrate.thickness_rows(train(spark, sf_dir)).select(*_ID, "lon", "sedthick"), "sedthick")
+
+
+@query("""WITH d AS (SELECT lon, ntile(3) OVER (ORDER BY lon) - 1 AS fold FROM (SELECT DISTINCT (c_nationkey * 1.5::DOUBLE) AS lon FROM customer)) SELECT c_custkey, c_nationkey * 1.5::DOUBLE AS lon, fold::INT AS fold FROM customer JOIN d ON d.lon = c_nationkey * 1.5::DOUBLE""")
+def longitude_kfold(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") * 1.5).alias("lon"))
+    return calibrate.longitude_folds(rows, "lon", 3).select("c_custkey", "lon", F.col("fold").cast("int").alias("fold"))
+
+
+_PAIR = f"pairs AS (SELECT sedrate AS y, 1 + age / 60 AS p FROM train WHERE sedthick <> 0 AND {_NUMBERS})"
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    return calibrate.rate_rows(train(spark, sf_dir)).select(F.col("sedrate").alias("y"), (1 + F.col("age") / 60).alias("p"))
+
+
+@query(f"""WITH {_TRAIN}, {_PAIR} SELECT round(avg(y), 6) AS mean_observed, round(avg(p), 6) AS mean_predicted, round(median(y), 6) AS median_observed, round(median(p), 6) AS median_predicted, round(avg(p - y), 6) AS mean_difference,
+ round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2 FROM pairs""")
+def model_stats(spark, sf_dir):
+    out = stats.compared(pairs(spark, sf_dir), "y", "p")
+    return rounded(out, *out.columns)
+
+
+@query(f"""WITH {_TRAIN}, {_PAIR}, b AS (SELECT min(y) AS lo, max(y) AS hi FROM pairs) SELECT least(14, floor((y - lo) / ((hi - lo) / 15)))::INT AS bin, count(*) AS n FROM pairs, b GROUP BY 1""")
+def histogram15(spark, sf_dir):
+    return stats.histogram(pairs(spark, sf_dir), "y", 15)
+
+
+@query(f"WITH {_TRAIN}, {_PAIR} " + "SELECT " + ", ".join(f"round({f}({c}), 6) AS {n}_{c}" for c in ("y", "p") for n, f in (("mean", "avg"), ("var", "var_pop"), ("min", "min"), ("max", "max"))) + " FROM pairs")
+def scaler_stats(spark, sf_dir):
+    out = stats.scaler(pairs(spark, sf_dir), ["y", "p"])
+    return rounded(out, *out.columns)
+
+
+_RIVER_SUM = " + ".join(f"CASE WHEN d{i} > 1500 THEN 0 WHEN d{i} = 0 THEN 'Infinity'::DOUBLE ELSE 1 / nullif(d{i}, 0) END * {w!r}" for i, w in enumerate(scalar.RIVER_WEIGHTS_RATE))
+
+
+@query("WITH d AS (SELECT vec_id, " + ", ".join(f"CASE WHEN vec_id % 40 = {i} THEN 0.0 ELSE abs(embedding[{i + 1}]::DOUBLE) * 1800 + 5 END AS d{i}" for i in range(13)) + f" FROM embeddings) SELECT vec_id, round({_RIVER_SUM}, 6) AS rivers FROM d")
+def river_weighted_sum(spark, sf_dir):
+    d = [F.when(F.col("vec_id") % 40 == i, F.lit(0.0)).otherwise(F.abs(F.col("embedding")[i].cast("double")) * 1800 + 5) for i in range(13)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", six(scalar.weighted_inverse_sum(F.array(*d), scalar.RIVER_WEIGHTS_RATE)).alias("rivers"))
+
+
+@query(f"""WITH {_CELLS}, g AS (SELECT i_lon, i_lat, size FROM cells), a AS (SELECT i_lon, i_lat, v FROM cells WHERE i_lon % 2 = 0), m AS (SELECT g.i_lon, g.i_lat, size, v FROM g LEFT JOIN a USING (i_lon, i_lat)) SELECT i_lon, i_lat, size AS sedthick, round(v * 0.5, 6) AS age FROM m WHERE -90 + i_lat * 5 BETWEEN -70 AND 80""")
+def training_update(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    merged = c.select("i_lon", "i_lat", "size").join(c.where("i_lon % 2 = 0").select("i_lon", "i_lat", "v"), ["i_lon", "i_lat"], "left")
+    out = merged.withColumn("age", F.col("v") * 0.5).withColumnRenamed("size", "sedthick").drop("v")
+    return rounded(out.where((-90 + F.col("i_lat") * 5).between(-70, 80)), "age")
+
+
+@query("""WITH a AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) AS n FROM part), b AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) SELECT p_partkey, p_size, c_custkey FROM a JOIN b USING (n)""")
+def positional_zip(spark, sf_dir):
+    left = numbered(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    right = numbered(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return left.join(right, "n").drop("n")
+
+
+def numbered(rows: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Rows numbered from 0 in the order of a key: places within range partitions plus the partitions' counts."""
+    local = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    part = F.shiftright("_m", 33)
+    from pyspark.sql import Window
+
+    starts = local.groupBy(part.alias("_p")).agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return local.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(n, F.col("_m") - F.shiftleft(F.col("_p"), 33) + F.col("_s")).drop("_m", "_p", "_c", "_s")
+
+
+# Text.
+
+@query(r"""WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  ' || (doc_id % 360 - 180) || '.5   ' || (doc_id % 180 - 90) || ' extra words' WHEN 1 THEN '# comment' WHEN 2 THEN doc_id::VARCHAR WHEN 3 THEN 'x ' || doc_id ELSE (doc_id % 90) || chr(9) || (doc_id % 45) END AS value FROM documents)
+ SELECT doc_id, try_cast(regexp_split_to_array(trim(value, ' '), '\s+')[1] AS DOUBLE) AS lon, try_cast(regexp_split_to_array(trim(value, ' '), '\s+')[2] AS DOUBLE) AS lat FROM l WHERE doc_id % 5 IN (0, 4)""")
+def text_points_parse(spark, sf_dir):
+    k = F.col("doc_id")
+    s = lambda c: c.cast("string")
+    value = F.when(k % 5 == 0, F.concat(F.lit("  "), s(k % 360 - 180), F.lit(".5   "), s(k % 180 - 90), F.lit(" extra words"))).when(k % 5 == 1, F.lit("# comment")).when(k % 5 == 2, s(k)).when(k % 5 == 3, F.concat(F.lit("x "), s(k))).otherwise(F.concat(s(k % 90), F.lit("\t"), s(k % 45)))
+    return text.parsed_points(table(spark, sf_dir, "documents").select("doc_id", value.alias("value"))).select("doc_id", "lon", "lat")
+
+
+_LINE = " || ' ' || ".join(f"((c_custkey * {i + 3}) % 101)" if i != 5 else "CASE WHEN c_custkey % 7 = 0 THEN 'NaN' ELSE 'n/a' END" for i in range(19))
+
+
+@query("SELECT c_custkey, " + ", ".join(f"(((c_custkey * {i + 3}) % 101)::DOUBLE)::DOUBLE AS {c}" if i != 5 else f"'NaN'::DOUBLE AS {c}" for i, c in enumerate(text.ALLDATA)) + " FROM customer")
+def training_text(spark, sf_dir):
+    k = F.col("c_custkey")
+    words = [((k * (i + 3)) % 101).cast("string") if i != 5 else F.when(k % 7 == 0, "NaN").otherwise("n/a") for i in range(19)]
+    lines = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", *words).alias("value"))
+    row = lines.select("c_custkey", text.numbers(F.col("value")).alias("r"))
+    return row.select("c_custkey", *(F.get("r", F.lit(i)).alias(c) for i, c in enumerate(text.ALLDATA)))
+
+
+@query("SELECT c_custkey, c_custkey || ' 1 ' || CASE WHEN c_custkey % 3 = 0 THEN 'NaN' ELSE 'nan' END AS value FROM customer WHERE c_custkey % 3 <> 0")
+def text_not_nan(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit(" 1 "), F.when(F.col("c_custkey") % 3 == 0, "NaN").otherwise("nan")).alias("value"))
+    return text.comparable(rows, "value", 2)
+
+
+@query("SELECT i::DOUBLE AS time, printf('sed_0.1d_%.1f.nc', i::DOUBLE) AS path FROM range(0, 231) t(i)")
+def file_manifest(spark, sf_dir):
+    return text.manifest(spark, "sed_0.1d_%.1f.nc", 0, 230)
+
+
+@query(f"WITH {_Q} SELECT round(lon, 6) AS lon, round(lat, 6) AS lat FROM q")
+def xyz_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    sinks.write_xyz(customers(spark, sf_dir), path, "lon", "lat", "query_id")
+    return rounded(text.read_points(spark, path), "lon", "lat")
+
+
+def _scratch(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="abyssal-")
+    return f"{base}/abyssal-xyz-{uuid.uuid4().hex}"
+
+
+@query("""SELECT l_returnflag AS feature_type, count(*) AS n, round(sum(l_quantity), 6) AS total FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity > 0 GROUP BY 1 ORDER BY 1""")
+def feature_types(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R") & (F.col("l_quantity") > 0))
+    return rows.groupBy(F.col("l_returnflag").alias("feature_type")).agg(F.count("*").alias("n"), six(F.sum("l_quantity")).alias("total")).orderBy("feature_type")
+
+
+@query("SELECT c_custkey AS id, 'c' AS kind FROM customer WHERE c_custkey <= 50 UNION ALL SELECT s_suppkey, 's' FROM supplier UNION ALL SELECT * FROM (SELECT c_nationkey, 'x' FROM customer EXCEPT SELECT n_nationkey, 'x' FROM nation WHERE n_nationkey < 5)")
+def concatenated(spark, sf_dir):
+    c, s, n = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    left = c.select(F.col("c_nationkey").cast("long").alias("id"), F.lit("x").alias("kind")).distinct()
+    rest = left.subtract(n.where("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("x").alias("kind")))
+    return c.where("c_custkey <= 50").select(F.col("c_custkey").alias("id"), F.lit("c").alias("kind")).unionByName(s.select(F.col("s_suppkey").alias("id"), F.lit("s").alias("kind"))).unionByName(rest)
+
+
+# Without SQL: tested against closed forms and brute force.
+
+def _geometries(spark, sf_dir) -> DataFrame:
+    k = F.col("n_nationkey")
+    at = lambda lon, lat: sphere.from_lon_lat(lon.cast("double"), lat.cast("double"))
+    nations = table(spark, sf_dir, "nation")
+    source = nations.select((k % 3).cast("double").alias("time"), F.lit("source").alias("role"), F.lit("point").alias("kind"), F.array(at(k * 14 - 170, k * 5 - 60)).alias("xyz"))
+    box = F.array(*(at(k * 14 - 160 + dx, k * 5 - 55 + dy) for dx, dy in ((0, 0), (12, 0), (12, 12), (0, 12))))
+    return source.unionByName(nations.where("n_nationkey % 4 = 0").select((k % 3).cast("double").alias("time"), F.lit("obstacle").alias("role"), F.lit("polygon").alias("kind"), box.alias("xyz")))
+
+
+@query()
+def obstacle_distance(spark, sf_dir):
+    nodes = graph.node_distances(_geometries(spark, sf_dir), 4)
+    points = customers(spark, sf_dir).withColumn("time", (F.col("query_id") % 3).cast("double"))
+    return graph.path_distances(points, nodes, 4).select("query_id", "time", six(F.coalesce("dist_rad", F.lit(math.pi)) * R).alias("dist_km"))
+
+
+@query()
+def line_distance(spark, sf_dir):
+    return rounded(spatial_join.distance_to_lines(customers(spark, sf_dir), arcs(spark, sf_dir)), "dist_km")
+
+
+@query()
+def lasso_fit(spark, sf_dir):
+    model = calibrate.fit(calibrate.rate_rows(train(spark, sf_dir)), ["age", "pcb_mean_dist"], "sedrate")
+    return spark.createDataFrame([(i, round(c, 4)) for i, c in enumerate(model.coefficients)], "term int, coefficient double")
+
+
+@query()
+def lasso_out_of_fold(spark, sf_dir):
+    out, _ = calibrate.out_of_fold(calibrate.rate_rows(train(spark, sf_dir)), ["age", "pcb_mean_dist"], "sedrate", 3)
+    return out.select(*_ID, "fold", F.round("predicted", 3).alias("predicted"))
+
+
+@query()
+def lasso_mesh(spark, sf_dir):
+    model = calibrate.fit(calibrate.rate_rows(train(spark, sf_dir)), ["age", "pcb_mean_dist"], "sedrate")
+    return calibrate.mesh(spark, model).select("age", "pcb_mean_dist", F.round("predicted", 3).alias("predicted"))
+
+
+def _rotations(spark, sf_dir) -> DataFrame:
+    k = F.col("n_nationkey")
+    base = table(spark, sf_dir, "nation").where("n_nationkey between 1 and 6").select((k * 100).cast("int").alias("moving_plate"), F.when(k > 3, F.lit(100)).otherwise(F.lit(0)).cast("int").alias("fixed_plate"), (k * 11 - 30).cast("double").alias("pole_lat"), (k * 50 - 170).cast("double").alias("pole_lon"), k)
+    return base.select("*", F.explode(F.array(F.lit(0.0), F.lit(50.0), F.lit(300.0))).alias("time")).withColumn("angle", F.col("time") * (0.1 + F.col("n_nationkey") * 0.05)).drop("n_nationkey")
+
+
+def _anchored(spark, sf_dir, last: float) -> DataFrame:
+    return kinematics.to_anchor(kinematics.rotations_at(_rotations(spark, sf_dir), kinematics.times(spark, 0.0, last, 1.0)))
+
+
+@query()
+def stage_velocity(spark, sf_dir):
+    a = _anchored(spark, sf_dir, 10.0)
+    both = a.join(a.select((F.col("time") - 1).alias("time"), "plate", F.col("q").alias("before")), ["time", "plate"])
+    at = sphere.from_lon_lat(F.lit(20.0), F.lit(10.0))
+    turned = sphere.evaluated(both, step=kinematics.stage(F.col("q"), F.col("before")), at=at)
+    moved = sphere.evaluated(turned, v=kinematics.stage_velocity(F.col("step"), F.col("at"), 1.0))
+    return moved.select("time", "plate", six(sphere.norm(F.col("v"))).alias("cm_yr"), six(sphere.dot(F.col("v"), F.col("at"))).alias("radial"))
+
 
-def queries() -> dict:
-    return {}
+@query()
+def trench_convergence(spark, sf_dir):
+    k = F.col("geom_id")
+    sharer = lambda i, c, r: F.struct(i.cast("int").alias("plate_id"), c.alias("clockwise"), r.alias("reversed"))
+    sections = arcs(spark, sf_dir).select(
+        (k % 3).cast("double").alias("time"), k.alias("section_id"), F.when(k % 2 == 0, "Left").otherwise("Right").alias("polarity"), F.lit(100).alias("plate_id"), "a", "b",
+        F.array(sharer(F.lit(100), F.lit(True), F.lit(True)), sharer(F.lit(200) + 100 * (k % 4), F.lit(True), F.lit(False))).alias("sharing"),
+    )
+    out = kinematics.convergence(sections, _anchored(spark, sf_dir, 4.0), 0.02)
+    numbers = [c for c, t in out.dtypes if t == "double" and c != "time"]
+    return rounded(out, *numbers)
 
 
-def oracle_sql() -> dict:
-    return {}
+@query()
+def ocean_proximity(spark, sf_dir):
+    points = customers(spark, sf_dir).select(F.lit(0.0).alias("paleo_time"), F.col("query_id").alias("point_id"), (F.col("query_id") % 12).cast("double").alias("birth_time"), ((F.col("query_id") % 6 + 1) * 100).cast("int").alias("plate"), "lon", "lat")
+    anchored = _anchored(spark, sf_dir, 10.0)
+    margins = suppliers(spark, sf_dir).select("node_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    cell = grid.grid_points(spark, 2.0).select(F.expr("int(i_lon * 1000 + i_lat)").alias("query_id"), "lon", "lat")
+    near = spatial_join.nearest_anywhere(cell, margins).select(F.floor("lon").cast("int").alias("lon"), F.floor("lat").cast("int").alias("lat"), (F.col("dist") * R).alias("dist_km"))
+    one = near.select(F.explode(F.array(F.col("lon"), F.col("lon") + 1)).alias("cell_lon"), "lat", "dist_km").select("cell_lon", F.explode(F.array(F.col("lat"), F.col("lat") + 1)).alias("cell_lat"), "dist_km")
+    by_time = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10)))).select("cell_lon", "cell_lat", "dist_km", F.col("k").cast("double").alias("t"))
+    return rounded(lifetime.proximity(points, lambda rows: kinematics.reconstructed(rows, anchored), by_time, 1, 10, 3000.0), "mean_km", "std_km")
