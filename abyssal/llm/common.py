@@ -130,5 +130,5 @@ def without(docs: DataFrame, rejected: DataFrame, limit: int = 1_000_000) -> Dat
     The pairs are broadcast if there are no more than ``limit`` (16 bytes each), else both sides are shuffled.
     """
     some = stored(rejected.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.coalesce("sig", F.lit(0)).alias("_sig")).distinct(), "rejected")
-    named = docs.withColumns({"_doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), "_sig": F.xxhash64(docs["text"].cast("string"))})
-    return named.join(F.broadcast(some) if some.count() <= limit else some, ["_doc", "_sig"], "left_anti").select(*(named[c] for c in docs.columns))
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("_doc"), F.xxhash64(docs["text"].cast("string")).alias("_sig"))
+    return named.join(F.broadcast(some) if some.count() <= limit else some, ["_doc", "_sig"], "left_anti").select("_row.*")

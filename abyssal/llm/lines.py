@@ -83,20 +83,19 @@ def dense(keep: Column) -> Column:
     )
 
 
-def without_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and ``kept``, the text without the lines whose key
-    is found in at least ``min_docs`` documents.
+def marked(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """Rows (_row, n_lines, n_dropped, kept): each document as it is, and its text without the lines whose
+    key is found in at least ``min_docs`` documents.
 
     A text that loses no line is kept as it is; one that loses all becomes empty. An
     empty table gives no rows.
     """
     marks = keep_bitmaps(docs, min_docs, min_chars)
-    plain = [F.col(c) for c in docs.columns]
-    all_docs = docs.select(*plain, *_identity(docs), _text(docs).alias("_text"))
+    all_docs = docs.select(F.struct(*docs.columns).alias("_row"), *_identity(docs), _text(docs).alias("_text"))
     joined = all_docs.join(marks.hint("shuffle_hash"), ["_doc", "_sig"], "left").withColumn("_words", dense(F.col("keep")))
     stays = F.filter(F.split("_text", "\n", -1), lambda line, i: _bit(i))
     return joined.select(
-        *plain,
+        "_row",
         (F.octet_length("_text") - F.octet_length(F.translate("_text", "\n", "")) + 1).cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("keep").isNull(), F.col("_text")).otherwise(F.array_join(stays, "\n")).alias("kept"),
@@ -111,5 +110,5 @@ def _bit(i: Column) -> Column:
 
 def digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Rows (doc_id, n_lines, n_dropped, kept_sha256) of every document."""
-    out = without_frequent_lines(docs.select("doc_id", "text"), min_docs, min_chars)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    out = marked(docs.select("doc_id", "text"), min_docs, min_chars)
+    return out.select("_row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
