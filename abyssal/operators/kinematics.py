@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, sphere
-from .spatial_join import tessellated
+from .spatial_join import query_raster, tessellated
+from .stats import subducted
 
 def _quaternion(pole: Column, by: Column) -> Column:
     s = F.sin(by / 2)
@@ -161,3 +162,11 @@ def times(spark, first: float, last: float, step: float) -> DataFrame:
     """Times from first to last, by whole steps rather than repeated sums."""
     n = int(math.floor((last - first) / step + 1e-9)) + 1
     return spark.range(n).select((F.lit(first) + F.col("id") * step).alias("time"))
+
+
+def subducted_sediment(arcs: DataFrame, thickness: DataFrame, radius: float = math.radians(20.0)) -> DataFrame:
+    """Length-weighted thickness and yearly volume by time, from rows of ``convergence`` and the thickness raster's nodes
+    (node_id, lon, lat, z); arcs without thickness within ``radius`` don't count."""
+    points = arcs.withColumn("query_id", F.struct("time", "lon", "lat", "subducting_plate", "overriding_plate"))
+    found = query_raster(points.select("query_id", "lon", "lat").distinct(), thickness, radius)
+    return subducted(points.join(found, "query_id").withColumnRenamed("z", "thickness"))

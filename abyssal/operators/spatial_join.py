@@ -135,3 +135,13 @@ def tessellated(segments: DataFrame, threshold: float) -> DataFrame:
         return sphere.plus(sphere.scaled(F.col("a"), F.sin(F.col("_len") - w) / F.col("_sin")), sphere.scaled(F.col("b"), F.sin(w) / F.col("_sin")))
 
     return sphere.evaluated(rows, pa=part(0.0), pb=part(1.0), mid=part(0.5), arc_len=F.col("_len") / F.col("_n")).drop("_len", "_n", "_sin")
+
+
+def query_lines(segments: DataFrame, nodes: DataFrame, threshold: float, search_radius: float, smoothing_radius: float | None = None) -> DataFrame:
+    """Rows (query_id, lon, lat, z, weight): the raster along lines (geom_id, a, b), at the middle of each piece of at
+    most ``threshold`` radians, with the piece's length as weight. Feature types are picked before moving geometries
+    that keep their type, and after resolving those that get it then."""
+    pieces = tessellated(segments, threshold).select("geom_id", "piece", F.col("arc_len").alias("weight"), sphere.lon_of(F.col("mid")).alias("lon"), sphere.lat_of(F.col("mid")).alias("lat"))
+    points = pieces.withColumn("query_id", F.struct("geom_id", "piece"))
+    found = query_raster(points.select("query_id", "lon", "lat"), nodes, search_radius, smoothing_radius)
+    return points.join(found, "query_id").select("geom_id", "piece", "lon", "lat", "z", "weight")

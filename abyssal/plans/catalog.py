@@ -644,15 +644,19 @@ def stage_velocity(spark, sf_dir):
     return moved.select("time", "plate", six(sphere.norm(F.col("v"))).alias("cm_yr"), six(sphere.dot(F.col("v"), F.col("at"))).alias("radial"))
 
 
-@query()
-def trench_convergence(spark, sf_dir):
+def _convergence(spark, sf_dir) -> DataFrame:
     k = F.col("geom_id")
     sharer = lambda i, c, r: F.struct(i.cast("int").alias("plate_id"), c.alias("clockwise"), r.alias("reversed"))
     sections = arcs(spark, sf_dir).select(
         (k % 3).cast("double").alias("time"), k.alias("section_id"), F.when(k % 2 == 0, "Left").otherwise("Right").alias("polarity"), F.lit(100).alias("plate_id"), "a", "b",
         F.array(sharer(F.lit(100), F.lit(True), F.lit(True)), sharer(F.lit(200) + 100 * (k % 4), F.lit(True), F.lit(False))).alias("sharing"),
     )
-    out = kinematics.convergence(sections, _anchored(spark, sf_dir, 4.0), 0.02)
+    return kinematics.convergence(sections, _anchored(spark, sf_dir, 4.0), 0.02)
+
+
+@query()
+def trench_convergence(spark, sf_dir):
+    out = _convergence(spark, sf_dir)
     numbers = [c for c, t in out.dtypes if t == "double" and c != "time"]
     return rounded(out, *numbers)
 
@@ -667,3 +671,34 @@ def ocean_proximity(spark, sf_dir):
     one = near.select(F.explode(F.array(F.col("lon"), F.col("lon") + 1)).alias("cell_lon"), "lat", "dist_km").select("cell_lon", F.explode(F.array(F.col("lat"), F.col("lat") + 1)).alias("cell_lat"), "dist_km")
     by_time = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10)))).select("cell_lon", "cell_lat", "dist_km", F.col("k").cast("double").alias("t"))
     return rounded(lifetime.proximity(points, lambda rows: kinematics.reconstructed(rows, anchored), by_time, 1, 10, 3000.0), "mean_km", "std_km")
+
+
+@query()
+def subducting_volume(spark, sf_dir):
+    out = kinematics.subducted_sediment(_convergence(spark, sf_dir), suppliers(spark, sf_dir))
+    return rounded(out, *(c for c in out.columns if c != "time"))
+
+
+@query()
+def raster_along_lines(spark, sf_dir):
+    return rounded(spatial_join.query_lines(arcs(spark, sf_dir), suppliers(spark, sf_dir), 0.02, math.radians(20), math.radians(10)), "lon", "lat", "z", "weight")
+
+
+@query()
+def lasso_curve(spark, sf_dir):
+    rows = calibrate.rate_rows(train(spark, sf_dir))
+    low = rows.agg(F.min("age")).first()[0]
+    return calibrate.curve(spark, calibrate.fit(rows, ["age"], "sedrate"), low).select(six("age").alias("age"), F.round("predicted", 3).alias("predicted"))
+
+
+@query()
+def rivers_with_and_without(spark, sf_dir):
+    rows = calibrate.rate_rows(train(spark, sf_dir)).withColumn("rivers", 1.0 / (1 + F.col("l_suppkey") % 50))
+    full, plain = calibrate.fit(rows, ["age", "pcb_mean_dist", "rivers"], "sedrate"), calibrate.fit(rows, ["age", "pcb_mean_dist"], "sedrate")
+    out = calibrate.with_and_without(rows, full, plain)
+    return out.select(*_ID, *(F.round(c, 3).alias(c) for c in ("with_rivers", "without_rivers", "difference")))
+
+
+@query("SELECT o_orderdate, o_orderkey, round(o_totalprice, 6) AS price FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 5")
+def ordered_head(spark, sf_dir):
+    return table(spark, sf_dir, "orders").orderBy("o_orderdate", "o_orderkey").limit(5).select("o_orderdate", "o_orderkey", six("o_totalprice").alias("price"))
