@@ -57,4 +57,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same; the other operators are tested against brute force."""
+    return {"op5_line_dedup": LINES_SQL, "op9_substring_dedup": WINDOWS_SQL}
+
+
+LINES_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+ m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+WINDOWS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ g AS (SELECT doc_id, s, md5(array_to_string(ws[s : s + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM w)),
+ f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+ r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM g JOIN f USING (h) WHERE doc_id > first),
+ k AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
+ m AS (SELECT k.doc_id, k.p, k.ws[k.p] AS word, r.p IS NOT NULL AS gone FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.p = k.p),
+ a AS (SELECT doc_id, sum(gone::INT)::BIGINT AS n, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN a USING (doc_id)
+"""
