@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,8 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     key = "spark.checkpoint.dir"
     where = spark.conf.get(key, None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = getattr(spark, "_abyssal_dir", None) or "file://" + tempfile.mkdtemp(prefix="abyssal-")
-        spark._abyssal_dir = where
+        where = getattr(spark, "_abyssal_dir", None)
+        if not where:
+            folder = tempfile.mkdtemp(prefix="abyssal-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            where = spark._abyssal_dir = f"file://{folder}"
     return where.rstrip("/")
 
 
@@ -35,7 +40,7 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/abyssal-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         writer = df.write.option("compression", "zstd")

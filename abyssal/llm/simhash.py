@@ -102,6 +102,7 @@ def meetings(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
     after = np.repeat(first + size, size) - np.arange(len(key))  # rows of the key from this one on
+    group = np.repeat(np.arange(len(first)), size)
     label, rows, lag = np.arange(len(names)), np.arange(len(key)), 1
     while True:
         rows = rows[after[rows] > lag]
@@ -111,6 +112,9 @@ def meetings(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
         hit = apart[_near(value[apart], value[apart + lag])]
         if len(hit):
             label = _joined(label, node[hit], node[hit + lag])
+        if lag & (lag - 1) == 0:  # keys whose rows are all joined need no more comparing
+            of = label[node]
+            rows = rows[(np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first))[group[rows]]]
         lag += 1
     own = np.arange(len(names))
     moved = own[label != own]
