@@ -8,6 +8,7 @@ search, each candidate checked greedily, and the stretches are cut there.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 
 from .common import parts, ranked, stored
 
-#: Group ends that the driver holds at a time in the search.
+#: Stretches of the order that the driver holds about at a time in the search.
 FENCES = 4096
 
 
-def greedy(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
+def greedy(ends: np.ndarray, capacity: int, shards: int, at: int = 0) -> list[int] | None:
     """Cut after the farthest end that keeps each stretch within ``capacity``; None if ``shards`` are too few."""
-    cuts, at = [], 0
+    cuts = []
     for _ in range(shards):
         i = int(np.searchsorted(ends, at + capacity, "right")) - 1
         if i < 0 or ends[i] <= at:
@@ -34,13 +35,65 @@ def greedy(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
     return None
 
 
-def smallest_capacity(ends: np.ndarray, least: int, shards: int) -> int:
-    """Smallest capacity of at least ``least`` that ``greedy`` accepts over these ends."""
-    low, high = least, max(least, int(ends[-1]))
-    while low < high:
-        middle = (low + high) // 2
-        low, high = (low, middle) if greedy(ends, middle, shards) else (middle + 1, high)
-    return low
+@dataclass
+class Spans:
+    """What the driver knows of the groups' ends: stretches of the order that hold them, as first end, last end and number."""
+
+    low: np.ndarray
+    high: np.ndarray
+    count: np.ndarray
+
+    def cuts(self, capacity: int, shards: int, hope: bool) -> list[int] | None:
+        """``greedy`` over the known ends; with ``hope`` also over any place between the ends of a stretch that holds others."""
+        cuts, at, last = [], 0, int(self.high[-1])
+        for _ in range(shards):
+            most = at + capacity
+            i = int(np.searchsorted(self.low, most, "right")) - 1
+            if i < 0:
+                return None
+            if most >= self.high[i]:
+                to = int(self.high[i])
+            else:
+                to = most if hope and self.count[i] > 2 else int(self.low[i])
+            if to <= at:
+                return None
+            at = to
+            cuts.append(at)
+            if at == last:
+                return cuts
+        return None
+
+    def least(self, low: int, shards: int, hope: bool) -> int:
+        """Smallest capacity of at least ``low`` that these cuts allow."""
+        high = max(low, int(self.high[-1]))
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if self.cuts(middle, shards, hope) else (middle + 1, high)
+        return low
+
+    def ends(self) -> np.ndarray:
+        return np.unique(np.concatenate([self.low, self.high]))
+
+
+def even_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Cuts that keep within ``capacity``, each as near as that allows to an even share of what is left.
+
+    Where a group alone sets the capacity, filling every shard up to it would leave the last ones empty.
+    """
+    cuts, at, total = [], 0, int(ends[-1])
+    for left in range(shards, 1, -1):
+        if at == total:
+            break
+        near = ends[(ends > at) & (ends <= at + capacity)]
+        low, high = 0, len(near) - 1  # the first end from which the rest still fits
+        while low < high:
+            middle = (low + high) // 2
+            fits = near[middle] == total or greedy(ends, capacity, left - 1, int(near[middle]))
+            low, high = (low, middle) if fits else (middle + 1, high)
+        share = at + (total - at) / left
+        at = int(near[max(low, int(np.abs(near - share).argmin()))])
+        cuts.append(at)
+    return cuts if at == total else [*cuts, total]
 
 
 def _summed(groups: DataFrame) -> tuple[DataFrame, int, int]:
@@ -74,53 +127,65 @@ def _summed(groups: DataFrame) -> tuple[DataFrame, int, int]:
 def cut_points(groups: DataFrame, shards: int) -> list[bytes]:
     """Last key of each shard but the empty ones, for groups (key binary, bytes long).
 
-    The driver sees the groups' ends only near the cuts, at most ``FENCES`` at a time
-    (and a few more): a sparse set of ends brackets the capacity, the stretches where a
-    cut can still fall are looked at more closely, and so on until their ends are all
-    there. The search over those gives the capacity that a search over all ends gives.
+    The driver sees at most about ``FENCES`` stretches of the order at a time. Known ends
+    alone bound the smallest capacity from above, known ends and any place where others
+    may be bound it from below; the stretches in which the cuts of both bounds fall are
+    split further until the bounds meet or there is nothing left to split there.
     """
     sized, total, largest = _summed(groups)
     if not total:
         return []
     least = max(largest, -(-total // shards))
-    windows, ends = [(0, total)], np.array([total])
-    for _ in range(64):
-        inside = F.lit(False)
-        for a, b in windows:
-            inside = inside | F.col("end").between(a, b)
-        width = sum(b - a for a, b in windows) + 1
-        step = max(1, width // FENCES)
-        near = sized.where(inside)
-        count = near.count()
-        if count > FENCES:  # of each step the first and the last end
-            slot = F.expr(f"end div {step}")
-            near = near.groupBy(slot.alias("s")).agg(F.array(F.min("end"), F.max("end")).alias("e")).select(F.explode("e").alias("end"))
-        ends = np.unique(np.concatenate([ends, np.array([r["end"] for r in near.select("end").distinct().collect()], dtype=np.int64)]))
-        capacity = smallest_capacity(ends, least, shards)
-        if count <= FENCES:
+    spans = _split(sized, Spans(np.array([0]), np.array([total]), np.array([1 << 62])), np.array([True]))
+    while True:
+        lower, upper = spans.least(least, shards, True), spans.least(least, shards, False)
+        if lower == upper:
             break
-        # A cut j of any capacity from least to this one lies from where the cuts at least reach over these ends to j * capacity.
-        low, windows = 0, []
-        for j in range(1, shards + 1):
-            i = int(np.searchsorted(ends, low + least, "right")) - 1
-            low = max(low, int(ends[i])) if i >= 0 else low
-            windows.append((low, min(total, j * capacity)))
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(windows):
-            merged[-1:] = [(merged[-1][0], max(b, merged[-1][1]))] if merged and a <= merged[-1][1] else [*merged[-1:], (a, b)]
-        if merged == [(0, total)] and step == 1:
+        # Cut j of any capacity between the bounds lies between cut j over known ends of the lower and hoped-for cut j of the upper.
+        near, at = np.zeros(len(spans.low), dtype=bool), 0
+        hoped = spans.cuts(upper, shards, True)
+        for j in range(shards):
+            i = max(0, int(np.searchsorted(spans.low, at + lower, "right")) - 1)
+            at = max(at, int(spans.high[i] if spans.high[i] <= at + lower else spans.low[i]))
+            near |= (spans.high >= at) & (spans.low <= (hoped[j] if j < len(hoped) else total))
+        near &= spans.count > 2
+        if not near.any():
             break
-        windows = merged
-    cuts = greedy(ends, capacity, shards)
+        spans = _split(sized, spans, near)
+    cuts = even_cuts(spans.ends(), upper, shards)
     last = {r["end"]: bytes(r["key"]) for r in sized.where(F.col("end").isin(cuts)).collect()}
     return [last[c] for c in cuts]
 
 
+def _split(sized: DataFrame, spans: Spans, which: np.ndarray) -> Spans:
+    """The spans with those of ``which`` split into about ``FENCES`` in all."""
+    low, high = spans.low[which], spans.high[which]
+    each = max(2, FENCES // len(low))
+    step = np.maximum(1, -(-(high - low + 1) // each))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            end = np.sort(batch["end"].to_numpy())
+            i = np.searchsorted(low, end, "right") - 1
+            ok = (i >= 0) & (end <= high[i])
+            end, i = end[ok], i[ok]
+            names, start, n = np.unique(i * each + (end - low[i]) // step[i], return_index=True, return_counts=True)
+            if len(names):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, end[start], end[start + n - 1], n)], names=["slot", "low", "high", "n"])
+
+    summed = sized.select("end").mapInArrow(slots, "slot long, low long, high long, n long").groupBy("slot")
+    found = summed.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect()
+    columns = [np.concatenate([a[~which], np.array([r[c] for r in found], dtype=np.int64)]) for a, c in ((spans.low, "low"), (spans.high, "high"), (spans.count, "n"))]
+    order = np.argsort(columns[0])
+    return Spans(*(c[order] for c in columns))
+
+
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document.
 
     ``size`` is the text's UTF-8 bytes plus 1. The law is ``bytes``: the largest shard
-    is as small as contiguous stretches of whole groups of equal texts allow. Null
+    is as small as contiguous stretches of whole groups of equal texts allow, and the
+    others are as even as that lets them be. Null
     texts (no bytes, checksum 0) form a group of their own. Repeated rows each get a
     slot; slots of a shard run from 0 without gaps. An empty table gives no rows;
     other columns are ignored.
