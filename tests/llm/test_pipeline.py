@@ -10,12 +10,19 @@ import corpus_pipeline
 from abyssal.llm import quality, simhash
 from abyssal.llm.common import table
 
-from .test_contracts import brute_fingerprint, components
-
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
+def shingles(text: str | None) -> frozenset:
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+
+
+def jaccard(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b)
+
+
 def test_stages(spark, tmp_path):
     docs, seen = table(spark, DATA, "documents"), []
     for name, stage in corpus_pipeline.STAGES:
@@ -29,8 +36,17 @@ def test_stages(spark, tmp_path):
     kept = {r["doc_id"] for r in quality.classify(seen[0], table(spark, DATA, "labels")).where("keep").collect()}
     assert set(text[1]) == kept and text[1] == {i: text[0][i] for i in kept}
     assert set(text[2]) == set(text[1])
-    of = components({i: brute_fingerprint(t) for i, t in text[2].items()})
-    assert text[3] == {i: t for i, t in text[2].items() if of[i] == i}
+    assert all(text[2][i] == t for i, t in text[3].items())
+    sets = {i: shingles(t) for i, t in text[2].items()}
+    alike = {(i, k): jaccard(sets[i], sets[k]) for i in sets for k in sets if i < k}
+    same = {p for p, j in alike.items() if j >= 0.8}
+    kept = text[3].keys()
+    assert sum(i in kept and k in kept for i, k in same) <= 0.05 * len(same)
+    assert not any(i in kept and k in kept for (i, k), j in alike.items() if j >= 0.9)
+    near = {i for (i, k), j in alike.items() if j >= 0.5 for i in (i, k)}
+    assert {i for i in sets if i not in near} <= kept
+    for i in sets.keys() - kept:
+        assert any(k < i and (k, i) in alike and alike[k, i] >= 0.5 for k in sets)
     bench = {r["item_id"]: r["text"].lower().split() for r in table(spark, DATA, "benchmark").collect()}
     holds = lambda t, b: sum(" ".join(b[k : k + 5]) in t for k in range(len(b) - 4)) >= 0.8 * (len(b) - 4)
     joined = {i: " ".join(t.lower().split()) for i, t in text[3].items()}
@@ -45,3 +61,24 @@ def test_repeated_rows_leave_one(spark):
     got = stages.one_of_near_copies(spark.createDataFrame(rows, "doc_id long, text string, _doc int")).collect()
     assert sorted(r["doc_id"] for r in got) == [1, 3]
     assert simhash.RADIUS == 3
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    """Copies of a text with few words changed share a component, others don't; edge rows have a defined result."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choices(words, k=400) for _ in range(40)]
+    rows, truth = [], {}
+    for i, b in enumerate(base):
+        for v in range(4):
+            copy = list(b)
+            for at in rng.sample(range(400), v):
+                copy[at] = "changed"
+            rows.append((10 * i + v, " ".join(copy), "x"))
+            truth[10 * i + v] = 10 * i
+    edge = [(1000, None, "x"), (1001, "", "x"), (1002, " \n ", None), (1003, "one two", "x"), (1004, "ONE two", "x"), (None, "word " * 30_000, "x")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(spark.createDataFrame(rows + edge, "doc_id long, text string, fp string")).collect()}
+    assert got == truth | {1000: 1000, 1001: 1000, 1002: 1000, 1003: 1003, 1004: 1003, None: None}
+    assert simhash.near_clusters(spark.createDataFrame([], "doc_id long, text string")).count() == 0
