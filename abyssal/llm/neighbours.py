@@ -3,8 +3,9 @@
 Every vector is scaled to unit length and coded by 4-bit product quantisation whose
 loss weighs the residual along the vector more than the residual across it, since the
 former moves inner products. Queries and coded vectors meet in blocks; a block's
-codes are scanned with per-query lookup tables, and the best of each scan are scored
-exactly on the original vectors before the blocks' results are merged.
+codes are scanned with per-query lookup tables. The best of each scan are scored exactly
+on the original vectors, and so is every other vector whose scan score and quantisation
+error leave it a chance to enter, before the blocks' results are merged.
 """
 
 from __future__ import annotations
@@ -50,6 +51,11 @@ class Quantiser:
                 along[:, j] = own[np.arange(len(x)), codes[:, j]]
         return codes.astype(np.uint8)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """Coded vectors (rows, subspaces * width) of codes packed two a byte."""
+        one = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)[:, : len(self.books)]
+        return self.books[np.arange(len(self.books)), one].reshape(len(codes), -1)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products (queries, pairs of subspaces, 256) for a byte that holds two codes."""
         one = np.einsum("qmw,mcw->qmc", self.split(queries), self.books)
@@ -118,6 +124,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+#: Rounding of a scan in single precision, far above what sums of table entries can lose.
+_SLACK = 1e-5
+
+
+def _bounds(unit: np.ndarray, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length of each coded vector, and cosine and sine of its angle to the unit vector that it codes."""
+    norm = np.maximum(np.sqrt((coded * coded).sum(1)), 1e-30)
+    cos = np.clip((unit * coded[:, : unit.shape[1]]).sum(1) / norm, -1, 1)
+    return norm, cos, np.sqrt(1 - cos * cos)
+
+
+def _at_most(score: np.ndarray, norm: np.ndarray, cos: np.ndarray, sin: np.ndarray) -> np.ndarray:
+    """Largest exact score that each scan score allows: the angle to the query is no less
+    than the query's angle to the coded vector less that between coded and exact vector."""
+    c = np.clip(score / norm, -1, 1)
+    return np.where(c >= cos, 1.0, c * cos + np.sqrt(1 - c * c) * sin) + _SLACK + _SLACK / norm
+
+
 def _first(score: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` largest scores; of equal ones those that come first."""
     if len(score) <= k:
@@ -142,8 +166,10 @@ def search(
     id is divisible by ``query_every``, its own row left out.
 
     ``fit_rows`` bounds the sample that the quantiser is fitted on (by hash of the id);
-    every row is coded and scanned. Each block of ``block_rows`` coded vectors hands its
-    ``rerank`` best by table scan to exact scoring in double precision. Vectors that are
+    every row is coded and scanned. Of each block of ``block_rows`` coded vectors the
+    ``rerank`` best by table scan are scored exactly in double precision, then, in growing
+    batches, all whose scan score and quantisation error allow a score as good as the
+    ``k``-th best so far, so the result is that of comparing all vectors. Vectors that are
     null, zero or hold null or non-finite components take no part, nor do those of
     another length than most of the sample and rows without an id; repeated rows are
     candidates of their own. Ties go to the smaller id. An empty table gives no rows.
@@ -182,16 +208,26 @@ def search(
             ids, v = coded["vec_id"].to_numpy(), _matrix(coded["v"], dim)
             byte = np.frombuffer(b"".join(coded["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1).T
             unit = _unit(v)
+            bounds = _bounds(unit, shared.value.decode(byte.T))
             q = _unit(_matrix(asked["v"], dim))
             for i, (name, table) in enumerate(zip(asked["vec_id"].to_pylist(), shared.value.tables(q))):
                 score = np.zeros(len(ids), dtype=np.float32)
                 for part, codes in zip(table, byte):
                     score += part[codes]
-                score[ids == name] = -np.inf
+                most = _at_most(score.astype(np.float64), *bounds)
+                score[ids == name] = most[ids == name] = -np.inf
                 near = np.sort(_first(score, rerank))
                 near = near[ids[near] != name]
                 exact = (unit[near] * q[i]).sum(1)
-                best = np.lexsort((ids[near], -exact))[:k]
+                most[near] = -np.inf
+                best, size = np.lexsort((ids[near], -exact))[:k], rerank
+                while True:
+                    left = np.flatnonzero(most >= exact[best[-1]]) if len(best) == k else np.flatnonzero(most > -np.inf)
+                    if not len(left):
+                        break
+                    left = left[_first(most[left], size)]
+                    near, exact, most[left] = np.concatenate([near[best], left]), np.concatenate([exact[best], (unit[left] * q[i]).sum(1)]), -np.inf
+                    best, size = np.lexsort((ids[near], -exact))[:k], 2 * size
                 out += [(name, int(ids[near[b]]), float(exact[b])) for b in best]
         cols = list(zip(*out)) or [()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])

@@ -296,6 +296,22 @@ def test_equal_vectors_come_by_id(spark):
     assert got == [(k, k) for k in range(1, 6)]
 
 
+def test_neighbours_among_near_copies(spark):
+    """A third of the vectors lie around one centre and share a few codes; all their nearest must be found."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 32))
+    x[::3] = rng.normal(size=32) + rng.normal(size=(2000, 32)) * 0.003
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = neighbours.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 100, 5, block_rows=6000).collect()
+    unit, mine = x / np.linalg.norm(x, axis=1, keepdims=True), {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        mine.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, 6000, 100):
+        score = unit @ unit[q]
+        score[q] = -9
+        assert mine[q] == np.lexsort((np.arange(6000), -score))[:5].tolist()
+
+
 def test_language(spark, empty):
     rng = random.Random(6)
     parts = {"aa": ["ka", "ko", "ri", "mu"], "bb": ["sch", "ung", "ein", "tz"], "cc": ["eau", "oi", "ché", "que"]}
