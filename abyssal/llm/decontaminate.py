@@ -4,13 +4,15 @@ Words become template tokens: numbers, names and units turn into typed placehold
 other words into their lower-case form without punctuation at the ends. Windows of
 template tokens are hash-joined with the benchmark's, so a question asked anew with
 other parameters still matches; the values behind the placeholders must then map one
-to one between item and document.
+to one between item and document, at one place of the document: values that the same
+template has elsewhere don't count against it.
 """
 
 from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,11 +130,69 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     return items.mapInArrow(cut, "h long, item_id long, item_pos int, item_slots array<bigint>")
 
 
+def _together(readings: Iterator[list[dict]], forth: dict[int, int], back: dict[int, int]) -> bool:
+    """Whether the pairs map one to one, also with those of ``forth`` and ``back``, which then take them up."""
+    more, less = {}, {}
+    for pairs in readings:
+        for p in pairs:
+            mine, theirs = p["item_slots"], p["doc_slots"]
+            if forth.get(mine, theirs) != theirs or back.get(theirs, mine) != mine or more.setdefault(mine, theirs) != theirs or less.setdefault(theirs, mine) != mine:
+                return False
+    forth.update(more)
+    back.update(less)
+    return True
+
+
+def best_reading(found: list[dict], n_windows: int, similarity: float) -> tuple[bool, int, int] | None:
+    """(exact, n_matched, n_slots) of the best way to read an item's windows in a document, if any holds it.
+
+    ``found`` has the windows (align, item_pos, pairs) of one document and item; ``align`` is
+    the place in the document less that in the item, null where no value is behind a window.
+    Each alignment is read with all its windows, then with those of the alignments next to
+    it (words put in or left out), nearest first, as far as their values agree with it.
+    Last, all windows are read together, each with its smallest values.
+    """
+    free, by, least = set(), {}, {}
+    for w in found:
+        if w["align"] is None:
+            free.add(w["item_pos"])
+        else:
+            by.setdefault(w["align"], {})[w["item_pos"]] = w["pairs"]
+            values = [(p["item_slots"], p["doc_slots"]) for p in w["pairs"]]
+            if w["item_pos"] not in least or values < least[w["item_pos"]][0]:
+                least[w["item_pos"]] = values, w["pairs"]
+    aligns, best = sorted(by), None
+
+    def weigh(matched: int, forth: dict[int, int]) -> None:
+        nonlocal best
+        if matched >= similarity * n_windows:
+            got = (all(a == b for a, b in forth.items()), matched, len(forth))
+            best = got if best is None else max(best, got)
+
+    for at in aligns:
+        forth, back = {}, {}
+        if _together(by[at].values(), forth, back):
+            seen = free | by[at].keys()
+            near = aligns[bisect_left(aligns, at - n_windows) : bisect_left(aligns, at + n_windows + 1)]
+            for other in sorted(near, key=lambda a: (abs(a - at), a))[1:]:
+                new = by[other].keys() - seen
+                if new and _together((by[other][k] for k in new), forth, back):
+                    seen |= new
+            weigh(len(seen), forth)
+            if best == (True, n_windows, len(forth)):
+                return best
+    forth = {}
+    if _together((pairs for _, pairs in least.values()), forth, {}):
+        weigh(len(free | least.keys()), forth)
+    return best
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (doc_id, sig, item_id, n_windows, n_matched, n_slots, exact) for documents that hold an item.
 
     A document holds an item if at least ``similarity`` of the item's windows of ``width``
-    template tokens occur in it and the values in the placeholders map one to one.
+    template tokens occur in it and the values in the placeholders map one to one at some
+    place of the document (see ``best_reading``); other places may hold other values.
     ``exact`` says that they are the same values. Items of fewer than ``width`` words are
     too short to tell and take no part; null texts count as empty, null ids of items are
     left out. ``sig`` is a hash of the document's text. A repeated document gives one row
@@ -154,17 +214,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
                 h, text, place, slots = _rows(texts[at : at + 512], width, templates, keep)
                 if len(h):
                     own = pa.array(text + at)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(own), sig.take(own), pa.array(list(slots), pa.list_(pa.int64()))], names=["h", "doc_id", "sig", "doc_slots"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(own), sig.take(own), pa.array(place, pa.int32()), pa.array(list(slots), pa.list_(pa.int64()))], names=["h", "doc_id", "sig", "doc_pos", "doc_slots"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signature(docs).alias("sig"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(cut, "h long, doc_id long, sig long, doc_slots array<bigint>")
+    found = rows.mapInArrow(cut, "h long, doc_id long, sig long, doc_pos int, doc_slots array<bigint>")
     small = items.count() <= BROADCAST_WINDOWS
     sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
     hits = found.join(F.broadcast(items) if small else items, "h")
     pair = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda s: s["item_slots"] != 0)
     key = ["doc_id", "sig", "item_id"]
-    counted = hits.groupBy(*key, "item_pos").agg(F.min(pair).alias("pairs")).groupBy(*key).agg(F.count("*").alias("n_matched"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    mine, theirs = F.array_distinct(F.col("pairs.item_slots")), F.array_distinct(F.col("pairs.doc_slots"))
-    out = counted.join(F.broadcast(sizes) if small else sizes, "item_id").where(F.col("n_matched") >= similarity * F.col("n_windows"))
-    out = out.where((F.size("pairs") == F.size(mine)) & (F.size("pairs") == F.size(theirs)))
-    return out.select(*key, F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), F.size(mine).cast("long").alias("n_slots"), F.forall("pairs", lambda p: p["item_slots"] == p["doc_slots"]).alias("exact"))
+    window = F.struct(F.when(F.size("pairs") > 0, F.col("doc_pos") - F.col("item_pos")).alias("align"), "item_pos", "pairs")
+    held = hits.withColumn("pairs", pair).groupBy(*key).agg(F.collect_set(window).alias("found"))
+    held = held.join(F.broadcast(sizes) if small else sizes, "item_id").where(F.size(F.array_distinct(F.col("found.item_pos"))) >= similarity * F.col("n_windows"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                got = [best_reading(f, n, similarity) for f, n in zip(some["found"].to_pylist(), some["n_windows"].to_pylist())]
+                own = pa.array([i for i, g in enumerate(got) if g is not None], pa.int64())
+                exact, matched, slots = list(zip(*filter(None, got))) or [()] * 3
+                yield pa.RecordBatch.from_arrays(
+                    [*(some[c].take(own) for c in (*key, "n_windows")), pa.array(matched, pa.int64()), pa.array(slots, pa.int64()), pa.array(exact, pa.bool_())],
+                    names=[*key, "n_windows", "n_matched", "n_slots", "exact"],
+                )
+
+    return held.select(*key, F.col("n_windows").cast("long").alias("n_windows"), "found").mapInArrow(read, "doc_id long, sig long, item_id long, n_windows long, n_matched long, n_slots long, exact boolean")

@@ -98,6 +98,19 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_reads_each_place_by_itself(spark):
+    """The same template with other values elsewhere in the document doesn't hide a copy; nor do words put in or left out."""
+    ask = "If a train travels {} km in {} hours how far does it go in {} hours then and who will {} meet at the old gate".format
+    item, strays = ask(60, 2, 5, "Bob"), [ask(n, n + 1, n + 1, "Eve") for n in range(70, 90)]
+    text = {
+        1: f"{item}. {' '.join(strays)}", 2: f"{' '.join(strays)}. {item}.", 3: f"{ask(61, 3, 8, 'Tom')}. {ask(90, 4, 7, 'Ann')}", 4: " ".join(strays),
+        5: item.replace("how", "say how") + ". " + " ".join(strays), 6: " ".join(strays) + " " + item.replace(" old", ""),
+    }
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["exact"], r["n_windows"] == r["n_matched"]) for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got.keys() == {1, 2, 3, 5, 6} and got[1] == got[2] == (True, True) and got[3] == (False, True)
+
+
 def brute_fingerprint(t):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
