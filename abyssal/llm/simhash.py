@@ -9,7 +9,8 @@ and joined into components.
 
 Texts whose five-word shingles agree to 0.8 differ in far more than three of 64 bits.
 ``near_clusters`` finds them with longer sketches: the balls are laid around each of
-five blocks of 28 bits, and what meets on a variant is verified on 96 other bits.
+five blocks of 28 bits, and what meets on a variant is a candidate if 96 other bits
+differ little. Candidates link only if their sets of shingles agree to 0.8.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from .common import beside, components, parts, stored
 RADIUS = 3
 #: Blocks of the key sketch of near copies and bits of each; two sketches meet on a block if they differ there in two bits at most.
 KEY_BLOCKS, KEY_BITS = 5, 28
-#: Largest distance of near copies over the 96 bits of their fingerprint. Sets of shingles of Jaccard similarity 0.8 differ in 14.5 bits in the mean.
-NEAR_RADIUS = 18
+#: Largest distance of candidates for near copies over the 96 bits of their fingerprint. Sets of shingles of Jaccard similarity 0.8 differ in 14.5 bits in the mean.
+NEAR_RADIUS = 24
+#: Least Jaccard similarity of the sets of shingles of near copies that link.
+SIMILARITY = 0.8
+#: Hits that a task holds before it keeps the nearest of each only.
+HELD_HITS = 1 << 20
 #: Words whose hashes a Python worker keeps.
 CACHED_WORDS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -94,23 +99,21 @@ def variants(fps: DataFrame) -> DataFrame:
     return exploded.select(F.col("fp").bitwiseAND(F.col("v.m")).bitwiseXOR(F.col("v.f")).alias("key"), "fp")
 
 
-def meetings(key: np.ndarray, fp: np.ndarray, more: np.ndarray | None = None, radius: int = RADIUS) -> np.ndarray:
+def meetings(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
     """Links (fp, fp) that join all fingerprints of these rows that meet on a key and lie within the radius.
 
-    ``more`` holds further bits of each fingerprint, the same wherever it occurs; they count for the distance.
-
     Within a key, rows are compared at growing distances in sorted order, all keys at a
     time, and joined as they are found; of each joined set every member is linked to one,
     so there are never more links than rows.
     """
     order = np.argsort(key, kind="stable")
-    key, fp, more = key[order], fp[order], None if more is None else more[order]
+    key, fp = key[order], fp[order]
     same = np.flatnonzero(key[1:] == key[:-1])
     if not len(same):
         return np.zeros((0, 2), dtype=np.int64)
     keep = np.unique(np.concatenate([same, same + 1]))
     key, (names, node) = key[keep], np.unique(fp[keep], return_inverse=True)
-    value, more = names.view(np.uint64)[node], None if more is None else more[keep]
+    value = names.view(np.uint64)[node]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
     after = np.repeat(first + size, size) - np.arange(len(key))  # rows of the key from this one on
@@ -121,10 +124,7 @@ def meetings(key: np.ndarray, fp: np.ndarray, more: np.ndarray | None = None, ra
         if not len(rows):
             break
         apart = rows[label[node[rows]] != label[node[rows + lag]]]
-        far = np.bitwise_count(value[apart] ^ value[apart + lag]).astype(np.int64)
-        if more is not None:
-            far += np.bitwise_count(more[apart] ^ more[apart + lag])
-        hit = apart[far <= radius]
+        hit = apart[np.bitwise_count(value[apart] ^ value[apart + lag]) <= RADIUS]
         if len(hit):
             label = _joined(label, node[hit], node[hit + lag])
         if lag & (lag - 1) == 0:  # keys whose rows are all joined need no more comparing
@@ -136,6 +136,63 @@ def meetings(key: np.ndarray, fp: np.ndarray, more: np.ndarray | None = None, ra
     return np.stack([names[moved], names[label[moved]]], axis=1)
 
 
+def candidates(key: np.ndarray, fp: np.ndarray, more: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (fp, fp) of these rows that meet on a key and lie within ``NEAR_RADIUS``.
+
+    Without ``group``, enough pairs to connect all that do. With it, the number of a set that
+    each fingerprint is in: for each fingerprint and other set the nearest that it meets.
+    """
+    none = np.zeros((0, 2), dtype=np.int64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = np.flatnonzero(key[1:] == key[:-1])
+    if not len(same):
+        return none
+    keep = np.unique(np.concatenate([same, same + 1]))
+    key, order = key[keep], order[keep]
+    names, at, node = np.unique(fp[order], return_index=True, return_inverse=True)
+    value, more = names.view(np.uint64)[node], more[order]
+    label = np.arange(len(names)) if group is None else np.unique(group[order][at], return_inverse=True)[1]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    after = np.repeat(first + size, size) - np.arange(len(key))
+    part = np.repeat(np.arange(len(first)), size)
+    out, held, rows, lag = [none], 0, np.arange(len(key)), 1
+
+    def nearest(hits: list[np.ndarray]) -> np.ndarray:
+        """Rows (node, node, distance): of each node and other set the nearest."""
+        all_ = np.concatenate(hits)
+        by = np.lexsort((all_[:, 1], all_[:, 2], label[all_[:, 1]], all_[:, 0]))
+        a, b = all_[by, 0], label[all_[by, 1]]
+        return all_[by[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])]] if len(by) else all_
+
+    hits = [np.zeros((0, 3), dtype=np.int64)]
+    while True:
+        rows = rows[after[rows] > lag]
+        if not len(rows):
+            break
+        apart = rows[label[node[rows]] != label[node[rows + lag]]]
+        far = np.bitwise_count(value[apart] ^ value[apart + lag]).astype(np.int64) + np.bitwise_count(more[apart] ^ more[apart + lag])
+        hit = far <= NEAR_RADIUS
+        a, b, far = node[apart[hit]], node[apart[hit] + lag], far[hit]
+        if len(a) and group is None:
+            label = _joined(label, a, b)
+            out.append(np.unique(np.stack([names[a], names[b]], axis=1), axis=0))
+        elif len(a):
+            hits += [np.stack([a, b, far], axis=1), np.stack([b, a, far], axis=1)]
+            held += 2 * len(a)
+            if held > HELD_HITS:
+                hits, held = [nearest(hits)], 0
+        if lag & (lag - 1) == 0:
+            of = label[node]
+            rows = rows[(np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first))[part[rows]]]
+        lag += 1
+    if group is not None:
+        out.append(names[nearest(hits)[:, :2]])
+    found = np.sort(np.concatenate(out), axis=1)
+    return np.unique(found, axis=0)
+
+
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after linking each a to its b: the smallest place of each connected set."""
     while True:
@@ -154,18 +211,19 @@ def links(fps: DataFrame) -> DataFrame:
     return _met(variants(fps), fps.count() * (3 + sum(64 - bin(b).count("1") for b in _BLOCKS)))
 
 
-def _met(rows: DataFrame, made: int, radius: int = RADIUS, rows_a_task: int = 1 << 20) -> DataFrame:
-    """Links (a, b) of ``made`` rows (key, fp), the low 32 bits of the key being further bits of the fingerprint if the radius is a near copy's."""
-    n, near = parts(rows.sparkSession, -(-made // rows_a_task)), radius != RADIUS
+def _met(rows: DataFrame, made: int, near: bool = False, rows_a_task: int = 1 << 20) -> DataFrame:
+    """Links (a, b) of ``made`` rows (key, fp), or candidates of near copies, whose keys hold further bits of the
+    fingerprint in the low 32 bits; rows of near copies may have the set ``root`` that a fingerprint is in."""
+    n, sets = parts(rows.sparkSession, -(-made // rows_a_task)), "root" in rows.columns
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b["key"].to_numpy(), b["fp"].to_numpy()) for b in batches]
+        got = [tuple(b[c].to_numpy() for c in b.schema.names) for b in batches]
         if got:
-            key, fp = np.concatenate([k for k, _ in got]), np.concatenate([f for _, f in got])
-            found = meetings(key >> 32, fp, key.view(np.uint64) & np.uint64(0xFFFFFFFF), radius) if near else meetings(key, fp)
+            key, fp, *root = (np.concatenate(c) for c in zip(*got))
+            found = candidates(key >> 32, fp, key.view(np.uint64) & np.uint64(0xFFFFFFFF), *root) if near else meetings(key, fp)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
-    return rows.repartition(n, F.shiftright("key", 32) if near else F.col("key")).mapInArrow(meet, "a long, b long").distinct()
+    return rows.select("key", "fp", *(["root"] if sets else [])).repartition(n, F.shiftright("key", 32) if near else F.col("key")).mapInArrow(meet, "a long, b long").distinct()
 
 
 def clusters(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -225,26 +283,30 @@ class Sketches:
             counts = counts + seen.reshape(-1, 256) @ _BITS
         return (2 * counts > len(h)).ravel()
 
-    def of(self, text: str | None, width: int, key_width: int) -> tuple[int, int, list[int]]:
-        """Fingerprint (64 bits, then 32 more) and keys of a text; without words all are zero."""
+    def of(self, text: str | None, width: int, key_width: int) -> tuple[int, int, list[int], np.ndarray]:
+        """Fingerprint (64 bits, then 32 more), keys and hashes of the shingles of a text; without words all are zero."""
         split = (text or "").encode("utf-8", "replace").lower().split()
         if not split:
-            return 0, 0, [0] * KEY_BLOCKS
+            return 0, 0, [0] * KEY_BLOCKS, np.zeros(0, dtype=np.int64)
         if len(self.words) > CACHED_WORDS:
             self.words = _Words()
         words = np.fromiter(map(self.words.__getitem__, split), dtype=np.uint64, count=len(split))
-        fp = np.packbits(self.bits(self.shingles(words, width), 2), bitorder="little").view(np.uint64)
+        runs = self.shingles(words, width)
+        fp = np.packbits(self.bits(runs, 2), bitorder="little").view(np.uint64)
         keys = self.bits(self.shingles(words, key_width), 3)[: KEY_BLOCKS * KEY_BITS].reshape(KEY_BLOCKS, KEY_BITS)
-        return int(fp[0]), int(fp[1]) & 0xFFFFFFFF, (keys @ (1 << np.arange(KEY_BITS))).tolist()
+        return int(fp[0]), int(fp[1]) & 0xFFFFFFFF, (keys @ (1 << np.arange(KEY_BITS))).tolist(), runs.view(np.int64)
 
 
 def near_clusters(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFrame:
     """Rows (doc_id, fp, component_id) of every document, near copies in one component.
 
-    Documents link if their 96-bit fingerprints over distinct shingles of ``width`` words
+    Documents link if their sets of shingles of ``width`` words have a Jaccard similarity of
+    ``SIMILARITY`` or more. Candidates are those whose 96-bit fingerprints over the distinct shingles
     differ in at most ``NEAR_RADIUS`` bits and their key sketches, over ``key_width`` words (an
     edit touches fewer of these, so they differ less), in at most two bits of some block:
-    each block emits itself and its one-bit variants, and links meet on one. Similarity 0.8
+    each block emits itself and its one-bit variants, and candidates meet on one. Pairs that
+    connect all candidates are compared first; then each fingerprint is compared with the
+    nearest candidate in each other set that these left apart. Similarity 0.8
     or more is found with the probability that README measures. Equal texts always
     share a component, as do all documents without words. Repeated rows, null ids and
     other columns are dealt with as by ``clusters``.
@@ -252,24 +314,47 @@ def near_clusters(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFr
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = Sketches()
-        for batch in batches:
-            got = [sketches.of(t, width, key_width) for t in batch["text"].to_pylist()]
-            fp = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(fp), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "more", "keys"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                got = [sketches.of(t, width, key_width) for t in batch["text"].to_pylist()]
+                fp = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"], pa.array(fp), pa.array([g[1] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (2, 3))],
+                    names=["doc_id", "fp", "more", "keys", "shingles"],
+                )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(score, "doc_id long, fp long, more long, keys array<bigint>"), "sketches")
+    rows = stored(texts.mapInArrow(score, "doc_id long, fp long, more long, keys array<bigint>, shingles array<bigint>"), "sketches")
     one = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("more", "keys")).alias("one"))
     classes = stored(one.select("fp", "first", "one.more", "one.keys"), "sketch-classes")
     flips = F.lit([0, *(1 << i for i in range(KEY_BITS))]).cast("array<bigint>")
-    blocks = classes.select("fp", "more", F.posexplode("keys").alias("block", "bits"))
-    balls = blocks.select("fp", "more", F.shiftleft(F.col("block").cast("long"), KEY_BITS).alias("block"), "bits", F.explode(flips).alias("flip"))
-    key = F.shiftleft(F.col("block") + F.col("bits").bitwiseXOR(F.col("flip")), 32).bitwiseOR(F.col("more"))
-    made = classes.count() * KEY_BLOCKS * (KEY_BITS + 1)
-    return _labelled(rows.select("doc_id", "fp"), classes.select("fp", "first"), _met(balls.select(key.alias("key"), "fp"), made, NEAR_RADIUS))
+
+    def met(some: DataFrame) -> DataFrame:
+        own = [c for c in some.columns if c == "root"]
+        blocks = some.select("fp", "more", *own, F.posexplode("keys").alias("block", "bits"))
+        balls = blocks.select("fp", "more", *own, F.shiftleft(F.col("block").cast("long"), KEY_BITS).alias("block"), "bits", F.explode(flips).alias("flip"))
+        key = F.shiftleft(F.col("block") + F.col("bits").bitwiseXOR(F.col("flip")), 32).bitwiseOR(F.col("more"))
+        return _met(balls.select(key.alias("key"), "fp", *own), some.count() * KEY_BLOCKS * (KEY_BITS + 1), True)
+
+    pairs = stored(met(classes), "near-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    held = beside(rows.select("doc_id", "fp", "shingles"), nodes, "fp", "inner", row_bytes=F.lit(24))
+    sets = stored(held.groupBy("fp").agg(F.min(F.struct("doc_id", "shingles")).alias("one")).select("fp", "one.shingles"), "near-sets")
+    linked = stored(alike(pairs, sets), "near-links")
+    if linked.count() < pairs.count():
+        roots = components(linked, "near-found").withColumnsRenamed({"node": "fp"})
+        apart = classes.join(nodes, "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        linked = linked.union(stored(alike(met(stored(apart, "near-apart")).join(pairs, ["a", "b"], "left_anti"), sets), "near-more-links"))
+    return _labelled(rows.select("doc_id", "fp"), classes.select("fp", "first"), linked)
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets (fp, shingles) have a Jaccard similarity of at least ``SIMILARITY``."""
+    of = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"of_{name}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least(F.size("of_a"), F.size("of_b")) >= SIMILARITY * F.greatest(F.size("of_a"), F.size("of_b")))
+    return joined.where(both >= SIMILARITY * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
 def digest(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:

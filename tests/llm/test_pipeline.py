@@ -82,3 +82,23 @@ def test_near_copies_of_five_word_shingles(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(spark.createDataFrame(rows + edge, "doc_id long, text string, fp string")).collect()}
     assert got == truth | {1000: 1000, 1001: 1000, 1002: 1000, 1003: 1003, 1004: 1003, None: None}
     assert simhash.near_clusters(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_below_the_similarity_stay(spark):
+    """Texts that share a long passage, at similarity 0.6 to 0.75, don't link; nearly all of 0.87 do."""
+    import random
+
+    rng, rows = random.Random(11), []
+    word = lambda: f"w{rng.randrange(100_000)}"
+    for i in range(200):
+        base = [word() for _ in range(300)]
+        own = rng.choice([45, 60, 75])
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base[:-own] + [word() for _ in range(own)]))]
+        if i % 2:
+            rows.append((10 * i + 2, " ".join(base[:-20] + [word() for _ in range(20)])))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    for i in range(0, 2000, 10):
+        assert jaccard(sets[i], sets[i + 1]) < 0.8 and got[i] == i and got[i + 1] == i + 1
+    linked = [got[i] == i - 2 for i in got if i % 10 == 2]
+    assert all(got[i] in (i, i - 2) for i in got if i % 10 == 2) and sum(linked) >= 0.85 * len(linked)
