@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import beside, components, parts, stored
+from .quality import signature
 
 RADIUS = 3
 #: Blocks of the key sketch of near copies and bits of each; two sketches meet on a block if they differ there in two bits at most.
@@ -241,13 +242,18 @@ def clusters(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
 
 def _labelled(rows: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
     """Rows (doc_id, fp, component_id) from rows (doc_id, fp), classes (fp, first) and their links."""
-    roots = components(linked, "simhash").withColumnsRenamed({"node": "fp"})
-    joined = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = _rooted(classes, linked)
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = stored(joined.join(least, "root").select("fp", "component_id"), "fp-components")
     return beside(rows, ids, "fp", "inner", row_bytes=F.lit(24)).select("doc_id", "fp", "component_id")
 
 
+def _rooted(classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``classes`` with the ``root`` that links reach from each fp, its own if none."""
+    roots = components(linked, "simhash").withColumnsRenamed({"node": "fp"})
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 class _Words(dict):
     """Hash of each word."""
 
@@ -311,6 +317,20 @@ def near_clusters(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFr
     share a component, as do all documents without words. Repeated rows, null ids and
     other columns are dealt with as by ``clusters``.
     """
+    rows, classes, linked = _near(docs, width, key_width)
+    return _labelled(rows.select("doc_id", "fp"), classes, linked)
+
+
+def near_roots(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFrame:
+    """Rows (doc_id, sig, root) of every document: a hash of its text, and the fingerprint that
+    names its component of ``near_clusters``, whatever the ids are."""
+    rows, classes, linked = _near(docs, width, key_width)
+    roots = stored(_rooted(classes, linked).select("fp", "root"), "near-roots")
+    return beside(rows, roots, "fp", "inner", row_bytes=F.lit(24)).select("doc_id", "sig", "root")
+
+
+def _near(docs: DataFrame, width: int, key_width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, sig, fp, ...) of the documents, classes (fp, first) and links of near copies."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = Sketches()
@@ -320,12 +340,12 @@ def near_clusters(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFr
                 got = [sketches.of(t, width, key_width) for t in batch["text"].to_pylist()]
                 fp = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], pa.array(fp), pa.array([g[1] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (2, 3))],
-                    names=["doc_id", "fp", "more", "keys", "shingles"],
+                    [batch["doc_id"], batch["sig"], pa.array(fp), pa.array([g[1] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (2, 3))],
+                    names=["doc_id", "sig", "fp", "more", "keys", "shingles"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(score, "doc_id long, fp long, more long, keys array<bigint>, shingles array<bigint>"), "sketches")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signature(docs).alias("sig"), F.col("text").cast("string").alias("text"))
+    rows = stored(texts.mapInArrow(score, "doc_id long, sig long, fp long, more long, keys array<bigint>, shingles array<bigint>"), "sketches")
     one = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("more", "keys")).alias("one"))
     classes = stored(one.select("fp", "first", "one.more", "one.keys"), "sketch-classes")
     flips = F.lit([0, *(1 << i for i in range(KEY_BITS))]).cast("array<bigint>")
@@ -346,7 +366,7 @@ def near_clusters(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFr
         roots = components(linked, "near-found").withColumnsRenamed({"node": "fp"})
         apart = classes.join(nodes, "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         linked = linked.union(stored(alike(met(stored(apart, "near-apart")).join(pairs, ["a", "b"], "left_anti"), sets), "near-more-links"))
-    return _labelled(rows.select("doc_id", "fp"), classes.select("fp", "first"), linked)
+    return rows, classes.select("fp", "first"), linked
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
