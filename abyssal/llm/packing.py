@@ -12,9 +12,12 @@ come from a range-partitioned sort, and each piece looks its place up in the pla
 from __future__ import annotations
 
 import base64
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,11 @@ class _Ids(dict):
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_file, "rb"))}
         self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = json.loads(Path(ranks_file).with_suffix(".json").read_text(encoding="utf-8"))["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that look at their surroundings")
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def __missing__(self, text: str) -> bytes:
         ids = self.encode(text)
@@ -44,7 +52,13 @@ class _Ids(dict):
         return out
 
     def of(self, text: str) -> bytes:
-        """Ids of a whole text. A single space between two characters that are not
+        """Ids of a whole text: those of the vocabulary's added tokens where they occur, and of the texts between them."""
+        if self.cut is None or not any(t in text for t in self.added):
+            return self.between(text)
+        return b"".join(self.added[t] if k % 2 else self.between(t) for k, t in enumerate(self.cut.split(text)) if t)
+
+    def between(self, text: str) -> bytes:
+        """Ids of a text without added tokens. A single space between two characters that are not
         white space always starts a pre-token, so the text may be cut there and
         every cut piece encoded on its own."""
         if len(self) > CACHED_WORDS:
@@ -59,7 +73,8 @@ class _Ids(dict):
 def pieces(docs: DataFrame, ranks_file: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32) of every document.
 
-    ``ranks_file`` holds the byte-pair vocabulary as ranks. ``end_id`` closes each
+    ``ranks_file`` holds the byte-pair vocabulary as ranks; the tokenizer's JSON file of the same
+    name beside it names the added tokens, which are one id wherever a text has them. ``end_id`` closes each
     document. A document longer than ``capacity`` is cut into pieces of ``capacity``
     ids, the first taking the remainder. A null text counts as empty: one piece with
     ``end_id`` alone. Repeated rows each give their own pieces.
