@@ -69,8 +69,9 @@ class Templates:
     def __init__(self) -> None:
         self.words, self.table = _Words(), None
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens and slots of all texts one after another, and the number of words of each."""
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Tokens and slots of all texts one after another, the number of words of each, and each
+        reading that a word can have beside others (token, whether it can): itself, a name, a unit."""
         if len(self.words) > CACHED_WORDS:
             self.words, self.table = _Words(), None
         split = [t.split() for t in texts]
@@ -87,47 +88,71 @@ class Templates:
         starts = np.cumsum(counts) - counts
         starts = starts[counts > 0]
         opens[starts], after_number[starts] = True, False
+        words = np.ones(len(at), dtype=bool)
+        readings = [(h, words & ~number), (np.full(len(at), _NAME), capital & ~number), (np.full(len(at), _UNIT), unit & ~number)]
         unit, name = unit & after_number, capital & ~opens & ~number
         token = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, h)))
-        return token, np.where(number | unit | name, value, np.uint64(0)), counts
-
-    def windows(self, texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
-        """Hashes of ``width`` tokens from each token on; the tokens whose window lies within
-        its text; each token's text and place in it; each token's slot."""
-        token, slot, counts = self.tokens(texts)
-        n = max(0, len(token) - width + 1)
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(width):
-            h = (h + token[k : k + n]) * _BASE
-            h ^= h >> np.uint64(29)
-        text = np.repeat(np.arange(len(texts)), counts)
-        starts = np.cumsum(counts) - counts
-        whole = text[:n] == text[width - 1 : width - 1 + n] if n else np.zeros(0, dtype=bool)
-        place = np.arange(len(token)) - starts[text] if len(token) else np.zeros(0, dtype=np.int64)
-        return h, np.flatnonzero(whole), (text, place), slot
+        return token, np.where(number | unit | name, value, np.uint64(0)), counts, readings
+
+
+
+def _hashes(first: np.ndarray, token: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of ``width`` tokens from each token on, with ``first`` in place of the first one."""
+    n = max(0, len(token) - width + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        h = (h + (token if k else first)[k : k + n]) * _BASE
+        h ^= h >> np.uint64(29)
+    return h
 
 
-def _rows(texts: list[str | None], width: int, templates: Templates, filter_: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, text numbers, places and slots (rows, width) of the windows that pass the filter."""
-    h, whole, (text, place), slot = templates.windows([t or "" for t in texts], width)
-    if filter_ is not None:
-        whole = whole[filter_[h[whole] >> np.uint64(64 - FILTER_BITS)]]
-    slots = slot[whole[:, None] + np.arange(width)] if len(whole) else np.zeros((0, width), dtype=np.uint64)
-    return h[whole].view(np.int64), text[whole], place[whole], slots.view(np.int64)
+def _whole(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens whose window of ``width`` lies within its text; each token's text and place in it."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(text)) - (np.cumsum(counts) - counts)[text]
+    return np.flatnonzero(place + width <= counts[text]), text, place
+
+
+def _slots(slot: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    return slot[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), dtype=np.uint64)
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """Rows (h, item_id, item_pos, item_slots) of the windows of every item."""
+    """Rows (h, item_id, item_pos, item_slots, size, first) of the windows of every item.
+
+    An item of fewer than ``width`` words is one window of ``size`` words. What a window's first
+    word is told to be depends on the word before it, which may not be the item's in a document,
+    so windows come with every reading of it. With another than the item's own, it stands for
+    nothing (its slot is 0) and ``first`` is the value that the document must have behind it, or
+    0 where the token says it.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in batches:
-            h, text, place, slots = _rows(batch["text"].to_pylist(), width, templates, None)
-            ids = batch["item_id"].to_numpy(zero_copy_only=False)[text]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(list(slots), pa.list_(pa.int64()))], names=["h", "item_id", "item_pos", "item_slots"])
+            token, slot, counts, readings = templates.tokens([t or "" for t in batch["text"].to_pylist()])
+            ids = batch["item_id"].to_numpy(zero_copy_only=False)
+            for size in range(1, width + 1):
+                whole, text, place = _whole(counts, size)
+                if size < width:
+                    whole = whole[counts[text[whole]] == size]
+                for k, (first, can) in enumerate([(token, np.ones(len(token), dtype=bool)), *readings]):
+                    at = whole[can[whole] & ((first[whole] != token[whole]) | (k == 0))]
+                    if len(at):
+                        slots = _slots(slot, at, size)
+                        value = readings[0][0][at] if k > 1 else np.zeros(len(at), dtype=np.uint64)
+                        if k:
+                            slots[:, 0] = 0
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(_hashes(first, token, size)[at].view(np.int64)), pa.array(ids[text[at]], pa.int64()), pa.array(place[at], pa.int32()),
+                                pa.array(list(slots.view(np.int64)), pa.list_(pa.int64())), pa.array(np.full(len(at), size), pa.int32()), pa.array(value.view(np.int64)),
+                            ],
+                            names=["h", "item_id", "item_pos", "item_slots", "size", "first"],
+                        )
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull())
-    return items.mapInArrow(cut, "h long, item_id long, item_pos int, item_slots array<bigint>")
+    return items.mapInArrow(cut, "h long, item_id long, item_pos int, item_slots array<bigint>, size int, first long")
 
 
 def _together(readings: Iterator[list[dict]], forth: dict[int, int], back: dict[int, int]) -> bool:
@@ -193,8 +218,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
     A document holds an item if at least ``similarity`` of the item's windows of ``width``
     template tokens occur in it and the values in the placeholders map one to one at some
     place of the document (see ``best_reading``); other places may hold other values.
-    ``exact`` says that they are the same values. Items of fewer than ``width`` words are
-    too short to tell and take no part; null texts count as empty, null ids of items are
+    ``exact`` says that they are the same values. An item of fewer than ``width`` words is one
+    window of its whole length and must occur with the same values, since so short a template
+    says too little; null texts and items without words count as empty, null ids of items are
     left out. ``sig`` is a hash of the document's text. A repeated document gives one row
     an item; empty tables give none; other columns are ignored.
     """
@@ -205,26 +231,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
     for batch in items.select(place.alias("p")).distinct().groupBy(F.shiftright("p", 9).alias("w")).agg(F.collect_list("p").alias("p")).toLocalIterator():
         marks[batch["p"]] = True
     shared = spark.sparkContext.broadcast(np.packbits(marks))
+    widths = sorted({r["size"] for r in items.select("size").distinct().collect()})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, keep = Templates(), np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             texts, ids, sig = batch["text"].to_pylist(), batch["doc_id"], batch["sig"]
             for at in range(0, len(texts), 512):
-                h, text, place, slots = _rows(texts[at : at + 512], width, templates, keep)
-                if len(h):
-                    own = pa.array(text + at)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(own), sig.take(own), pa.array(place, pa.int32()), pa.array(list(slots), pa.list_(pa.int64()))], names=["h", "doc_id", "sig", "doc_pos", "doc_slots"])
+                token, slot, counts, _ = templates.tokens([t or "" for t in texts[at : at + 512]])
+                for size in widths:
+                    h, (whole, text, place) = _hashes(token, token, size), _whole(counts, size)
+                    whole = whole[keep[h[whole] >> np.uint64(64 - FILTER_BITS)]]
+                    if len(whole):
+                        own, slots = pa.array(text[whole] + at), _slots(slot, whole, size).view(np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(h[whole].view(np.int64)), ids.take(own), sig.take(own), pa.array(place[whole], pa.int32()), pa.array(list(slots), pa.list_(pa.int64()))],
+                            names=["h", "doc_id", "sig", "doc_pos", "doc_slots"],
+                        )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signature(docs).alias("sig"), F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(cut, "h long, doc_id long, sig long, doc_pos int, doc_slots array<bigint>")
     small = items.count() <= BROADCAST_WINDOWS
     sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    hits = found.join(F.broadcast(items) if small else items, "h")
+    hits = found.join(F.broadcast(items) if small else items, "h").where((F.size("doc_slots") == F.col("size")) & ((F.col("first") == 0) | (F.element_at("doc_slots", 1) == F.col("first"))))
     pair = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda s: s["item_slots"] != 0)
     key = ["doc_id", "sig", "item_id"]
     window = F.struct(F.when(F.size("pairs") > 0, F.col("doc_pos") - F.col("item_pos")).alias("align"), "item_pos", "pairs")
-    held = hits.withColumn("pairs", pair).groupBy(*key).agg(F.collect_set(window).alias("found"))
+    told = hits.withColumn("pairs", pair).where((F.col("size") == width) | F.forall("pairs", lambda p: p["item_slots"] == p["doc_slots"]))
+    held = told.groupBy(*key).agg(F.collect_set(window).alias("found"))
     held = held.join(F.broadcast(sizes) if small else sizes, "item_id").where(F.size(F.array_distinct(F.col("found.item_pos"))) >= similarity * F.col("n_windows"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
