@@ -408,6 +408,19 @@ def great_circle(spark, sf_dir):
     return q.join(s, "part").select("query_id", "node_id", six(sphere.great_circle(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).alias("haversine"), six(sphere.angle(a, b)).alias("by_vectors"))
 
 
+@query(f"""WITH {_Q}, {_S} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, query_id, round(d, 6) AS haversine, round(d, 6) AS by_vectors
+ FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, query_id, {_arc('q.lon', 'q.lat', 's.lon', 's.lat')} AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN q ON o_custkey = query_id JOIN s ON l_suppkey = node_id)""")
+def great_circle_lines(spark, sf_dir):
+    """Every lineitem's supplier and its order's customer, without a filter."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("query_id"))
+    nodes = suppliers(spark, sf_dir).select(F.col("node_id").alias("l_suppkey"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    pairs = lines.join(orders, "l_orderkey").join(customers(spark, sf_dir), "query_id").join(nodes, "l_suppkey")
+    lon, lat, lon2, lat2 = (F.col(c) for c in ("lon", "lat", "lon2", "lat2"))
+    angle = sphere.angle(sphere.from_lon_lat(lon, lat), sphere.from_lon_lat(lon2, lat2))
+    return pairs.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "query_id", six(sphere.great_circle(lon, lat, lon2, lat2)).alias("haversine"), six(angle).alias("by_vectors"))
+
+
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, ob AS obliquity, CASE WHEN v = 0 THEN 0.0 WHEN abs(ob) > 90 THEN -v ELSE v END AS conv_speed, CASE WHEN v = 0 THEN 0.0 WHEN abs(ob) < 90 THEN -v ELSE v END AS abs_speed, round(0.01 * abs(v) * cos(radians(ob)), 6) AS normal_velocity
  FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * (l_partkey % 181) AS ob, l_quantity - 10 AS v FROM lineitem)""")
 def convergence_signs(spark, sf_dir):
