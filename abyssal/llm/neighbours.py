@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CODES = 16
+#: Queries whose lookup tables a task holds at a time.
+TABLES = 64
 
 
 @dataclass(frozen=True)
@@ -142,6 +144,19 @@ def _at_most(score: np.ndarray, norm: np.ndarray, cos: np.ndarray, sin: np.ndarr
     return np.where(c >= cos, 1.0, c * cos + np.sqrt(1 - c * c) * sin) + _SLACK + _SLACK / norm
 
 
+def _scale(x: np.ndarray) -> np.ndarray:
+    """``x`` with each row brought near one by a power of two, which changes no digit of a cosine."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of ``x`` with ``y``, summed component by component, so that equal rows score alike anywhere."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * y[..., j]
+    return out
+
+
 def _first(score: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` largest scores; of equal ones those that come first."""
     if len(score) <= k:
@@ -159,7 +174,7 @@ def search(
     vector_col: str = "embedding",
     fit_rows: int = 20_000,
     block_rows: int = 20_000,
-    query_rows: int = 2_048,
+    query_rows: int = 32_768,
     rerank: int = 100,
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` nearest by cosine of every vector whose
@@ -172,7 +187,9 @@ def search(
     ``k``-th best so far, so the result is that of comparing all vectors. Vectors that are
     null, zero or hold null or non-finite components take no part, nor do those of
     another length than most of the sample and rows without an id; repeated rows are
-    candidates of their own. Ties go to the smaller id. An empty table gives no rows.
+    candidates of their own, but each id asks once, by the smallest of its vectors. Ties go
+    to the smaller id. ``score`` is the sum of products over the product of both lengths,
+    each summed in the order of the components. An empty table gives no rows.
     """
     spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -191,7 +208,8 @@ def search(
                 yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "code"])
 
     index = stored(rows.where(F.size("v") == dim).mapInArrow(code, "vec_id long, v array<double>, code binary"), "vector-index")
-    total, asked = index.agg(F.count("*"), F.count_if(F.col("vec_id") % query_every == 0)).first()
+    asking = index.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    total, asked = index.count(), asking.count()
     blocks, query_blocks = max(1, -(-total // block_rows)), max(1, -(-asked // query_rows))
 
     def dealt(df: DataFrame, by: str, n: int, over: str, times: int) -> DataFrame:
@@ -199,7 +217,7 @@ def search(
         return df.withColumn(by, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn(over, every)
 
     against = dealt(index, "block", blocks, "query_block", query_blocks).groupBy("block", "query_block")
-    queries = dealt(index.where(F.col("vec_id") % query_every == 0).select("vec_id", "v"), "query_block", query_blocks, "block", blocks).groupBy("block", "query_block")
+    queries = dealt(asking, "query_block", query_blocks, "block", blocks).groupBy("block", "query_block")
 
     def scan(asked: pa.Table, coded: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
@@ -207,18 +225,21 @@ def search(
             coded = coded.sort_by("vec_id")
             ids, v = coded["vec_id"].to_numpy(), _matrix(coded["v"], dim)
             byte = np.frombuffer(b"".join(coded["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1).T
-            unit = _unit(v)
-            bounds = _bounds(unit, shared.value.decode(byte.T))
-            q = _unit(_matrix(asked["v"], dim))
-            for i, (name, table) in enumerate(zip(asked["vec_id"].to_pylist(), shared.value.tables(q))):
+            asked_v = _matrix(asked["v"], dim)
+            q, bounds, v, wanted = _unit(asked_v), _bounds(_unit(v), shared.value.decode(byte.T)), _scale(v), _scale(asked_v)
+            length, own = np.sqrt(_dots(v, v)), np.sqrt(_dots(wanted, wanted))
+            exact_of = lambda i, rows: _dots(v[rows], wanted[i]) / (own[i] * length[rows])
+            for i, name in enumerate(asked["vec_id"].to_pylist()):
+                if i % TABLES == 0:
+                    tables = shared.value.tables(q[i : i + TABLES])
                 score = np.zeros(len(ids), dtype=np.float32)
-                for part, codes in zip(table, byte):
+                for part, codes in zip(tables[i % TABLES], byte):
                     score += part[codes]
                 most = _at_most(score.astype(np.float64), *bounds)
                 score[ids == name] = most[ids == name] = -np.inf
                 near = np.sort(_first(score, rerank))
                 near = near[ids[near] != name]
-                exact = (unit[near] * q[i]).sum(1)
+                exact = exact_of(i, near)
                 most[near] = -np.inf
                 best, size = np.lexsort((ids[near], -exact))[:k], rerank
                 while True:
@@ -226,7 +247,7 @@ def search(
                     if not len(left):
                         break
                     left = left[_first(most[left], size)]
-                    near, exact, most[left] = np.concatenate([near[best], left]), np.concatenate([exact[best], (unit[left] * q[i]).sum(1)]), -np.inf
+                    near, exact, most[left] = np.concatenate([near[best], left]), np.concatenate([exact[best], exact_of(i, left)]), -np.inf
                     best, size = np.lexsort((ids[near], -exact))[:k], 2 * size
                 out += [(name, int(ids[near[b]]), float(exact[b])) for b in best]
         cols = list(zip(*out)) or [()] * 3

@@ -58,7 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the same; the other operators are tested against brute force."""
-    return {"op5_line_dedup": LINES_SQL, "op9_substring_dedup": WINDOWS_SQL}
+    return {"op5_line_dedup": LINES_SQL, "op6_suffix_dedup": STRINGS_SQL, "op8_neighbours": NEIGHBOURS_SQL, "op9_substring_dedup": WINDOWS_SQL}
 
 
 LINES_SQL = """
@@ -82,3 +82,26 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN a USING (doc_id)
 """
+
+STRINGS_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ o AS (SELECT doc_id, base, substr(x, 2 * base + 1, 2 * 599) AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2, 500)) AS base FROM b)),
+ g AS (SELECT doc_id, base + i AS s, md5(substr(y, 2 * i - 1, 200)) AS h FROM (SELECT doc_id, base, y, unnest(range(1, length(y) // 2 - 98)) AS i FROM o)),
+ f AS (SELECT h, min((doc_id, s)) AS first FROM g GROUP BY h HAVING count(*) > 1),
+ r AS (SELECT doc_id, s, s + 100 AS e FROM g JOIN f USING (h) WHERE (doc_id, s) > first),
+ n AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+ k AS (SELECT *, sum((before IS NULL OR s > before)::INT) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM n),
+ m AS (SELECT doc_id, span, min(s) AS s, max(e) AS e FROM k GROUP BY 1, 2),
+ c AS (SELECT doc_id, s, e, lag(e, 1, 1) OVER (PARTITION BY doc_id ORDER BY s) AS since FROM m),
+ a AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(x, 2 * since - 1, 2 * (s - since)), '' ORDER BY s) AS front FROM c JOIN b USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(CASE WHEN last IS NULL THEN x ELSE front || substr(x, 2 * last - 1) END)) AS kept_sha256
+FROM b LEFT JOIN a USING (doc_id)
+"""
+
+NEIGHBOURS_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+ u AS (SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS n FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(q.v, lambda x, i: x * c.v[i]), lambda a, b: a + b) / (q.n * c.n) AS score FROM u q JOIN u c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p) WHERE rank <= 5
+"""

@@ -336,3 +336,13 @@ def test_language(spark, empty):
     assert np.mean([by[i]["lang_pred"] == lang for i, _, lang, *_ in data[:240] if by[i]["held_out"]]) > 0.95
     assert by[900]["lang_pred"] == by[901]["lang_pred"] == "und" and by[902]["lang_pred"] == "cc" and all(0 <= r["score"] <= 1 for r in got)
     assert language.predict(empty).count() == 0
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """A repeated query row asks once; of two vectors under one id the smaller asks and neither is the other's neighbour."""
+    data = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(1, 120)] + [(50, [1.0, 1.0, 2.0]), (100, [9.0, 0.0, 0.0]), (7, [0.0, 1.0, 1.0])]
+    got = neighbours.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), block_rows=40).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, k) for q in (50, 100) for k in range(1, 6)]
+    for q, v in ((50, [1.0, 1.0, 2.0]), (100, [2.0, 1.0, 1.0])):
+        score = sorted(((-np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x), i) for i, x in data if i != q))[:5]
+        assert np.allclose([s for s, _ in score], [-r["score"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q])
