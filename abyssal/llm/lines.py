@@ -1,8 +1,9 @@
 """Line deduplication with DataFrame functions only.
 
-Line hashes are range-partitioned and sorted within by document and position, so the
-first occurrence of a line in each document is found by looking one row back. What
-comes out is a sparse keep bitmap per document, not text.
+Line hashes are range-partitioned with their documents, so that a line found everywhere
+spreads over as many partitions as it needs, and sorted within by position, so the first
+occurrence of a line in each document comes first. What comes out is a sparse keep
+bitmap per document, not text.
 
 A document is a (doc_id, text) pair: repeated rows count once and get the same result.
 A null text or id is a value like any other; a null text is one empty line.
@@ -13,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, stored
+from .common import beside, parts, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\f\r"
-#: A line's documents are dealt to so many runs, so that a line found everywhere isn't one run.
-SALTS = 16
 #: A table of frequent lines up to this many rows (20 bytes each) is broadcast.
 BROADCAST_LINES = 400_000
 
@@ -46,12 +45,10 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[Data
         split.select("_doc", "_sig", "pos", key.alias("key")).where(F.char_length("key") >= max(1, min_chars)).select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "_doc", "_sig", "pos"),
         "lines",
     )
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("_doc", "_sig"), F.lit(SALTS)).cast("int"))
-    runs = salted.repartitionByRange(parts(docs.sparkSession), "h1", "h2", "salt")
-    row = Window.partitionBy("h1", "h2", "salt").orderBy("_doc", "_sig", "pos")
-    before = F.lag(F.struct("_doc", "_sig")).over(row)
-    first = runs.select("h1", "h2", (before.isNull() | (before != F.struct("_doc", "_sig"))).cast("long").alias("first"))
-    return lines, first.groupBy("h1", "h2").agg(F.sum("first").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
+    runs = lines.repartitionByRange(parts(docs.sparkSession), "h1", "h2", "_doc", "_sig")
+    place = F.row_number().over(Window.partitionBy("h1", "h2", "_doc", "_sig").orderBy("pos"))
+    first = runs.select("h1", "h2", place.alias("place")).where(F.col("place") == 1)
+    return lines, first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -90,9 +87,9 @@ def marked(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame
     A text that loses no line is kept as it is; one that loses all becomes empty. An
     empty table gives no rows.
     """
-    marks = keep_bitmaps(docs, min_docs, min_chars)
+    marks = stored(keep_bitmaps(docs, min_docs, min_chars), "keep-bitmaps")
     all_docs = docs.select(F.struct(*docs.columns).alias("_row"), *_identity(docs), _text(docs).alias("_text"))
-    joined = all_docs.join(marks.hint("shuffle_hash"), ["_doc", "_sig"], "left").withColumn("_words", dense(F.col("keep")))
+    joined = beside(all_docs, marks, ["_doc", "_sig"], "left", row_bytes=64 + 16 * F.size("keep")).withColumn("_words", dense(F.col("keep")))
     stays = F.filter(F.split("_text", "\n", -1), lambda line, i: _bit(i))
     return joined.select(
         "_row",
