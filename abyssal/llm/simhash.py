@@ -137,11 +137,11 @@ def meetings(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return np.stack([names[moved], names[label[moved]]], axis=1)
 
 
-def candidates(key: np.ndarray, fp: np.ndarray, more: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
-    """Pairs (fp, fp) of these rows that meet on a key and lie within ``NEAR_RADIUS``.
+def candidates(key: np.ndarray, name: np.ndarray, fp: np.ndarray, more: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (name, name) of these rows that meet on a key and whose fingerprints lie within ``NEAR_RADIUS``.
 
     Without ``group``, enough pairs to connect all that do. With it, the number of a set that
-    each fingerprint is in: for each fingerprint and other set the nearest that it meets.
+    each name is in: for each name and other set the nearest that it meets.
     """
     none = np.zeros((0, 2), dtype=np.int64)
     order = np.argsort(key, kind="stable")
@@ -151,8 +151,8 @@ def candidates(key: np.ndarray, fp: np.ndarray, more: np.ndarray, group: np.ndar
         return none
     keep = np.unique(np.concatenate([same, same + 1]))
     key, order = key[keep], order[keep]
-    names, at, node = np.unique(fp[order], return_index=True, return_inverse=True)
-    value, more = names.view(np.uint64)[node], more[order]
+    names, at, node = np.unique(name[order], return_index=True, return_inverse=True)
+    value, more = fp[order].view(np.uint64), more[order]
     label = np.arange(len(names)) if group is None else np.unique(group[order][at], return_inverse=True)[1]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
@@ -209,22 +209,22 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to connect all within the radius."""
-    return _met(variants(fps), fps.count() * (3 + sum(64 - bin(b).count("1") for b in _BLOCKS)))
+    return _met(variants(fps.repartition(parts(fps.sparkSession))), fps.count() * (3 + sum(64 - bin(b).count("1") for b in _BLOCKS)))
 
 
 def _met(rows: DataFrame, made: int, near: bool = False, rows_a_task: int = 1 << 20) -> DataFrame:
-    """Links (a, b) of ``made`` rows (key, fp), or candidates of near copies, whose keys hold further bits of the
-    fingerprint in the low 32 bits; rows of near copies may have the set ``root`` that a fingerprint is in."""
-    n, sets = parts(rows.sparkSession, -(-made // rows_a_task)), "root" in rows.columns
+    """Links (a, b) of ``made`` rows (key, fp), or candidates of near copies (key, fp, name), whose keys hold further bits
+    of the fingerprint in the low 32 bits; rows of near copies may have the set ``root`` that a name is in."""
+    n = parts(rows.sparkSession, -(-made // rows_a_task))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [tuple(b[c].to_numpy() for c in b.schema.names) for b in batches]
         if got:
-            key, fp, *root = (np.concatenate(c) for c in zip(*got))
-            found = candidates(key >> 32, fp, key.view(np.uint64) & np.uint64(0xFFFFFFFF), *root) if near else meetings(key, fp)
+            key, fp, *rest = (np.concatenate(c) for c in zip(*got))
+            found = candidates(key >> 32, rest[0], fp, key.view(np.uint64) & np.uint64(0xFFFFFFFF), *rest[1:]) if near else meetings(key, fp)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
-    return rows.select("key", "fp", *(["root"] if sets else [])).repartition(n, F.shiftright("key", 32) if near else F.col("key")).mapInArrow(meet, "a long, b long").distinct()
+    return rows.select("key", "fp", *(c for c in ("name", "root") if c in rows.columns)).repartition(n, F.shiftright("key", 32) if near else F.col("key")).mapInArrow(meet, "a long, b long").distinct()
 
 
 def clusters(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -242,16 +242,16 @@ def clusters(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
 
 def _labelled(rows: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
     """Rows (doc_id, fp, component_id) from rows (doc_id, fp), classes (fp, first) and their links."""
-    joined = _rooted(classes, linked)
+    joined = _rooted(classes, linked, "fp")
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = stored(joined.join(least, "root").select("fp", "component_id"), "fp-components")
     return beside(rows, ids, "fp", "inner", row_bytes=F.lit(24)).select("doc_id", "fp", "component_id")
 
 
-def _rooted(classes: DataFrame, linked: DataFrame) -> DataFrame:
-    """``classes`` with the ``root`` that links reach from each fp, its own if none."""
-    roots = components(linked, "simhash").withColumnsRenamed({"node": "fp"})
-    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _rooted(classes: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """``classes`` with the ``root`` that links reach from each ``key``, its own if none."""
+    roots = components(linked, "simhash").withColumnsRenamed({"node": key})
+    return classes.join(roots, key, "left").withColumn("root", F.coalesce("root", key))
 
 
 class _Words(dict):
@@ -304,33 +304,34 @@ class Sketches:
 
 
 def near_clusters(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFrame:
-    """Rows (doc_id, fp, component_id) of every document, near copies in one component.
+    """Rows (doc_id, set_id, component_id) of every document, near copies in one component; ``set_id`` names its set of shingles.
 
     Documents link if their sets of shingles of ``width`` words have a Jaccard similarity of
     ``SIMILARITY`` or more. Candidates are those whose 96-bit fingerprints over the distinct shingles
     differ in at most ``NEAR_RADIUS`` bits and their key sketches, over ``key_width`` words (an
     edit touches fewer of these, so they differ less), in at most two bits of some block:
     each block emits itself and its one-bit variants, and candidates meet on one. Pairs that
-    connect all candidates are compared first; then each fingerprint is compared with the
-    nearest candidate in each other set that these left apart. Similarity 0.8
+    connect all candidates are compared first; then each set of shingles is compared with the
+    nearest candidate in each other component that these left apart. Similarity 0.8
     or more is found with the probability that README measures. Equal texts always
     share a component, as do all documents without words. Repeated rows, null ids and
     other columns are dealt with as by ``clusters``.
     """
     rows, classes, linked = _near(docs, width, key_width)
-    return _labelled(rows.select("doc_id", "fp"), classes, linked)
+    sets = _labelled(rows.select("doc_id", F.col("name").alias("fp")), classes.withColumnRenamed("name", "fp"), linked)
+    return sets.withColumnRenamed("fp", "set_id")
 
 
 def near_roots(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFrame:
-    """Rows (doc_id, sig, root) of every document: a hash of its text, and the fingerprint that
+    """Rows (doc_id, sig, root) of every document: a hash of its text, and the set of shingles that
     names its component of ``near_clusters``, whatever the ids are."""
     rows, classes, linked = _near(docs, width, key_width)
-    roots = stored(_rooted(classes, linked).select("fp", "root"), "near-roots")
-    return beside(rows, roots, "fp", "inner", row_bytes=F.lit(24)).select("doc_id", "sig", "root")
+    roots = stored(_rooted(classes, linked, "name").select("name", "root"), "near-roots")
+    return beside(rows, roots, "name", "inner", row_bytes=F.lit(24)).select("doc_id", "sig", "root")
 
 
 def _near(docs: DataFrame, width: int, key_width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, sig, fp, ...) of the documents, classes (fp, first) and links of near copies."""
+    """Rows (doc_id, sig, name, ...) of the documents, classes (name, first) and links of near copies; a name is a hash of the set of shingles."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = Sketches()
@@ -345,33 +346,34 @@ def _near(docs: DataFrame, width: int, key_width: int) -> tuple[DataFrame, DataF
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signature(docs).alias("sig"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(score, "doc_id long, sig long, fp long, more long, keys array<bigint>, shingles array<bigint>"), "sketches")
-    one = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("more", "keys")).alias("one"))
-    classes = stored(one.select("fp", "first", "one.more", "one.keys"), "sketch-classes")
+    sketched = texts.mapInArrow(score, "doc_id long, sig long, fp long, more long, keys array<bigint>, shingles array<bigint>")
+    rows = stored(sketched.withColumn("name", F.xxhash64("shingles")), "sketches")
+    one = rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min(F.struct("fp", "more", "keys")).alias("one"))
+    classes = stored(one.select("name", "first", "one.*"), "sketch-classes")
     flips = F.lit([0, *(1 << i for i in range(KEY_BITS))]).cast("array<bigint>")
 
     def met(some: DataFrame) -> DataFrame:
-        own = [c for c in some.columns if c == "root"]
-        blocks = some.select("fp", "more", *own, F.posexplode("keys").alias("block", "bits"))
-        balls = blocks.select("fp", "more", *own, F.shiftleft(F.col("block").cast("long"), KEY_BITS).alias("block"), "bits", F.explode(flips).alias("flip"))
+        own = ["fp", "name", *(c for c in some.columns if c == "root")]
+        blocks = some.repartition(parts(docs.sparkSession)).select("more", *own, F.posexplode("keys").alias("block", "bits"))
+        balls = blocks.select("more", *own, F.shiftleft(F.col("block").cast("long"), KEY_BITS).alias("block"), "bits", F.explode(flips).alias("flip"))
         key = F.shiftleft(F.col("block") + F.col("bits").bitwiseXOR(F.col("flip")), 32).bitwiseOR(F.col("more"))
-        return _met(balls.select(key.alias("key"), "fp", *own), some.count() * KEY_BLOCKS * (KEY_BITS + 1), True)
+        return _met(balls.select(key.alias("key"), *own), some.count() * KEY_BLOCKS * (KEY_BITS + 1), True)
 
     pairs = stored(met(classes), "near-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    held = beside(rows.select("doc_id", "fp", "shingles"), nodes, "fp", "inner", row_bytes=F.lit(24))
-    sets = stored(held.groupBy("fp").agg(F.min(F.struct("doc_id", "shingles")).alias("one")).select("fp", "one.shingles"), "near-sets")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    held = beside(rows.select("name", "shingles"), nodes, "name", "inner", row_bytes=F.lit(24))
+    sets = stored(held.groupBy("name").agg(F.min("shingles").alias("shingles")), "near-sets")
     linked = stored(alike(pairs, sets), "near-links")
     if linked.count() < pairs.count():
-        roots = components(linked, "near-found").withColumnsRenamed({"node": "fp"})
-        apart = classes.join(nodes, "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        roots = components(linked, "near-found").withColumnsRenamed({"node": "name"})
+        apart = classes.join(nodes, "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
         linked = linked.union(stored(alike(met(stored(apart, "near-apart")).join(pairs, ["a", "b"], "left_anti"), sets), "near-more-links"))
-    return rows, classes.select("fp", "first"), linked
+    return rows, classes.select("name", "first"), linked
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets (fp, shingles) have a Jaccard similarity of at least ``SIMILARITY``."""
-    of = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"of_{name}"))
+    """Those of ``pairs`` (a, b) whose sets (name, shingles) have a Jaccard similarity of at least ``SIMILARITY``."""
+    of = lambda name: sets.select(F.col("name").alias(name), F.col("shingles").alias(f"of_{name}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     joined = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least(F.size("of_a"), F.size("of_b")) >= SIMILARITY * F.greatest(F.size("of_a"), F.size("of_b")))
     return joined.where(both >= SIMILARITY * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
