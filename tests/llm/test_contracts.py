@@ -346,3 +346,27 @@ def test_neighbours_of_repeated_rows(spark):
     for q, v in ((50, [1.0, 1.0, 2.0]), (100, [2.0, 1.0, 1.0])):
         score = sorted(((-np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x), i) for i, x in data if i != q))[:5]
         assert np.allclose([s for s, _ in score], [-r["score"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q])
+
+
+def test_equal_windows_choose_equal_symbols():
+    """Wherever a window stands, it holds a chosen symbol at the same place of it; runs, short alphabets and text ends included."""
+    rng = random.Random(1)
+    for _ in range(120):
+        letters, length = rng.choice([1, 2, 3, 50]), rng.choice([8, 12, 20])
+        some = lambda n: [rng.randrange(letters) for _ in range(n)]
+        base = some(2 * length)
+        texts = [some(rng.randrange(15)) + base + some(rng.randrange(15)) for _ in range(4)]
+        counts = np.array([len(t) for t in texts])
+        words = np.array([xxhash.xxh64_intdigest(bytes([x])) for t in texts for x in t], dtype=np.uint64)
+        rounds = recompression.recompress(words, counts)
+        starts, held = np.cumsum(counts) - counts, {}
+        for level, at in recompression.chosen(rounds, counts, length):
+            s = rounds[level]
+            for i in at.tolist():
+                for k in range(max(int(starts[s.text[i]]), int(s.high[i]) - length), min(int(s.low[i]), int(starts[s.text[i]] + counts[s.text[i]]) - length) + 1):
+                    held.setdefault(k, set()).add((level, int(s.first[i]) - k, int(s.low[i]) - k, int(s.high[i]) - k, int(s.name[i])))
+        seen = {}
+        for t, text in enumerate(texts):
+            for k in range(len(text) - length + 1):
+                seen.setdefault(tuple(text[k : k + length]), []).append(held[int(starts[t]) + k])
+        assert all(set.intersection(*places) for places in seen.values())
