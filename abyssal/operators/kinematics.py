@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, sphere
-from .spatial_join import query_raster, tessellated
+from .spatial_join import query_lines, query_raster, tessellated
 from .stats import subducted
 
+
 def _quaternion(pole: Column, by: Column) -> Column:
     s = F.sin(by / 2)
     return F.struct(F.cos(by / 2).alias("w"), (pole["x"] * s).alias("x"), (pole["y"] * s).alias("y"), (pole["z"] * s).alias("z"))
@@ -51,13 +52,20 @@ def rotations_at(rotations: DataFrame, times: DataFrame) -> DataFrame:
     by = Window.partitionBy("moving_plate", "fixed_plate").orderBy("t0")
     spans = q.withColumns({"t1": F.lead("t0").over(by), "q1": F.lead("q0").over(by)})
     spans = spans.withColumns({"t1": F.coalesce("t1", "t0"), "q1": F.coalesce("q1", "q0")})
-    hit = times.join(F.broadcast(spans), (F.col("time") >= F.col("t0")) & ((F.col("time") < F.col("t1")) | ((F.col("time") == F.col("t0")) & (F.col("t0") == F.col("t1")))))
+    hit = _in_spans(times, spans).where((F.col("time") >= F.col("t0")) & ((F.col("time") < F.col("t1")) | ((F.col("time") == F.col("t0")) & (F.col("t0") == F.col("t1")))))
     step = _times(F.col("q1"), _inverse(F.col("q0")))
     part = F.when(F.col("t1") > F.col("t0"), (F.col("time") - F.col("t0")) / F.when(F.col("t1") > F.col("t0"), F.col("t1") - F.col("t0"))).otherwise(F.lit(0.0))
     hit = sphere.evaluated(sphere.evaluated(hit, step=step, part=part), turn=_power(F.col("step"), F.col("part")))
     return sphere.evaluated(hit, q=_times(F.col("turn"), F.col("q0"))).select("time", "moving_plate", "fixed_plate", "q")
 
 
+def _in_spans(times: DataFrame, spans: DataFrame, width: float = 10.0) -> DataFrame:
+    """Times with the spans (t0, t1) that reach into their stretch of ``width``, by equi-join."""
+    first, last = F.floor(F.col("t0") / width), F.floor(F.col("t1") / width)
+    dealt = spans.withColumn("_at", F.explode(F.sequence(first, last)))
+    return times.withColumn("_at", F.floor(F.col("time") / width)).join(dealt, "_at").drop("_at")
+
+
 def _power(q: Column, k: Column) -> Column:
     n = F.sqrt(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
     sign = F.when(q["w"] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
@@ -100,6 +108,25 @@ def reconstructed(points: DataFrame, anchored: DataFrame) -> DataFrame:
     return sphere.evaluated(points.join(rot, ["t", "plate"]), _v=moved).withColumns({"lon": sphere.lon_of(F.col("_v")), "lat": sphere.lat_of(F.col("_v"))}).drop("_v", "q")
 
 
+def valid_at(features: DataFrame, times: list[float]) -> DataFrame:
+    """A row (t, ..) for each of ``times`` at which a feature exists: from its begin_time, the older, to its end_time; null is open."""
+    begin, end = (F.coalesce(F.col(c), F.lit(x)) for c, x in (("begin_time", math.inf), ("end_time", -math.inf)))
+    return features.withColumn("t", F.explode(F.filter(F.lit([float(t) for t in times]), lambda t: (t <= begin) & (t >= end))))
+
+
+def reconstructed_lines(lines: DataFrame, anchored: DataFrame) -> DataFrame:
+    """Arcs (plate, t, a, b, ..) moved from their place now to that at ``t``; those of a plate without a rotation then go."""
+    rot = anchored.select(F.col("time").alias("t"), "plate", "q")
+    moved = sphere.evaluated(lines.join(rot, ["t", "plate"]), _a=turned(F.col("q"), F.col("a")), _b=turned(F.col("q"), F.col("b")))
+    return moved.drop("a", "b", "q").withColumnsRenamed({"_a": "a", "_b": "b"})
+
+
+def of_types(features: DataFrame, types: list[str], column: str = "feature_type") -> DataFrame:
+    """Features of these types, all of them if none is named. Types of plain features can be picked before they are
+    moved, those of resolved sections only among the sections."""
+    return features.where(F.col(column).isin(types)) if types else features
+
+
 def stage(now: Column, before: Column) -> Column:
     """Turn from ``before`` (a step earlier, so a greater time) to ``now``, both quaternions."""
     return _times(now, _inverse(before))
@@ -130,23 +157,25 @@ def plates_of_trenches(sections: DataFrame) -> DataFrame:
 
 
 def convergence(sections: DataFrame, anchored: DataFrame, threshold: float, interval: float = 1.0) -> DataFrame:
-    """Ten columns for each short arc of each trench, in the order of all columns.
+    """Ten columns for each short arc of each trench by time, in the order of all columns.
 
     ``sections`` has time, section_id, polarity, plate_id, sharing and the arcs a, b; ``anchored``
-    has quaternions relative to the anchor at each time and at that time plus ``interval``.
+    has quaternions relative to the anchor at each time and at that time plus ``interval``. Where
+    ``is_topological_line`` is given and true the line's own plate means nothing and the overriding
+    plate stands for it. Convergence is the turn of the subducting plate relative to the
+    overriding one, seen from where that is at ``time``.
     """
     arcs = tessellated(plates_of_trenches(sections), threshold)
     now, before = (lambda name, shift: anchored.select((F.col("time") - shift).alias("time"), F.col("plate").alias(name), F.col("q").alias(f"q_{name}_{int(shift > 0)}"))), interval
-    rows = arcs.withColumnRenamed("plate_id", "line_plate")
+    topological = F.coalesce("is_topological_line", F.lit(False)) if "is_topological_line" in sections.columns else F.lit(False)
+    rows = arcs.withColumn("line_plate", F.when(topological, F.col("overriding_plate")).otherwise(F.col("plate_id")))
     for name in ("overriding_plate", "subducting_plate", "line_plate"):
         rows = rows.join(now(name, 0.0), ["time", name]).join(now(name, before), ["time", name])
     rows = sphere.evaluated(rows, **{f"s_{name}": stage(F.col(f"q_{name}_0"), F.col(f"q_{name}_1")) for name in ("overriding_plate", "subducting_plate", "line_plate")})
-    mid = F.col("mid")
-    velocity = lambda name: stage_velocity(F.col(f"s_{name}"), mid, interval)
-    minus = lambda a, b: sphere.plus(a, sphere.scaled(b, F.lit(-1.0)))
+    mid, relative = F.col("mid"), _times(F.col("s_subducting_plate"), _inverse(F.col("s_overriding_plate")))
     normal = sphere.scaled(sphere.unit(sphere.cross(F.col("pa"), F.col("pb"))), scalar.normal_sign(F.col("polarity")))
-    rows = sphere.evaluated(rows, normal=normal, v_sub=velocity("subducting_plate"), v_over=velocity("overriding_plate"), v_abs=velocity("line_plate"))
-    rows = sphere.evaluated(rows, clockwise=sphere.cross(F.col("normal"), mid), v_conv=minus(F.col("v_sub"), F.col("v_over")))
+    rows = sphere.evaluated(rows, normal=normal, turn=relative, v_abs=stage_velocity(F.col("s_line_plate"), mid, interval))
+    rows = sphere.evaluated(rows, clockwise=sphere.cross(F.col("normal"), mid), v_conv=stage_velocity(F.col("turn"), mid, interval))
     out = {}
     for name, absolute in (("conv", False), ("abs", True)):
         v = F.col(f"v_{name}")
@@ -155,7 +184,7 @@ def convergence(sections: DataFrame, anchored: DataFrame, threshold: float, inte
         out |= {f"{name}_obliq_deg": oblique, f"{name}_cm_yr": scalar.signed_speed(speed, oblique, absolute)}
     rows = rows.withColumns(out | {"lon": sphere.lon_of(mid), "lat": sphere.lat_of(mid), "arc_len_deg": F.degrees("arc_len"), "normal_azimuth_deg": F.degrees(sphere.azimuth(mid, F.col("normal")))})
     columns = ["lon", "lat", "conv_cm_yr", "conv_obliq_deg", "abs_cm_yr", "abs_obliq_deg", "arc_len_deg", "normal_azimuth_deg", "subducting_plate", "overriding_plate"]
-    return rows.select("time", *columns)
+    return rows.select("time", *columns).orderBy("time", *columns)
 
 
 def times(spark, first: float, last: float, step: float) -> DataFrame:
@@ -164,9 +193,39 @@ def times(spark, first: float, last: float, step: float) -> DataFrame:
     return spark.range(n).select((F.lit(first) + F.col("id") * step).alias("time"))
 
 
-def subducted_sediment(arcs: DataFrame, thickness: DataFrame, radius: float = math.radians(20.0)) -> DataFrame:
-    """Length-weighted thickness and yearly volume by time, from rows of ``convergence`` and the thickness raster's nodes
-    (node_id, lon, lat, z); arcs without thickness within ``radius`` don't count."""
+def thickness_at_arcs(arcs: DataFrame, thickness: DataFrame, radius: float = math.radians(20.0), smoothing: float | None = None) -> DataFrame:
+    """Rows of ``convergence`` with the thickness (m) of the raster's node nearest at the same time, the volume a metre of
+    trench takes in a year and the velocity along the normal in cm a year; arcs without thickness within ``radius`` go.
+
+    ``thickness`` has nodes (node_id, lon, lat, z), with a time if there is a raster a time.
+    """
+    by = ("time",) if "time" in thickness.columns else ()
     points = arcs.withColumn("query_id", F.struct("time", "lon", "lat", "subducting_plate", "overriding_plate"))
-    found = query_raster(points.select("query_id", "lon", "lat").distinct(), thickness, radius)
-    return subducted(points.join(found, "query_id").withColumnRenamed("z", "thickness"))
+    found = query_raster(points.select("query_id", "time", "lon", "lat").distinct(), thickness, radius, smoothing, by)
+    rows = points.join(found, "query_id").withColumnRenamed("z", "thickness").drop("query_id").where(~F.isnan("thickness"))
+    normal = scalar.normal_velocity(F.col("conv_cm_yr"), F.col("conv_obliq_deg"))
+    return rows.withColumns({"normal_cm_yr": normal * 100, "volume_m2_yr": normal * F.col("thickness")})
+
+
+def subducted_sediment(arcs: DataFrame, thickness: DataFrame, radius: float = math.radians(20.0)) -> DataFrame:
+    """Length-weighted thickness and yearly volume by time, from rows of ``convergence`` and the thickness rasters' nodes
+    (time, node_id, lon, lat, z), or one raster for all times without the time; arcs without thickness within ``radius`` don't count."""
+    return subducted(thickness_at_arcs(arcs, thickness, radius))
+
+
+def query_features(features: DataFrame, anchored: DataFrame, nodes: DataFrame, types: list[str], threshold: float, search_radius: float, smoothing_radius: float | None = None) -> DataFrame:
+    """The raster along lines of some types as they lay at ``t``: features (t, plate, feature_type, geom_id, a, b) are
+    picked by type, moved, cut and queried; rows (geom_id, t, piece, lon, lat, z, weight)."""
+    moved = reconstructed_lines(of_types(features, types), anchored)
+    return _queried(moved, "t", nodes, threshold, search_radius, smoothing_radius)
+
+
+def query_sections(sections: DataFrame, nodes: DataFrame, types: list[str], threshold: float, search_radius: float, smoothing_radius: float | None = None) -> DataFrame:
+    """The raster along resolved boundary sections (time, feature_type, geom_id, a, b) of some types, picked after
+    resolving; rows (geom_id, time, piece, lon, lat, z, weight)."""
+    return _queried(of_types(sections, types), "time", nodes, threshold, search_radius, smoothing_radius)
+
+
+def _queried(lines: DataFrame, time: str, nodes: DataFrame, threshold: float, search_radius: float, smoothing_radius: float | None) -> DataFrame:
+    out = query_lines(lines.select(F.struct("geom_id", time).alias("geom_id"), "a", "b"), nodes, threshold, search_radius, smoothing_radius)
+    return out.select("geom_id.*", *(c for c in out.columns if c != "geom_id"))

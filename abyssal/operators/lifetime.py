@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp
+from .spatial_join import distance_to_lines
 
 
 def observation_times(points: DataFrame, step: int, most: int | None) -> DataFrame:
@@ -25,13 +28,17 @@ def lifetime_statistics(observed: DataFrame, max_mean: float | None = None) -> D
     return observed.groupBy("paleo_time", "point_id").agg(F.count("*").alias("n"), clamp(F.avg("dist_km"), max_mean).alias("mean_km"), F.stddev_pop("dist_km").alias("std_km"))
 
 
-def proximity(points: DataFrame, positions, distances: DataFrame, step: int, most: int | None, max_mean: float | None = None) -> DataFrame:
+def proximity(points: DataFrame, positions, margins: DataFrame, step: int, most: int | None, threshold: float | None = None, max_mean: float | None = None, ignore_far: bool = False) -> DataFrame:
     """Lifetime mean and deviation of the distance to margins.
 
     ``points`` has paleo_time, point_id, birth_time, plate, lon, lat; ``positions`` moves rows with a
-    time ``t`` to (lon, lat) at that time and drops those that no plate carries; ``distances`` has one
-    row (t, cell_lon, cell_lat, dist_km) a cell of a one-degree grid and time, computed once and used by all points.
+    time ``t`` to (lon, lat) at that time and drops those that no plate carries; a point that is
+    dropped once stays out at all older times. ``margins`` has arcs (t, a, b) as they lay at each time.
+    A point farther than ``threshold`` radians from all margins counts with half the
+    circumference, or not at all with ``ignore_far``.
     """
-    moved = positions(observation_times(points, step, most))
-    cells = moved.withColumns({"cell_lon": F.floor("lon").cast("int"), "cell_lat": F.floor("lat").cast("int")})
-    return lifetime_statistics(cells.join(distances, ["t", "cell_lon", "cell_lat"]), max_mean)
+    seen = observation_times(points, step, most).withColumn("_seen", F.row_number().over(Window.partitionBy("paleo_time", "point_id").orderBy("t")))
+    moved = positions(seen).withColumn("_still", F.row_number().over(Window.partitionBy("paleo_time", "point_id").orderBy("t"))).where("_seen = _still")
+    asked = moved.select(F.struct("paleo_time", "point_id", "t").alias("query_id"), "t", "lon", "lat")
+    found = distance_to_lines(asked, margins, threshold, by=("t",), beyond=None if ignore_far else math.pi)
+    return lifetime_statistics(found.select("query_id.*", "dist_km").where("dist_km IS NOT NULL"), max_mean)

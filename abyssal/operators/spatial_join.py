@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sphere
 from ..functions.scalar import MEAN_RADIUS_KM
+from ..storage import stored
 
 
 def _celled(df: DataFrame, axes: list[Column], size: float, around: bool) -> DataFrame:
@@ -29,8 +30,8 @@ def planar_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["_c0", "_c1"]).withColumn("dist", dist).where(F.col("dist") <= radius).drop("_c0", "_c1")
 
 
-def sphere_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs within ``radius`` radians, over poles and date line, with ``dist`` in radians."""
+def sphere_pairs(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within ``radius`` radians, over poles and date line, with ``dist`` in radians; columns ``by`` must be equal too."""
     chord = max(1e-9, 2 * math.sin(min(radius, math.pi) / 2)) * (1 + 1e-12)
 
     def axes(lon: str, lat: str) -> list[Column]:
@@ -39,38 +40,39 @@ def sphere_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
     a, b = _celled(left, axes("lon", "lat"), chord, False), _celled(right, axes("lon2", "lat2"), chord, True)
     dist = sphere.great_circle(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    return a.join(b, ["_c0", "_c1", "_c2"]).withColumn("dist", dist).where(F.col("dist") <= radius).drop("_c0", "_c1", "_c2")
+    return a.join(b, [*by, "_c0", "_c1", "_c2"]).withColumn("dist", dist).where(F.col("dist") <= radius).drop("_c0", "_c1", "_c2")
 
 
-def nearest(queries: DataFrame, nodes: DataFrame, radius: float, key: str = "query_id", node: str = "node_id") -> DataFrame:
+def nearest(queries: DataFrame, nodes: DataFrame, radius: float, key: str = "query_id", node: str = "node_id", by: tuple[str, ...] = ()) -> DataFrame:
     """The node nearest to each query within ``radius`` radians, ties to the smaller id; null where there is none."""
-    best = sphere_pairs(queries, nodes, radius).groupBy(key).agg(F.min(F.struct("dist", node)).alias("b")).select(key, F.col(f"b.{node}").alias(node), F.col("b.dist").alias("dist"))
+    best = sphere_pairs(queries, nodes, radius, by).groupBy(key).agg(F.min(F.struct("dist", node)).alias("b")).select(key, F.col(f"b.{node}").alias(node), F.col("b.dist").alias("dist"))
     return queries.join(best, key, "left")
 
 
-def nearest_anywhere(queries: DataFrame, nodes: DataFrame, key: str = "query_id", node: str = "node_id", radii: tuple[float, ...] = (0.1, 0.4, math.pi)) -> DataFrame:
-    """``nearest`` without a bound: growing radii, each for the queries that found none yet."""
+def nearest_anywhere(queries: DataFrame, nodes: DataFrame, key: str = "query_id", node: str = "node_id", radii: tuple[float, ...] = (0.1, 0.3, 0.9, math.pi)) -> DataFrame:
+    """``nearest`` without a bound: growing radii, each for the queries that found none yet, so each radius is computed once."""
     out, left = None, queries
     for radius in radii:
-        found = nearest(left, nodes, radius, key, node)
+        found = stored(nearest(left, nodes, radius, key, node), "nearest")
         hit = found.where(F.col(node).isNotNull())
         out = hit if out is None else out.unionByName(hit)
         left = found.where(F.col(node).isNull()).select(*queries.columns)
     return out
 
 
-def query_raster(queries: DataFrame, nodes: DataFrame, search_radius: float, smoothing_radius: float | None = None) -> DataFrame:
+def query_raster(queries: DataFrame, nodes: DataFrame, search_radius: float, smoothing_radius: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows (query_id, z): the nearest node's value within the radius, NaN if there is none. With
-    ``smoothing_radius`` r (radians) the nodes within r of that node are averaged by r^2 / (r^2 + 9 d^2)."""
-    near = nearest(queries, nodes.select("node_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), search_radius)
-    values = nodes.select("node_id", F.col("z").alias("value"))
+    ``smoothing_radius`` r (radians) the nodes within r of that node are averaged by r^2 / (r^2 + 9 d^2).
+    Columns ``by``, such as the time of a raster, tell apart rasters whose nodes share ids."""
+    near = nearest(queries, nodes.select("node_id", *by, F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), search_radius, by=by)
+    values = nodes.select("node_id", *by, F.col("z").alias("value"))
     if smoothing_radius is not None:
-        hit = near.select("node_id").where(F.col("node_id").isNotNull()).distinct()
-        centres = nodes.join(hit, "node_id").select("node_id", "lon", "lat")
-        pairs = sphere_pairs(centres, nodes.select(F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "z"), smoothing_radius)
+        hit = near.select("node_id", *by).where(F.col("node_id").isNotNull()).distinct()
+        centres = nodes.join(hit, ["node_id", *by]).select("node_id", *by, "lon", "lat")
+        pairs = sphere_pairs(centres, nodes.select(*by, F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "z"), smoothing_radius, by)
         w = smoothing_radius**2 / (smoothing_radius**2 + 9 * F.col("dist") * F.col("dist"))
-        values = pairs.groupBy("node_id").agg((F.sum(w * F.col("z")) / F.sum(w)).alias("value"))
-    return near.join(values, "node_id", "left").select("query_id", F.coalesce("value", F.lit(float("nan"))).alias("z"))
+        values = pairs.groupBy("node_id", *by).agg((F.sum(w * F.col("z")) / F.sum(w)).alias("value"))
+    return near.join(values, ["node_id", *by], "left").select("query_id", F.coalesce("value", F.lit(float("nan"))).alias("z"))
 
 
 def upscale_weights(coarse: DataFrame, fine: DataFrame, spacing: float) -> DataFrame:
@@ -100,28 +102,30 @@ def by_sectors(targets: DataFrame, points: DataFrame, radius: float, sectors: in
     return first.groupBy("node_id").agg((F.sum(w * F.col("p.z")) / F.sum(w)).alias("z"), F.count("*").alias("n")).where(F.col("n") >= least).select("node_id", "z")
 
 
-def distance_to_lines(points: DataFrame, segments: DataFrame, threshold: float | None = None, longest: float = 0.05) -> DataFrame:
+def distance_to_lines(points: DataFrame, segments: DataFrame, threshold: float | None = None, longest: float = 0.05, by: tuple[str, ...] = (), beyond: float | None = math.pi) -> DataFrame:
     """Rows (query_id, dist_km): distance of points to the nearest arc of ``segments`` (a, b vectors), mean radius.
 
-    Arcs are cut to at most ``longest`` radians and found through their middles. Beyond
-    ``threshold`` radians, or with nothing in reach, the distance counts as half the
-    circumference, as in the calibration of the model.
+    Arcs are cut to at most ``longest`` radians and found through their middles; columns ``by``,
+    such as a time, must be equal too. Beyond ``threshold`` radians, or with nothing in reach, the
+    distance counts as half the circumference, as in the calibration of the model, or as
+    ``beyond`` radians; None gives null.
     """
-    pieces = tessellated(segments, longest).select("pa", "pb", sphere.lon_of(F.col("mid")).alias("lon2"), sphere.lat_of(F.col("mid")).alias("lat2"))
+    pieces = tessellated(segments, longest).select(*by, "pa", "pb", sphere.lon_of(F.col("mid")).alias("lon2"), sphere.lat_of(F.col("mid")).alias("lat2"))
     pieces = sphere.evaluated(sphere.evaluated(pieces, n=sphere.unit(sphere.cross(F.col("pa"), F.col("pb")))), na=sphere.cross(F.col("n"), F.col("pa")), nb=sphere.cross(F.col("pb"), F.col("n")))
     points = sphere.evaluated(points, p=sphere.from_lon_lat(F.col("lon"), F.col("lat")))
-    reach = (0.5, math.pi) if threshold is None else (threshold + longest / 2,)
+    reach = (0.15, 0.5, math.pi) if threshold is None else (threshold + longest / 2,)
     out, left = None, points
     for r in reach:
         p, n = F.col("p"), F.col("n")
         beside = (sphere.dot(F.col("na"), p) >= 0) & (sphere.dot(F.col("nb"), p) >= 0)
         end = lambda v: 2 * F.asin(F.least(F.lit(1.0), sphere.norm(sphere.plus(p, sphere.scaled(v, F.lit(-1.0)))) / 2))
         d = F.when(beside, F.asin(F.least(F.lit(1.0), F.abs(sphere.dot(p, n))))).otherwise(F.least(end(F.col("pa")), end(F.col("pb"))))
-        pairs = sphere_pairs(left, pieces, min(math.pi, r)).withColumn("d", d)
+        pairs = sphere_pairs(left, pieces, min(math.pi, r), by).withColumn("d", d)
         best = pairs.groupBy("query_id").agg(F.min("d").alias("d")).where(F.col("d") <= (threshold if threshold is not None else max(r - longest / 2, 0) if r < math.pi else math.pi))
+        best = best if len(reach) == 1 else stored(best, "line-distances")
         out = best if out is None else out.unionByName(best)
         left = left.join(best, "query_id", "left_anti")
-    return points.select("query_id").join(out, "query_id", "left").select("query_id", (F.coalesce("d", F.lit(math.pi)) * MEAN_RADIUS_KM).alias("dist_km"))
+    return points.select("query_id").join(out, "query_id", "left").select("query_id", (F.coalesce("d", F.lit(beyond)) * MEAN_RADIUS_KM).alias("dist_km"))
 
 
 def tessellated(segments: DataFrame, threshold: float) -> DataFrame:

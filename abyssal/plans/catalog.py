@@ -8,53 +8,23 @@ an operator has a rule for them. Results are rounded to six digits, to which bot
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar, sphere
-from ..operators import calibrate, graph, grid, kinematics, lifetime, raster, spatial_join, stats
+from ..operators import calibrate, graph, grid, lifetime, kinematics, raster, spatial_join, stats
 from ..sources import sinks, text
+from ..storage import numbered, shared_dir
+from . import sphere_sql as S
+from .registry import oracle_sql, queries, query, rounded, six, table
+from .tables import CUSTOMERS, PLACE, SUPPLIERS, arcs, customers, haversine, suppliers
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 NAN = float("nan")
 R = scalar.MEAN_RADIUS_KM
 
 
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def six(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: six(c) for c in columns})
-
-
 # Samples: lineitem with age and distance, some of them missing.
 
 SAMPLES = """samples AS (SELECT *, CASE WHEN l_partkey % 11 = 0 THEN 'NaN'::DOUBLE ELSE l_quantity * 4.3 END AS age,
@@ -166,13 +136,6 @@ def stretched_grid_points(spark, sf_dir):
 
 
 _PIXELS = "SELECT i::INT AS node_id, (i % 32)::INT AS i_lon, (i // 32)::INT AS i_lat, -180.0::DOUBLE + ((i % 32) + 0.5) * 11.25 AS lon, -90.0::DOUBLE + ((i // 32) + 0.5) * 11.25 AS lat FROM range(32 * 16) t(i)"
-_HAVERSINE = "2 * asin(least(1.0, sqrt(sin((radians({b}) - radians({a})) / 2) ** 2 + cos(radians({a})) * cos(radians({b})) * sin((radians({d}) - radians({c})) / 2) ** 2)))"
-
-
-def _arc(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
-    return _HAVERSINE.format(a=lat1, b=lat2, c=lon1, d=lon2)
-
-
 @query(_PIXELS)
 def pixel_nodes(spark, sf_dir):
     return grid.pixel_nodes(spark, 3).withColumn("node_id", F.col("node_id").cast("int"))
@@ -180,33 +143,16 @@ def pixel_nodes(spark, sf_dir):
 
 @query(f"""WITH n AS ({_PIXELS}), s AS (SELECT * FROM (SELECT unnest(range(-2, 3)) AS di), (SELECT unnest(range(-2, 3)) AS dj) WHERE (abs(di) < 2 AND abs(dj) < 2 AND NOT (di = 0 AND dj = 0)) OR abs(di * dj) = 2),
  e AS (SELECT a.*, b.node_id AS dst, b.lon AS lon2, b.lat AS lat2 FROM n a JOIN s ON a.i_lat + di BETWEEN 0 AND 15 JOIN n b ON b.i_lat = a.i_lat + di AND b.i_lon = (a.i_lon + dj + 32) % 32)
- SELECT node_id AS src, dst, round({_arc('lon', 'lat', 'lon2', 'lat2')}, 6) AS dist_rad FROM e""")
+ SELECT node_id AS src, dst, round({haversine('lon', 'lat', 'lon2', 'lat2')}, 6) AS dist_rad FROM e""")
 def neighbour_edges(spark, sf_dir):
     e = graph.neighbour_edges(spark, 3)
     return e.select(F.col("src").cast("int").alias("src"), "dst", six("dist_rad").alias("dist_rad"))
 
 
-# Places: customers and suppliers as points, parts and suppliers as raster nodes.
-
-_PLACE = "(({k} * 37) % 3600) / 10.0 - 180 + 0.03 AS lon, (({k} * 53) % 1780) / 10.0 - 89 + 0.01 AS lat"
-
-
-def place(key: str) -> list[Column]:
-    k = F.col(key)
-    return [(((k * 37) % 3600) / 10.0 - 180 + 0.03).alias("lon"), (((k * 53) % 1780) / 10.0 - 89 + 0.01).alias("lat")]
-
-
-def customers(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), *place("c_custkey"))
-
+# Places: customers and suppliers as points and raster nodes.
 
-def suppliers(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), *place("s_suppkey"), F.col("s_acctbal").alias("z"))
-
-
-_Q = f"q AS (SELECT c_custkey AS query_id, {_PLACE.format(k='c_custkey')} FROM customer)"
-_S = f"s AS (SELECT s_suppkey AS node_id, {_PLACE.format(k='s_suppkey')}, s_acctbal AS z FROM supplier)"
-_QS = f"p AS (SELECT query_id, node_id, z, {_arc('q.lon', 'q.lat', 's.lon', 's.lat')} AS d FROM q, s)"
+_Q, _S = CUSTOMERS, SUPPLIERS
+_QS = f"p AS (SELECT query_id, node_id, z, {haversine('q.lon', 'q.lat', 's.lon', 's.lat')} AS d FROM q, s)"
 
 
 @query(f"""WITH {_Q}, {_S}, {_QS}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS n FROM p WHERE d <= radians(12))
@@ -216,7 +162,7 @@ def nearest_raster(spark, sf_dir):
 
 
 @query(f"""WITH {_Q}, {_S}, {_QS}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, node_id) AS n FROM p WHERE d <= radians(20)),
- c AS (SELECT a.node_id, b.z, {_arc('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS d FROM s a, s b), m AS (SELECT node_id, sum(z * w) / sum(w) AS z FROM (SELECT *, radians(25) ** 2 / (radians(25) ** 2 + 9 * d * d) AS w FROM c WHERE d <= radians(25)) GROUP BY 1)
+ c AS (SELECT a.node_id, b.z, {haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS d FROM s a, s b), m AS (SELECT node_id, sum(z * w) / sum(w) AS z FROM (SELECT *, radians(25) ** 2 / (radians(25) ** 2 + 9 * d * d) AS w FROM c WHERE d <= radians(25)) GROUP BY 1)
  SELECT q.query_id, round(coalesce(m.z, 'NaN'::DOUBLE), 6) AS z FROM q LEFT JOIN b ON q.query_id = b.query_id AND n = 1 LEFT JOIN m ON m.node_id = b.node_id""")
 def smoothed_raster(spark, sf_dir):
     return rounded(spatial_join.query_raster(customers(spark, sf_dir), suppliers(spark, sf_dir), math.radians(20), math.radians(25)), "z")
@@ -238,7 +184,7 @@ def margin_threshold(spark, sf_dir):
 
 
 _COARSE = "c AS (SELECT (i % 37)::INT * 100 + (i // 37)::INT AS src_id, -180.0::DOUBLE + (i % 37) * 10 AS lon, -90.0::DOUBLE + (i // 37) * 10 AS lat FROM range(37 * 19) t(i))"
-_FINE = f"f AS (SELECT c_custkey AS fine_id, {_PLACE.format(k='c_custkey')} FROM customer)"
+_FINE = f"f AS (SELECT c_custkey AS fine_id, {PLACE.format(k='c_custkey')} FROM customer)"
 
 
 @query(f"""WITH {_COARSE}, {_FINE}, v AS (SELECT src_id, (sin(src_id * 0.37) * 100) AS z FROM c WHERE src_id % 5 <> 0),
@@ -276,7 +222,7 @@ def near_sector_plain(spark, sf_dir):
 
 @query(f"""WITH n AS (SELECT 45.0 / 2 AS size), {_Q}, a AS (SELECT *, floor(0.5 + (lat + 90) / 22.5)::INT AS r, floor(0.5 + (lon + 180) / 22.5)::INT AS c FROM q),
  k AS (SELECT query_id, lon, lat, r + di AS r, (c + dj + 16) % 16 AS c FROM a, (SELECT unnest([-1, 0]) AS di), (SELECT unnest([-1, 0]) AS dj)),
- d AS (SELECT query_id, (r * 16 + c)::INT AS node_id, {_arc('lon', 'lat', '(-180 + (c + 0.5) * 22.5)', '(-90 + (r + 0.5) * 22.5)')} AS dist FROM k WHERE r BETWEEN 0 AND 7),
+ d AS (SELECT query_id, (r * 16 + c)::INT AS node_id, {haversine('lon', 'lat', '(-180 + (c + 0.5) * 22.5)', '(-90 + (r + 0.5) * 22.5)')} AS dist FROM k WHERE r BETWEEN 0 AND 7),
  v AS (SELECT query_id, dist, 0.1 + (node_id % 9) * 0.05 AS x FROM d) SELECT query_id, round(sum(x / dist) / sum(1 / dist), 6) AS x, count(*) AS n FROM v GROUP BY 1""")
 def idw_nodes(spark, sf_dir):
     near = graph.surrounding_nodes(customers(spark, sf_dir), 2)
@@ -388,28 +334,28 @@ def exact_dedupe(spark, sf_dir):
     return stats.first_of_equal(table(spark, sf_dir, "lineitem"), same, ["l_orderkey", "l_linenumber"]).select(*same, "l_orderkey")
 
 
-def arcs(spark, sf_dir) -> DataFrame:
-    k = F.col("s_suppkey")
-    a = sphere.from_lon_lat(((k * 37) % 360 - 180).cast("double"), ((k * 13) % 120 - 60).cast("double"))
-    b = sphere.from_lon_lat(((k * 37) % 360 - 180 + k % 9).cast("double"), ((k * 13) % 120 - 60 + k % 4).cast("double"))
-    return table(spark, sf_dir, "supplier").select(k.alias("geom_id"), a.alias("a"), b.alias("b"))
-
-
-@query(f"""WITH a AS (SELECT s_suppkey AS geom_id, {_arc('((s_suppkey * 37) % 360 - 180)', '((s_suppkey * 13) % 120 - 60)', '((s_suppkey * 37) % 360 - 180 + s_suppkey % 9)', '((s_suppkey * 13) % 120 - 60 + s_suppkey % 4)')} AS len FROM supplier),
+@query(f"""WITH a AS (SELECT s_suppkey AS geom_id, {haversine('((s_suppkey * 37) % 360 - 180)', '((s_suppkey * 13) % 120 - 60)', '((s_suppkey * 37) % 360 - 180 + s_suppkey % 9)', '((s_suppkey * 13) % 120 - 60 + s_suppkey % 4)')} AS len FROM supplier),
  n AS (SELECT *, greatest(1, ceil(len / 0.02))::INT AS n FROM a WHERE len > 0) SELECT geom_id, n AS pieces, round(len, 6) AS total_len, round(len / n, 6) AS arc_len FROM n""")
 def tessellate(spark, sf_dir):
     return spatial_join.tessellated(arcs(spark, sf_dir), 0.02).groupBy("geom_id").agg(F.count("*").cast("int").alias("pieces"), six(F.sum("arc_len")).alias("total_len"), six(F.max("arc_len")).alias("arc_len"))
 
 
-@query(f"""WITH {_Q}, {_S}, {_QS} SELECT query_id, node_id, round(d, 6) AS haversine, round(d, 6) AS by_vectors FROM p WHERE (query_id + node_id) % 50 = 0""")
+_XYZ = "SELECT {k}, lon, lat, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM {t}"
+_BY_VECTORS = f"round({S.angle(S.named('a.'), S.named('b.'))}, 6) AS by_vectors"
+
+
+@query(f"""WITH {_Q}, {_S}, a AS ({_XYZ.format(k='query_id', t='q')}), b AS ({_XYZ.format(k='node_id', t='s')})
+ SELECT query_id, node_id, round({haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 6) AS haversine, {_BY_VECTORS} FROM a JOIN b ON {haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= radians(15)""")
 def great_circle(spark, sf_dir):
-    q, s = customers(spark, sf_dir).withColumn("part", F.pmod(-F.col("query_id"), F.lit(50))), suppliers(spark, sf_dir).select("node_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), (F.col("node_id") % 50).alias("part"))
+    """All pairs of a customer and a supplier within fifteen degrees, by two formulas."""
+    s = suppliers(spark, sf_dir).select("node_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    near = spatial_join.sphere_pairs(customers(spark, sf_dir), s, math.radians(15))
     a, b = sphere.from_lon_lat(F.col("lon"), F.col("lat")), sphere.from_lon_lat(F.col("lon2"), F.col("lat2"))
-    return q.join(s, "part").select("query_id", "node_id", six(sphere.great_circle(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).alias("haversine"), six(sphere.angle(a, b)).alias("by_vectors"))
+    return near.select("query_id", "node_id", six("dist").alias("haversine"), six(sphere.angle(a, b)).alias("by_vectors"))
 
 
 @query(f"""WITH {_Q}, {_S} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, query_id, round(d, 6) AS haversine, round(d, 6) AS by_vectors
- FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, query_id, {_arc('q.lon', 'q.lat', 's.lon', 's.lat')} AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN q ON o_custkey = query_id JOIN s ON l_suppkey = node_id)""")
+ FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, query_id, {haversine('q.lon', 'q.lat', 's.lon', 's.lat')} AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN q ON o_custkey = query_id JOIN s ON l_suppkey = node_id)""")
 def great_circle_lines(spark, sf_dir):
     """Every lineitem's supplier and its order's customer, without a filter."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -521,21 +467,11 @@ def training_update(spark, sf_dir):
 
 @query("""WITH a AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) AS n FROM part), b AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) SELECT p_partkey, p_size, c_custkey FROM a JOIN b USING (n)""")
 def positional_zip(spark, sf_dir):
-    left = numbered(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
-    right = numbered(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    left = numbered(table(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_partkey"], "zip-left")
+    right = numbered(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], "zip-right")
     return left.join(right, "n").drop("n")
 
 
-def numbered(rows: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Rows numbered from 0 in the order of a key: places within range partitions plus the partitions' counts."""
-    local = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    from pyspark.sql import Window
-
-    starts = local.groupBy(part.alias("_p")).agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(n, F.col("_m") - F.shiftleft(F.col("_p"), 33) + F.col("_s")).drop("_m", "_p", "_c", "_s")
-
-
 # Text.
 
 @query(r"""WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  ' || (doc_id % 360 - 180) || '.5   ' || (doc_id % 180 - 90) || ' extra words' WHEN 1 THEN '# comment' WHEN 2 THEN doc_id::VARCHAR WHEN 3 THEN 'x ' || doc_id ELSE (doc_id % 90) || chr(9) || (doc_id % 45) END AS value FROM documents)
@@ -578,8 +514,7 @@ def xyz_round_trip(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="abyssal-")
-    return f"{base}/abyssal-xyz-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/abyssal-text-{uuid.uuid4().hex}"
 
 
 @query("""SELECT l_returnflag AS feature_type, count(*) AS n, round(sum(l_quantity), 6) AS total FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity > 0 GROUP BY 1 ORDER BY 1""")
@@ -614,11 +549,6 @@ def obstacle_distance(spark, sf_dir):
     return graph.path_distances(points, nodes, 4).select("query_id", "time", six(F.coalesce("dist_rad", F.lit(math.pi)) * R).alias("dist_km"))
 
 
-@query()
-def line_distance(spark, sf_dir):
-    return rounded(spatial_join.distance_to_lines(customers(spark, sf_dir), arcs(spark, sf_dir)), "dist_km")
-
-
 @query()
 def lasso_fit(spark, sf_dir):
     model = calibrate.fit(calibrate.rate_rows(train(spark, sf_dir)), ["age", "pcb_mean_dist"], "sedrate")
@@ -637,66 +567,6 @@ def lasso_mesh(spark, sf_dir):
     return calibrate.mesh(spark, model).select("age", "pcb_mean_dist", F.round("predicted", 3).alias("predicted"))
 
 
-def _rotations(spark, sf_dir) -> DataFrame:
-    k = F.col("n_nationkey")
-    base = table(spark, sf_dir, "nation").where("n_nationkey between 1 and 6").select((k * 100).cast("int").alias("moving_plate"), F.when(k > 3, F.lit(100)).otherwise(F.lit(0)).cast("int").alias("fixed_plate"), (k * 11 - 30).cast("double").alias("pole_lat"), (k * 50 - 170).cast("double").alias("pole_lon"), k)
-    return base.select("*", F.explode(F.array(F.lit(0.0), F.lit(50.0), F.lit(300.0))).alias("time")).withColumn("angle", F.col("time") * (0.1 + F.col("n_nationkey") * 0.05)).drop("n_nationkey")
-
-
-def _anchored(spark, sf_dir, last: float) -> DataFrame:
-    return kinematics.to_anchor(kinematics.rotations_at(_rotations(spark, sf_dir), kinematics.times(spark, 0.0, last, 1.0)))
-
-
-@query()
-def stage_velocity(spark, sf_dir):
-    a = _anchored(spark, sf_dir, 10.0)
-    both = a.join(a.select((F.col("time") - 1).alias("time"), "plate", F.col("q").alias("before")), ["time", "plate"])
-    at = sphere.from_lon_lat(F.lit(20.0), F.lit(10.0))
-    turned = sphere.evaluated(both, step=kinematics.stage(F.col("q"), F.col("before")), at=at)
-    moved = sphere.evaluated(turned, v=kinematics.stage_velocity(F.col("step"), F.col("at"), 1.0))
-    return moved.select("time", "plate", six(sphere.norm(F.col("v"))).alias("cm_yr"), six(sphere.dot(F.col("v"), F.col("at"))).alias("radial"))
-
-
-def _convergence(spark, sf_dir) -> DataFrame:
-    k = F.col("geom_id")
-    sharer = lambda i, c, r: F.struct(i.cast("int").alias("plate_id"), c.alias("clockwise"), r.alias("reversed"))
-    sections = arcs(spark, sf_dir).select(
-        (k % 3).cast("double").alias("time"), k.alias("section_id"), F.when(k % 2 == 0, "Left").otherwise("Right").alias("polarity"), F.lit(100).alias("plate_id"), "a", "b",
-        F.array(sharer(F.lit(100), F.lit(True), F.lit(True)), sharer(F.lit(200) + 100 * (k % 4), F.lit(True), F.lit(False))).alias("sharing"),
-    )
-    return kinematics.convergence(sections, _anchored(spark, sf_dir, 4.0), 0.02)
-
-
-@query()
-def trench_convergence(spark, sf_dir):
-    out = _convergence(spark, sf_dir)
-    numbers = [c for c, t in out.dtypes if t == "double" and c != "time"]
-    return rounded(out, *numbers)
-
-
-@query()
-def ocean_proximity(spark, sf_dir):
-    points = customers(spark, sf_dir).select(F.lit(0.0).alias("paleo_time"), F.col("query_id").alias("point_id"), (F.col("query_id") % 12).cast("double").alias("birth_time"), ((F.col("query_id") % 6 + 1) * 100).cast("int").alias("plate"), "lon", "lat")
-    anchored = _anchored(spark, sf_dir, 10.0)
-    margins = suppliers(spark, sf_dir).select("node_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    cell = grid.grid_points(spark, 2.0).select(F.expr("int(i_lon * 1000 + i_lat)").alias("query_id"), "lon", "lat")
-    near = spatial_join.nearest_anywhere(cell, margins).select(F.floor("lon").cast("int").alias("lon"), F.floor("lat").cast("int").alias("lat"), (F.col("dist") * R).alias("dist_km"))
-    one = near.select(F.explode(F.array(F.col("lon"), F.col("lon") + 1)).alias("cell_lon"), "lat", "dist_km").select("cell_lon", F.explode(F.array(F.col("lat"), F.col("lat") + 1)).alias("cell_lat"), "dist_km")
-    by_time = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10)))).select("cell_lon", "cell_lat", "dist_km", F.col("k").cast("double").alias("t"))
-    return rounded(lifetime.proximity(points, lambda rows: kinematics.reconstructed(rows, anchored), by_time, 1, 10, 3000.0), "mean_km", "std_km")
-
-
-@query()
-def subducting_volume(spark, sf_dir):
-    out = kinematics.subducted_sediment(_convergence(spark, sf_dir), suppliers(spark, sf_dir))
-    return rounded(out, *(c for c in out.columns if c != "time"))
-
-
-@query()
-def raster_along_lines(spark, sf_dir):
-    return rounded(spatial_join.query_lines(arcs(spark, sf_dir), suppliers(spark, sf_dir), 0.02, math.radians(20), math.radians(10)), "lon", "lat", "z", "weight")
-
-
 @query()
 def lasso_curve(spark, sf_dir):
     rows = calibrate.rate_rows(train(spark, sf_dir))
@@ -715,3 +585,8 @@ def rivers_with_and_without(spark, sf_dir):
 @query("SELECT o_orderdate, o_orderkey, round(o_totalprice, 6) AS price FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 5")
 def ordered_head(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy("o_orderdate", "o_orderkey").limit(5).select("o_orderdate", "o_orderkey", six("o_totalprice").alias("price"))
+
+
+from . import moving  # noqa: E402, F401  registers its queries
+
+__all__ = ["oracle_sql", "queries"]
