@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sphere
+from ..storage import stored
 from .grid import pixel_nodes
+from .spatial_join import sphere_pairs, tessellated
+from .stats import near_best
 
 #: Steps (rows up, columns right) to the eight neighbours and the eight a knight's move away.
 STEPS = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i or j) and max(abs(i), abs(j)) < 2 or {abs(i), abs(j)} == {1, 2}]
@@ -40,94 +40,125 @@ def surrounding_nodes(points: DataFrame, depth: int) -> DataFrame:
     return rows.select("query_id", (F.col("row") * n_lon + F.col("col")).alias("node_id"), dist.alias("dist"))
 
 
-def _vectors(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
-    a, b = np.radians(lat), np.radians(lon)
-    return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=-1)
-
-
-def inside(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Which unit vectors lie inside a ring of vertices smaller than a hemisphere, by winding number."""
-    v = ring[None] - (points @ ring.T)[..., None] * points[:, None]
-    w = np.roll(v, -1, axis=1)
-    turn = np.arctan2(np.einsum("pk,pvk->pv", points, np.cross(v, w)), np.einsum("pvk,pvk->pv", v, w)).sum(1)
-    return (np.abs(turn) > math.pi) & (points @ ring.mean(0) > 0)
-
-
-def crosses(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Whether each short arc a-b crosses any of the short arcs c-d."""
-    n, m = np.cross(a, b), np.cross(c, d)
-    sa, sb = a @ m.T, b @ m.T
-    sc, sd = n @ c.T, n @ d.T
-    near = (a + b) @ (c + d).T > 0
-    return ((sa * sb < 0) & (sc * sd < 0) & near).any(1)
-
-
-class PixelGraph:
-    """Nodes and neighbours of a depth, less what polygons and lines block."""
-
-    def __init__(self, depth: int, rings: list[np.ndarray], lines: list[np.ndarray]):
-        self.n_lon, self.n_lat, size = 4 << depth, 2 << depth, 90.0 / (1 << depth)
-        i = np.arange(self.n_lon * self.n_lat)
-        self.xyz = _vectors(-180 + (i % self.n_lon + 0.5) * size, -90 + (i // self.n_lon + 0.5) * size)
-        self.size = math.radians(size)
-        self.outside = np.ones(len(i), dtype=bool)
-        for ring in rings:
-            self.outside &= ~inside(self.xyz, ring)
-        arcs = [(x, np.roll(x, -1, axis=0)) for x in rings] + [(x[:-1], x[1:]) for x in lines]
-        starts, ends = (np.concatenate([a[k] for a in arcs]) for k in (0, 1)) if arcs else (np.zeros((0, 3)), np.zeros((0, 3)))
-        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
-        for dr, dc in STEPS:
-            row = i // self.n_lon + dr
-            ok = (row >= 0) & (row < self.n_lat)
-            to = np.where(ok, row * self.n_lon + (i % self.n_lon + dc) % self.n_lon, 0)
-            ok &= self.outside & self.outside[to]
-            if len(starts):
-                at = np.flatnonzero(ok)
-                for k in range(0, len(at), 4096):
-                    part = at[k : k + 4096]
-                    ok[part] &= ~crosses(self.xyz[part], self.xyz[to[part]], starts, ends)
-            dist = 2 * np.arcsin(np.minimum(1, np.linalg.norm(self.xyz - self.xyz[to], axis=1) / 2))
-            self.edges.append((np.where(ok, to, -1), dist))
-
-    def distances(self, sources: np.ndarray, threshold: float = math.pi) -> np.ndarray:
-        """Distance of each node from the nearest source (points), infinite where there's no way or it is beyond the threshold."""
-        best = np.full(len(self.xyz), np.inf)
-        gap = 2 * np.arcsin(np.minimum(1, np.linalg.norm(self.xyz[:, None] - sources[None], axis=2) / 2))
-        for s in range(gap.shape[1]):  # seeds: outside nodes not much farther than the nearest one
-            g = np.where(self.outside, gap[:, s], np.inf)
-            seed = g <= min(g.min() + 0.7 * self.size, threshold)
-            best[seed] = np.minimum(best[seed], g[seed])
-        to = np.stack([e[0] for e in self.edges], axis=1)
-        cost = np.stack([e[1] for e in self.edges], axis=1)
-        heap = [(d, n) for n, d in enumerate(best.tolist()) if d < np.inf]
-        heapq.heapify(heap)
-        to_list, cost_list, best = to.tolist(), cost.tolist(), best.tolist()
-        while heap:
-            d, n = heapq.heappop(heap)
-            if d > best[n]:
-                continue
-            for m, c in zip(to_list[n], cost_list[n]):
-                if m >= 0 and d + c < best[m] and d + c <= threshold:
-                    best[m] = d + c
-                    heapq.heappush(heap, (d + c, m))
-        return np.array(best)
+def _vector_of(node: Column, depth: int) -> Column:
+    n_lon, size = 4 << depth, 90.0 / (1 << depth)
+    return sphere.from_lon_lat(-180.0 + (node % n_lon + 0.5) * size, -90.0 + (F.floor(node / n_lon) + 0.5) * size)
 
 
-def node_distances(geometries: DataFrame, depth: int, threshold: float = math.pi) -> DataFrame:
-    """Rows (time, node_id, outside, dist_rad) for each time of ``geometries`` (time, role, kind, xyz).
+def closed_nodes(polygons: DataFrame, depth: int) -> DataFrame:
+    """Rows (time, node_id) of the pixel centres inside polygons (time, xyz), each smaller than a hemisphere, by winding number.
 
-    Role ``source`` has the points distances start from; role ``obstacle`` polygons, whose insides are
-    closed, and polylines. One group is one time's geometry; a node that can't be reached has null.
+    A polygon is compared with the rows of pixels that the cap around its vertices reaches.
+    """
+    n_lon, n_lat, size = 4 << depth, 2 << depth, 90.0 / (1 << depth)
+    sum_ = F.aggregate("xyz", sphere.vector(F.lit(0.0), F.lit(0.0), F.lit(0.0)), lambda s, v: sphere.plus(s, v))
+    caps = sphere.evaluated(sphere.evaluated(polygons.select("time", "xyz"), sum=sum_), centre=sphere.unit(F.col("sum")))
+    caps = sphere.evaluated(caps, reach=F.array_max(F.transform("xyz", lambda v: sphere.angle(F.col("centre"), v))) + 1e-9)
+    row = lambda lat: F.least(F.lit(n_lat - 1), F.greatest(F.lit(0), F.floor((lat + 90.0) / size))).cast("int")
+    lat, reach = sphere.lat_of(F.col("centre")), F.degrees("reach")
+    rows = caps.withColumn("row", F.explode(F.sequence(row(lat - reach), row(lat + reach))))
+    pixels = rows.withColumn("node_id", F.explode(F.sequence(F.col("row") * n_lon, F.col("row") * n_lon + n_lon - 1)))
+    near = sphere.evaluated(pixels, p=_vector_of(F.col("node_id"), depth)).where(sphere.dot(F.col("p"), F.col("centre")) >= F.cos("reach"))
+    flat = F.transform("xyz", lambda v: sphere.plus(v, sphere.scaled(F.col("p"), -sphere.dot(v, F.col("p")))))
+    turn = lambda v, w: F.atan2(sphere.dot(F.col("p"), sphere.cross(v, w)), sphere.dot(v, w))
+    turns = sphere.evaluated(near, flat=flat).withColumn("next", F.concat(F.slice("flat", 2, F.size("flat")), F.slice("flat", 1, 1)))
+    wound = F.aggregate(F.zip_with("flat", "next", turn), F.lit(0.0), lambda s, x: s + x)
+    return turns.where((F.abs(wound) > math.pi) & (sphere.dot(F.col("p"), F.col("centre")) > 0)).select("time", "node_id").distinct()
+
+
+def _segments(shapes: DataFrame) -> DataFrame:
+    """Arcs (shape, time, a, b) of lines and rings (kind, xyz); a point is an arc without length."""
+    ring = F.when(F.col("kind") == "polygon", F.concat("xyz", F.slice("xyz", 1, 1))).otherwise(F.col("xyz"))
+    pair = lambda v, i: F.struct(v.alias("a"), F.get(F.col("ring"), i + 1).alias("b"))
+    arcs = F.when(F.col("kind") == "point", F.transform("ring", lambda v: F.struct(v.alias("a"), v.alias("b")))).otherwise(F.filter(F.transform("ring", pair), lambda s: s["b"].isNotNull()))
+    return shapes.withColumn("ring", ring).select("shape", "time", F.explode(arcs).alias("s")).select("shape", "time", "s.a", "s.b")
+
+
+def blocked_edges(edges: DataFrame, obstacles: DataFrame, depth: int) -> DataFrame:
+    """Rows (time, src, dst) of edges (src, dst) that cross an arc (time, a, b), found by the middles of edges and of
+    pieces of the arcs no longer than a pixel."""
+    size = math.radians(90.0 / (1 << depth))
+    ends = sphere.evaluated(edges.select("src", "dst"), p=_vector_of(F.col("src"), depth), q=_vector_of(F.col("dst"), depth))
+    ends = sphere.evaluated(ends, m=sphere.plus(F.col("p"), F.col("q"))).withColumns({"lon": sphere.lon_of(F.col("m")), "lat": sphere.lat_of(F.col("m"))})
+    pieces = tessellated(obstacles, size).select("time", "a", "b", sphere.lon_of(F.col("mid")).alias("lon2"), sphere.lat_of(F.col("mid")).alias("lat2"))
+    pairs = sphere_pairs(ends, pieces, 1.01 * size * (math.sqrt(5) + 1) / 2)
+    p, q, a, b = (F.col(c) for c in "pqab")
+    n, m = sphere.cross(p, q), sphere.cross(a, b)
+    across = (sphere.dot(p, m) * sphere.dot(q, m) < 0) & (sphere.dot(a, n) * sphere.dot(b, n) < 0) & (sphere.dot(F.col("m"), sphere.plus(a, b)) > 0)
+    return pairs.where(across).select("time", "src", "dst").distinct()
+
+
+def seeds(nodes: DataFrame, sources: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """Rows (time, node_id, d): of each source (shape, time, a, b), the nodes (time, node_id) no more than 0.7 of a pixel
+    farther from it than the nearest one and within ``threshold``. Radii grow until each source has its nearest node."""
+    size, spark = math.radians(90.0 / (1 << depth)), nodes.sparkSession
+    cut = tessellated(sources, size).select("shape", "time", F.col("pa").alias("a"), F.col("pb").alias("b"), "mid")
+    points = sources.where(sphere.angle(F.col("a"), F.col("b")) == 0).withColumn("mid", F.col("a"))
+    pieces = cut.unionByName(points).withColumns({"lon2": sphere.lon_of(F.col("mid")), "lat2": sphere.lat_of(F.col("mid"))}).drop("mid")
+    at = sphere.evaluated(nodes.select("time", "node_id"), p=_vector_of(F.col("node_id"), depth))
+    at = at.withColumns({"lon": sphere.lon_of(F.col("p")), "lat": sphere.lat_of(F.col("p"))})
+    out, left = spark.createDataFrame([], "time double, node_id int, d double"), stored(pieces, "source-pieces")
+    point = sphere.angle(F.col("a"), F.col("b")) == 0
+    d = F.when(point, sphere.angle(F.col("p"), F.col("a"))).otherwise(sphere.arc_distance(F.col("p"), F.col("a"), F.col("b")))
+    for reach in (3 * size, 12 * size, 48 * size, math.pi):
+        pairs = sphere_pairs(at, left, min(math.pi, reach + size / 2), ("time",)).groupBy("shape", "time", "node_id").agg(F.min(d).alias("d"))
+        near = stored(near_best(pairs, "shape", "d", 0.7 * size).withColumn("best", F.min("d").over(Window.partitionBy("shape"))), "seeds")
+        done = near.where(F.col("best") + 0.7 * size <= reach) if reach < math.pi else near
+        out = out.unionByName(done.where(F.col("d") <= threshold).select("time", F.col("node_id").cast("int").alias("node_id"), "d"))
+        left = stored(left.join(done.select("shape").distinct(), "shape", "left_anti"), "source-pieces")
+        if not left.limit(1).count():
+            break
+    return out.groupBy("time", "node_id").agg(F.min("d").alias("d"))
+
+
+#: Steps along edges between two written tables.
+HOPS = 8
+
+
+def relaxed(start: DataFrame, ways: DataFrame, threshold: float, most: int = 100_000) -> DataFrame:
+    """Rows (time, node_id, d): least distances from ``start`` (time, node_id, d) along ``ways`` (time, node_id, array of
+    (node_id, dist)) within ``threshold``.
+
+    Each step sends every node that got nearer in the last one to its neighbours, an equi-join and
+    one aggregation; after every few steps the table is written, until none got nearer.
     """
+    own = "named_struct('node_id', node_id, 'old', d, 'new', CAST(NULL AS DOUBLE))"
+    to = f"filter(transform(ways, w -> named_struct('node_id', w.node_id, 'old', CAST(NULL AS DOUBLE), 'new', d + w.dist)), w -> w.new <= {threshold!r}D)"
+    sent = F.expr(f"explode(CASE WHEN fresh AND ways IS NOT NULL THEN concat(array({own}), {to}) ELSE array({own}) END)").alias("n")
+    old, new = F.expr("min(n.old)").alias("old"), F.expr("min(n.new)").alias("new")
+    least, fresh = F.expr("least(old, new)").alias("d"), F.expr("new IS NOT NULL AND (old IS NULL OR new < old)").alias("fresh")
+    now = stored(start.selectExpr("time", "node_id", "d", "true AS fresh"), "reached")
+    for _ in range(most):
+        for _ in range(HOPS):
+            now = now.join(ways, ["time", "node_id"], "left").select("time", sent).groupBy("time", "n.node_id").agg(old, new).select("time", "node_id", least, fresh)
+        now = stored(now, "reached")
+        if not now.where("fresh").limit(1).count():
+            return now.select("time", "node_id", "d")
+    raise RuntimeError("distances did not settle")
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        shapes = [(r.role, r.kind, np.array([[p["x"], p["y"], p["z"]] for p in r.xyz], dtype=float)) for r in rows.itertuples()]
-        graph = PixelGraph(depth, [x for role, kind, x in shapes if role == "obstacle" and kind == "polygon"], [x for role, kind, x in shapes if role == "obstacle" and kind == "polyline"])
-        sources = [x for role, _, x in shapes if role == "source"]
-        d = graph.distances(np.concatenate(sources), threshold) if sources else np.full(len(graph.xyz), np.inf)
-        return pd.DataFrame({"time": rows["time"].iloc[0], "node_id": np.arange(len(d), dtype=np.int32), "outside": graph.outside, "dist_rad": [x if math.isfinite(x) else None for x in d.tolist()]})
 
-    return geometries.groupBy("time").applyInPandas(solve, "time double, node_id int, outside boolean, dist_rad double")
+def node_distances(geometries: DataFrame, depth: int, threshold: float = math.pi) -> DataFrame:
+    """Rows (time, node_id, outside, dist_rad) for each time of ``geometries`` (time, role, kind, xyz).
+
+    Role ``source`` has the points, lines and outlines that distances start from; role ``obstacle``
+    polygons, whose insides are closed, and polylines. A node that can't be reached within
+    ``threshold`` has null. All times are one plan: nodes less closed ones, edges less blocked
+    ones, then least distances in rounds.
+    """
+    shapes = stored(geometries.withColumn("shape", F.xxhash64("time", "role", "kind", "xyz")).dropDuplicates(["shape"]), "shapes")
+    obstacles = shapes.where("role = 'obstacle'")
+    n = (4 << depth) * (2 << depth)
+    nodes = shapes.select("time").distinct().select("time", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("node_id"))
+    closed = closed_nodes(obstacles.where("kind = 'polygon'"), depth).withColumn("outside", F.lit(False))
+    nodes = stored(nodes.join(closed, ["time", "node_id"], "left").withColumn("outside", F.coalesce("outside", F.lit(True))), "nodes")
+    edges, free = neighbour_edges(geometries.sparkSession, depth), nodes.where("outside").select("time", "node_id")
+    blocked = blocked_edges(edges, _segments(obstacles.where("kind <> 'point'")), depth)
+    at = edges.select(F.col("src").cast("int").alias("node_id"), "dst", F.col("dist_rad").alias("dist"))
+    both = free.join(at, "node_id").join(free.withColumnRenamed("node_id", "dst"), ["time", "dst"])
+    kept = both.join(blocked.withColumnsRenamed({"src": "node_id"}), ["time", "node_id", "dst"], "left_anti")
+    ways = stored(kept.groupBy("time", "node_id").agg(F.collect_list(F.struct(F.col("dst").alias("node_id"), "dist")).alias("ways")), "ways")
+    reached = relaxed(seeds(free, _segments(shapes.where("role = 'source'")), depth, threshold), ways, threshold)
+    return nodes.join(reached.withColumnRenamed("d", "dist_rad"), ["time", "node_id"], "left")
 
 
 def path_distances(points: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
@@ -135,18 +166,23 @@ def path_distances(points: DataFrame, nodes: DataFrame, depth: int) -> DataFrame
     (query_id, time, lon, lat). If all of them lie in obstacles, the least of node distance plus way to
     the node over outside nodes near the closest one; null where there is no way."""
     size = math.radians(90.0 / (1 << depth))
-    near = surrounding_nodes(points, depth).join(points.select("query_id", "time"), "query_id").join(nodes, ["time", "node_id"], "left")
+    near = surrounding_nodes(points, depth).join(points.select("query_id", "time").distinct(), "query_id").join(nodes, ["time", "node_id"], "left")
     w = F.when(F.col("dist") != 0, 1.0 / F.when(F.col("dist") != 0, F.col("dist")))
     reached = F.col("dist_rad").isNotNull()
     around = near.groupBy("query_id", "time").agg(
         F.coalesce(F.min(F.when(F.col("dist") == 0, F.col("dist_rad"))), F.sum(F.when(reached, w * F.col("dist_rad"))) / F.sum(F.when(reached, w))).alias("dist_rad"),
         F.max("outside").alias("any_outside"),
     )
-    closed = points.join(around.where(~F.col("any_outside")).select("query_id"), "query_id", "left_semi")
-    pixels = pixel_nodes(points.sparkSession, depth).select("node_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    from .spatial_join import sphere_pairs
-    from .stats import near_best
-
-    wide = sphere_pairs(closed, pixels, min(math.pi, 24 * size)).join(nodes.where("outside"), ["time", "node_id"])
-    far = near_best(wide, "query_id", "dist", 0.7 * size).groupBy("query_id", "time").agg(F.min(F.col("dist") + F.col("dist_rad")).alias("wide_rad"))
-    return around.join(far, ["query_id", "time"], "left").select("query_id", "time", F.when(F.col("any_outside"), F.col("dist_rad")).otherwise(F.col("wide_rad")).alias("dist_rad"))
+    closed = stored(points.join(around.where(~F.col("any_outside")).select("query_id", "time"), ["query_id", "time"], "left_semi"), "points-in-obstacles")
+    pixels = nodes.where("outside").withColumn("p", _vector_of(F.col("node_id"), depth))
+    pixels = pixels.select("time", "dist_rad", sphere.lon_of(F.col("p")).alias("lon2"), sphere.lat_of(F.col("p")).alias("lat2"))
+    wide = None
+    for reach in (8 * size, 32 * size, math.pi):
+        pairs = sphere_pairs(closed, pixels, min(math.pi, reach), ("time",)).withColumn("key", F.struct("query_id", "time"))
+        far = near_best(pairs, "key", "dist", 0.7 * size).groupBy("query_id", "time").agg(F.min("dist").alias("nearest"), F.min(F.col("dist") + F.col("dist_rad")).alias("wide_rad"))
+        far = stored(far.where(F.col("nearest") + 0.7 * size <= reach) if reach < math.pi else far, "wide-searches")
+        wide = far if wide is None else wide.unionByName(far)
+        closed = stored(closed.join(far, ["query_id", "time"], "left_anti"), "points-in-obstacles")
+        if not closed.limit(1).count():
+            break
+    return around.join(wide, ["query_id", "time"], "left").select("query_id", "time", F.when(F.col("any_outside"), F.col("dist_rad")).otherwise(F.col("wide_rad")).alias("dist_rad"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from abyssal.functions import scalar, sphere
 from abyssal.operators import calibrate, graph, grid, kinematics, lifetime, raster, spatial_join, stats
 from abyssal.sources import netcdf, sinks, text
+from tests import pixel_graph
 
 
 def one(df):
@@ -98,23 +99,23 @@ def test_interpolation_at_nodes_gives_the_node(spark):
 
 
 def test_path_without_obstacles_is_near_great_circle(spark):
-    g = graph.PixelGraph(4, [], [])
-    source = graph._vectors(np.array([10.0]), np.array([5.0]))
+    g = pixel_graph.PixelGraph(4, [], [])
+    source = pixel_graph._vectors(np.array([10.0]), np.array([5.0]))
     d = g.distances(source)
     true = np.arccos(np.clip(g.xyz @ source[0], -1, 1))
     assert np.isfinite(d).all() and (d >= true - 1e-9).all() and (d[true > 0.5] <= 1.1 * true[true > 0.5] + 0.1).all()
 
 
 def test_obstacles_close_nodes_and_lengthen_ways(spark):
-    wall = [graph._vectors(np.array([20.0, 30.0, 30.0, 20.0]), np.array([-40.0, -40.0, 40.0, 40.0]))]
-    source = graph._vectors(np.array([0.0]), np.array([0.0]))
-    free, blocked = graph.PixelGraph(4, [], []), graph.PixelGraph(4, wall, [])
-    at = int(np.argmax(free.xyz @ graph._vectors(np.array([50.0]), np.array([0.0]))[0]))
+    wall = [pixel_graph._vectors(np.array([20.0, 30.0, 30.0, 20.0]), np.array([-40.0, -40.0, 40.0, 40.0]))]
+    source = pixel_graph._vectors(np.array([0.0]), np.array([0.0]))
+    free, blocked = pixel_graph.PixelGraph(4, [], []), pixel_graph.PixelGraph(4, wall, [])
+    at = int(np.argmax(free.xyz @ pixel_graph._vectors(np.array([50.0]), np.array([0.0]))[0]))
     assert not blocked.outside.all() and blocked.distances(source)[at] > free.distances(source)[at] + 0.2
 
 
 def test_edges_match_the_graph(spark):
-    g = graph.PixelGraph(2, [], [])
+    g = pixel_graph.PixelGraph(2, [], [])
     want = {(i, int(m)) for e, _ in g.edges for i, m in enumerate(e) if m >= 0}
     assert {(r["src"], r["dst"]) for r in graph.neighbour_edges(spark, 2).collect()} == want
 
@@ -193,3 +194,22 @@ def test_outputs_by_time_and_metric(spark, tmp_path):
     sinks.write_by_time(rows, str(tmp_path / "t"), "paleo_time", "point_id", "mean_km")
     assert (tmp_path / "t" / "paleo_time=1.00").exists()
     assert stats.margin_lengths(spark.createDataFrame([(1, 1, "polyline", "x", 0.5), (1, 2, "polyline", "x", 0.5), (1, 3, "point", "y", 9.0)], "time int, geom_id int, kind string, geom_key string, length_rad double")).first()["length_km"] == pytest.approx(0.5 * scalar.MEAN_RADIUS_KM)
+
+
+def test_rounds_agree_with_one_machine(spark):
+    """Closed nodes, blocked edges, seeds of points and lines, and least distances against the graph on one machine."""
+    at = lambda lon, lat: pixel_graph._vectors(np.array(lon, dtype=float), np.array(lat, dtype=float))
+    shapes = [
+        (0.0, "source", "point", at([0.0], [0.0])), (0.0, "obstacle", "polygon", at([20, 40, 40, 20], [-40, -40, 40, 40])), (0.0, "obstacle", "polyline", at([-30, -30, -60], [-50, 50, 60])),
+        (1.0, "source", "point", at([100.0], [50.0])), (1.0, "source", "point", at([-100.0], [-70.0])), (1.0, "obstacle", "polygon", at([170, -170, -170, 170], [-20, -20, 30, 30])),
+    ]
+    rows = [(t, role, kind, [tuple(map(float, p)) for p in v]) for t, role, kind, v in shapes]
+    made = spark.createDataFrame(rows, "time double, role string, kind string, xyz array<struct<x: double, y: double, z: double>>")
+    got = {(r["time"], r["node_id"]): (r["outside"], r["dist_rad"]) for r in graph.node_distances(made, 3, 2.0).collect()}
+    for time in (0.0, 1.0):
+        of = lambda role, kind: [v for t, r, k, v in shapes if (t, r, k) == (time, role, kind)]
+        g = pixel_graph.PixelGraph(3, of("obstacle", "polygon"), of("obstacle", "polyline"))
+        d = g.distances(np.concatenate(of("source", "point")), 2.0)
+        for i in range(len(d)):
+            outside, mine = got[time, i]
+            assert outside == bool(g.outside[i]) and (mine is None and not math.isfinite(d[i]) or mine == pytest.approx(d[i]))
