@@ -2,52 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ``monotonically_increasing_id`` keeps the row's place in its partition in the low bits.
-_ROW_BITS = 33
-#: Spark drops a query's shuffle files as it ends; the written table replaces them.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, for tables that cut lineage.
-
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset (tests,
-    one machine) a temporary folder is set once for the session.
-    """
-    key = "spark.checkpoint.dir"
-    where = spark.conf.get(key, None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = getattr(spark, "_abyssal_dir", None)
-        if not where:
-            folder = tempfile.mkdtemp(prefix="abyssal-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            where = spark._abyssal_dir = f"file://{folder}"
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table.
-
-    Later reads see the same rows in the same files whatever executor is lost.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/abyssal-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import numbered, shared_dir, stored
 
 
 def parts(spark: SparkSession, at_least: int = 1) -> int:
@@ -59,23 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, keys: list[str], name: str, rank: str = "rank") -> DataFrame:
-    """Number all rows from 0 in the order of ``keys`` without a single-task sort.
-
-    Range partitions are sorted and written; the count of each partition (one row a
-    partition) goes to the driver and comes back as offsets. Ties get different numbers.
-    """
-    spark = df.sparkSession
-    local = stored(
-        df.repartitionByRange(parts(spark), *keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id()),
-        name,
-    )
-    part = F.shiftright("_row", _ROW_BITS).cast("int")
-    counts = {r["p"]: r["n"] for r in local.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    offsets, total = [0] * (max(counts, default=0) + 1), 0
-    for p in sorted(counts):
-        offsets[p], total = total, total + counts[p]
-    row = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return local.withColumn(rank, F.element_at(F.lit(offsets).cast("array<bigint>"), part + 1) + row).drop("_row")
+    """Number all rows from 0 in the order of ``keys``; ties get different numbers."""
+    return numbered(df, keys, name, rank)
 
 
 def bytes_of(df: DataFrame, *sizes: Column) -> int:
