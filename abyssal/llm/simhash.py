@@ -33,8 +33,8 @@ KEY_BLOCKS, KEY_BITS = 5, 28
 NEAR_RADIUS = 24
 #: Least Jaccard similarity of the sets of shingles of near copies that link.
 SIMILARITY = 0.8
-#: Hits that a task holds before it keeps the nearest of each only.
-HELD_HITS = 1 << 20
+#: Times that each set of shingles is compared with the nearest candidate outside the component that it is in by then.
+ROUNDS = 3
 #: Words whose hashes a Python worker keeps.
 CACHED_WORDS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -137,37 +137,30 @@ def meetings(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return np.stack([names[moved], names[label[moved]]], axis=1)
 
 
-def candidates(key: np.ndarray, name: np.ndarray, fp: np.ndarray, more: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
-    """Pairs (name, name) of these rows that meet on a key and whose fingerprints lie within ``NEAR_RADIUS``.
+def candidates(key: np.ndarray, name: np.ndarray, fp: np.ndarray, more: np.ndarray, group: np.ndarray, turn: int = 0) -> np.ndarray:
+    """Rows (name, name, distance) of pairs of these rows that meet on a key and whose fingerprints lie within
+    ``NEAR_RADIUS``, enough to connect all sets (``group``) that do.
 
-    Without ``group``, enough pairs to connect all that do. With it, the number of a set that
-    each name is in: for each name and other set the nearest that it meets.
+    Rows of a key are compared at growing distances in the order of their fingerprints, turned by ``turn``
+    sixteenths of a long, so that other neighbours come first each time. Sets that meet are joined
+    as they are found, so there are never more pairs than rows.
     """
-    none = np.zeros((0, 2), dtype=np.int64)
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((np.bitwise_or(fp.view(np.uint64) << np.uint64(16 * turn), fp.view(np.uint64) >> np.uint64(64 - 16 * turn)) if turn else fp.view(np.uint64), key))
     key = key[order]
     same = np.flatnonzero(key[1:] == key[:-1])
     if not len(same):
-        return none
+        return np.zeros((0, 3), dtype=np.int64)
     keep = np.unique(np.concatenate([same, same + 1]))
     key, order = key[keep], order[keep]
     names, at, node = np.unique(name[order], return_index=True, return_inverse=True)
     value, more = fp[order].view(np.uint64), more[order]
-    label = np.arange(len(names)) if group is None else np.unique(group[order][at], return_inverse=True)[1]
+    _, one, of = np.unique(group[order][at], return_index=True, return_inverse=True)
+    label = one[of]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [len(key)]]))
     after = np.repeat(first + size, size) - np.arange(len(key))
     part = np.repeat(np.arange(len(first)), size)
-    out, held, rows, lag = [none], 0, np.arange(len(key)), 1
-
-    def nearest(hits: list[np.ndarray]) -> np.ndarray:
-        """Rows (node, node, distance): of each node and other set the nearest."""
-        all_ = np.concatenate(hits)
-        by = np.lexsort((all_[:, 1], all_[:, 2], label[all_[:, 1]], all_[:, 0]))
-        a, b = all_[by, 0], label[all_[by, 1]]
-        return all_[by[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])]] if len(by) else all_
-
-    hits = [np.zeros((0, 3), dtype=np.int64)]
+    out, rows, lag = [np.zeros((0, 3), dtype=np.int64)], np.arange(len(key)), 1
     while True:
         rows = rows[after[rows] > lag]
         if not len(rows):
@@ -176,22 +169,14 @@ def candidates(key: np.ndarray, name: np.ndarray, fp: np.ndarray, more: np.ndarr
         far = np.bitwise_count(value[apart] ^ value[apart + lag]).astype(np.int64) + np.bitwise_count(more[apart] ^ more[apart + lag])
         hit = far <= NEAR_RADIUS
         a, b, far = node[apart[hit]], node[apart[hit] + lag], far[hit]
-        if len(a) and group is None:
+        if len(a):
             label = _joined(label, a, b)
-            out.append(np.unique(np.stack([names[a], names[b]], axis=1), axis=0))
-        elif len(a):
-            hits += [np.stack([a, b, far], axis=1), np.stack([b, a, far], axis=1)]
-            held += 2 * len(a)
-            if held > HELD_HITS:
-                hits, held = [nearest(hits)], 0
+            out.append(np.stack([names[a], names[b], far], axis=1))
         if lag & (lag - 1) == 0:
-            of = label[node]
-            rows = rows[(np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first))[part[rows]]]
+            seen = label[node]
+            rows = rows[(np.minimum.reduceat(seen, first) != np.maximum.reduceat(seen, first))[part[rows]]]
         lag += 1
-    if group is not None:
-        out.append(names[nearest(hits)[:, :2]])
-    found = np.sort(np.concatenate(out), axis=1)
-    return np.unique(found, axis=0)
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -212,19 +197,21 @@ def links(fps: DataFrame) -> DataFrame:
     return _met(variants(fps.repartition(parts(fps.sparkSession))), fps.count() * (3 + sum(64 - bin(b).count("1") for b in _BLOCKS)))
 
 
-def _met(rows: DataFrame, made: int, near: bool = False, rows_a_task: int = 1 << 20) -> DataFrame:
-    """Links (a, b) of ``made`` rows (key, fp), or candidates of near copies (key, fp, name), whose keys hold further bits
-    of the fingerprint in the low 32 bits; rows of near copies may have the set ``root`` that a name is in."""
+def _met(rows: DataFrame, made: int, turn: int | None = None, rows_a_task: int = 1 << 20) -> DataFrame:
+    """Links (a, b) of ``made`` rows (key, fp). With ``turn``, candidates for near copies (a, b, far) of rows (key, fp, name,
+    root), whose keys hold further bits of the fingerprint in the low 32 bits; root is the set that a name is in."""
     n = parts(rows.sparkSession, -(-made // rows_a_task))
+    columns = ["a", "b"] if turn is None else ["a", "b", "far"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [tuple(b[c].to_numpy() for c in b.schema.names) for b in batches]
         if got:
             key, fp, *rest = (np.concatenate(c) for c in zip(*got))
-            found = candidates(key >> 32, rest[0], fp, key.view(np.uint64) & np.uint64(0xFFFFFFFF), *rest[1:]) if near else meetings(key, fp)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+            found = meetings(key, fp) if turn is None else candidates(key >> 32, rest[0], fp, key.view(np.uint64) & np.uint64(0xFFFFFFFF), rest[1], turn)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in range(len(columns))], names=columns)
 
-    return rows.select("key", "fp", *(c for c in ("name", "root") if c in rows.columns)).repartition(n, F.shiftright("key", 32) if near else F.col("key")).mapInArrow(meet, "a long, b long").distinct()
+    by = F.col("key") if turn is None else F.shiftright("key", 32)
+    return rows.select("key", "fp", *([] if turn is None else ["name", "root"])).repartition(n, by).mapInArrow(meet, ", ".join(f"{c} long" for c in columns)).distinct()
 
 
 def clusters(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -310,9 +297,10 @@ def near_clusters(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFr
     ``SIMILARITY`` or more. Candidates are those whose 96-bit fingerprints over the distinct shingles
     differ in at most ``NEAR_RADIUS`` bits and their key sketches, over ``key_width`` words (an
     edit touches fewer of these, so they differ less), in at most two bits of some block:
-    each block emits itself and its one-bit variants, and candidates meet on one. Pairs that
-    connect all candidates are compared first; then each set of shingles is compared with the
-    nearest candidate in each other component that these left apart. Similarity 0.8
+    each block emits itself and its one-bit variants, and candidates meet on one. Each set of
+    shingles is compared with the nearest candidate found for it, and ``ROUNDS`` - 1 times more
+    with the nearest one in another component than its own, so no group of copies, however
+    large, is compared pair by pair. Similarity 0.8
     or more is found with the probability that README measures. Equal texts always
     share a component, as do all documents without words. Repeated rows, null ids and
     other columns are dealt with as by ``clusters``.
@@ -352,22 +340,30 @@ def _near(docs: DataFrame, width: int, key_width: int) -> tuple[DataFrame, DataF
     classes = stored(one.select("name", "first", "one.*"), "sketch-classes")
     flips = F.lit([0, *(1 << i for i in range(KEY_BITS))]).cast("array<bigint>")
 
-    def met(some: DataFrame) -> DataFrame:
-        own = ["fp", "name", *(c for c in some.columns if c == "root")]
-        blocks = some.repartition(parts(docs.sparkSession)).select("more", *own, F.posexplode("keys").alias("block", "bits"))
-        balls = blocks.select("more", *own, F.shiftleft(F.col("block").cast("long"), KEY_BITS).alias("block"), "bits", F.explode(flips).alias("flip"))
+    def met(some: DataFrame, turn: int) -> DataFrame:
+        """Each name with the nearest candidate that it meets in another set, as pairs (a, b)."""
+        blocks = some.repartition(parts(docs.sparkSession)).select("more", "fp", "name", "root", F.posexplode("keys").alias("block", "bits"))
+        balls = blocks.select("more", "fp", "name", "root", F.shiftleft(F.col("block").cast("long"), KEY_BITS).alias("block"), "bits", F.explode(flips).alias("flip"))
         key = F.shiftleft(F.col("block") + F.col("bits").bitwiseXOR(F.col("flip")), 32).bitwiseOR(F.col("more"))
-        return _met(balls.select(key.alias("key"), *own), some.count() * KEY_BLOCKS * (KEY_BITS + 1), True)
-
-    pairs = stored(met(classes), "near-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    held = beside(rows.select("name", "shingles"), nodes, "name", "inner", row_bytes=F.lit(24))
-    sets = stored(held.groupBy("name").agg(F.min("shingles").alias("shingles")), "near-sets")
-    linked = stored(alike(pairs, sets), "near-links")
-    if linked.count() < pairs.count():
+        near = _met(balls.select(key.alias("key"), "fp", "name", "root"), some.count() * KEY_BLOCKS * (KEY_BITS + 1), turn)
+        ends = near.select(F.explode(F.array(F.struct("a", "b", "far"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "far"))).alias("p")).select("p.*")
+        best = ends.groupBy("a").agg(F.min(F.struct("far", "b")).alias("n"))
+        return best.select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b")).distinct()
+
+    apart, linked, seen = classes.withColumn("root", F.col("name")), None, None
+    for turn in range(ROUNDS):
+        pairs = met(apart, turn)
+        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "near-pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        near = nodes if seen is None else near
+        held = beside(rows.select("name", "shingles"), nodes, "name", "inner", row_bytes=F.lit(24))
+        sets = stored(held.groupBy("name").agg(F.min("shingles").alias("shingles")), "near-sets")
+        found = stored(alike(pairs, sets), "near-links")
+        linked, seen = (found, pairs) if linked is None else (linked.union(found), seen.union(pairs))
+        if turn + 1 == ROUNDS or not pairs.limit(1).count():
+            break
         roots = components(linked, "near-found").withColumnsRenamed({"node": "name"})
-        apart = classes.join(nodes, "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-        linked = linked.union(stored(alike(met(stored(apart, "near-apart")).join(pairs, ["a", "b"], "left_anti"), sets), "near-more-links"))
+        apart = stored(classes.join(near, "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "near-apart")
     return rows, classes.select("name", "first"), linked
 
 
