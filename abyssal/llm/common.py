@@ -41,17 +41,14 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
     """Connected components of ``edges`` (a long, b long), as rows (node, root).
 
     ``root`` is the smallest node of the component; nodes without an edge don't
-    appear. Alternates large-star and small-star steps until no edge changes; each
+    appear. Alternates large-star and small-star steps until all components are stars; each
     step is one aggregation and one equi-join, written to the shared folder, so the
     lineage stays short and hot centres are split by skew joins.
     """
     now = stored(_star(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), False), f"{name}-0")
-    before = None
     for i in range(1, rounds + 1):
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if seen == before:
+        if _stars(now):
             break
-        before = seen
         now = stored(_star(_star(now, True), False), f"{name}-{i}")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -59,16 +56,23 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("node", F.col("node").alias("root"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every a has one b only and no b is an a, for edges with a > b: then each b is the smallest node of its component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    open_ = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).where("up > 1 OR up = 1 AND least = 0")
+    return not open_.limit(1).count()
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges with a > b. Large: link every larger neighbour to the
-    smallest one; small: link every smaller neighbour and the node itself to it."""
+    smallest one, repeated edges left to the small step that follows; small: link every
+    smaller neighbour and the node itself to it."""
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 

@@ -359,10 +359,12 @@ def _near(docs: DataFrame, width: int, key_width: int) -> tuple[DataFrame, DataF
         held = beside(rows.select("name", "shingles"), nodes, "name", "inner", row_bytes=F.lit(24))
         sets = stored(held.groupBy("name").agg(F.min("shingles").alias("shingles")), "near-sets")
         found = stored(alike(pairs, sets), "near-links")
-        linked, seen = (found, pairs) if linked is None else (linked.union(found), seen.union(pairs))
+        linked = found if linked is None else found.union(joined)
+        seen = pairs if seen is None else seen.union(pairs)
         if turn + 1 == ROUNDS or not pairs.limit(1).count():
             break
-        roots = components(linked, "near-found").withColumnsRenamed({"node": "name"})
+        found = components(linked, "near-found")
+        joined, roots = found.withColumnsRenamed({"node": "a", "root": "b"}), found.withColumnsRenamed({"node": "name"})
         apart = stored(classes.join(near, "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "near-apart")
     return rows, classes.select("name", "first"), linked
 
