@@ -28,6 +28,14 @@ def thickness_rows(rows: DataFrame) -> DataFrame:
     return rate_rows(rows).where(number(F.col("sedthick")))
 
 
+def replaced(rows: DataFrame, others: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``column`` of the training rows taken from ``others`` by ``keys``; a row without a partner there is an error."""
+    found = others.select(*keys, F.col(column).alias("_new"), F.lit(True).alias("_found"))
+    missing = F.raise_error(F.concat(F.lit("no value for "), F.to_json(F.struct(*keys)))).cast(others.schema[column].dataType)
+    joined = rows.join(found, keys, "left").withColumn(column, F.when(F.col("_found"), F.col("_new")).otherwise(missing))
+    return joined.select(*rows.columns)
+
+
 def longitude_folds(rows: DataFrame, lon: str, k: int, name: str = "fold") -> DataFrame:
     """Folds 0 to k - 1 of nearly equally many distinct longitudes, in their order; larger folds come first.
 

@@ -86,20 +86,20 @@ def upscale_weights(coarse: DataFrame, fine: DataFrame, spacing: float) -> DataF
     return six.select("fine_id", "src_id", (F.col("raw") / F.sum("raw").over(Window.partitionBy("fine_id"))).alias("w"))
 
 
-def upscaled(weights: DataFrame, values: DataFrame) -> DataFrame:
-    """Rows (fine_id, z): weighted sums of the coarse values (src_id, z)."""
-    return weights.join(values.select("src_id", "z"), "src_id").groupBy("fine_id").agg(F.sum(F.col("z") * F.col("w")).alias("z"))
+def upscaled(weights: DataFrame, values: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (fine_id, z): weighted sums of the coarse values (src_id, z), for each of columns ``by``, such as a time."""
+    return weights.join(values.select("src_id", *by, "z"), "src_id").groupBy("fine_id", *by).agg(F.sum(F.col("z") * F.col("w")).alias("z"))
 
 
-def by_sectors(targets: DataFrame, points: DataFrame, radius: float, sectors: int = 4, least: int = 1) -> DataFrame:
-    """Rows (node_id, z): in each of ``sectors`` equal directions the point nearest to the target within
+def by_sectors(targets: DataFrame, points: DataFrame, radius: float, sectors: int = 4, least: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (node_id, z), for each of the points' columns ``by``: in each of ``sectors`` equal directions the point nearest to the target within
     ``radius`` degrees (planar), if ``least`` sectors have one, weighted by 1 / (1 + (3 d / radius)^2)."""
-    pairs = planar_pairs(targets.select("node_id", "lon", "lat"), points.select("point_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "z"), radius)
+    pairs = planar_pairs(targets.select("node_id", "lon", "lat"), points.select("point_id", *by, F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "z"), radius)
     angle = F.degrees(F.atan2(F.col("lat2") - F.col("lat"), F.col("lon2") - F.col("lon")))
     sector = F.pmod(F.floor(F.pmod(angle + 360.0, F.lit(360.0)) / (360.0 / sectors)).cast("int"), F.lit(sectors))
-    first = pairs.groupBy("node_id", sector.alias("sector")).agg(F.min(F.struct("dist", "point_id", "z")).alias("p"))
+    first = pairs.groupBy("node_id", *by, sector.alias("sector")).agg(F.min(F.struct("dist", "point_id", "z")).alias("p"))
     w = 1 / (1 + F.pow(3 * F.col("p.dist") / radius, 2))
-    return first.groupBy("node_id").agg((F.sum(w * F.col("p.z")) / F.sum(w)).alias("z"), F.count("*").alias("n")).where(F.col("n") >= least).select("node_id", "z")
+    return first.groupBy("node_id", *by).agg((F.sum(w * F.col("p.z")) / F.sum(w)).alias("z"), F.count("*").alias("n")).where(F.col("n") >= least).select("node_id", *by, "z")
 
 
 def distance_to_lines(points: DataFrame, segments: DataFrame, threshold: float | None = None, longest: float = 0.05, by: tuple[str, ...] = (), beyond: float | None = math.pi) -> DataFrame:

@@ -47,14 +47,12 @@ def margin_lengths(geometries: DataFrame, dedupe: bool = True) -> DataFrame:
 
 def first_of_equal(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """The first row of each set of rows equal in ``columns``."""
-    first = F.row_number().over(Window.partitionBy(*columns).orderBy(*order))
-    return rows.withColumn("_n", first).where("_n = 1").drop("_n")
+    return rows.groupBy(*columns).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_r")).select("_r.*")
 
 
 def last_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key, the last in ``order``, as a dictionary built in that order would keep."""
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_r")).select("_r.*")
 
 
 def r_squared(y: Column, p: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.grid import filled
+from ..operators.products import gridded
+from . import netcdf
 
 
 def words(*columns: str) -> Column:
@@ -37,6 +39,31 @@ def write_predictions(points: DataFrame, path: str, spacing: float, text: bool,
     write_xyz(points, path, "lon", "lat", value) if text else write_grid(points, path, spacing, value)
 
 
+def write_raster(points: DataFrame, folder: str, name: str, spacing: float, least: int = 2) -> None:
+    """A netCDF file of the grid, from points (point_id, lon, lat, z) on or between its nodes."""
+    netcdf.save(netcdf.grid_files(gridded(points, spacing, least=least).withColumn("name", F.lit(name)), spacing, "name"), folder)
+
+
+def write_average_rate(points: DataFrame, folder: str, spacing: float | None = None) -> None:
+    """The points as text always, and as a netCDF grid (every node with a point in reach) too if a spacing is given."""
+    write_xyz(points, f"{folder}/xyz", "lon", "lat", "z")
+    if spacing:
+        write_raster(points, folder, "rate.nc", spacing, least=1)
+
+
+def write_products(products: DataFrame, folder: str, spacing: float | None, xyz: bool = True) -> None:
+    """Rows (product, time, point_id, lon, lat, z) as text by product and time, and as a netCDF grid each if a spacing is given."""
+    if xyz:
+        rows = products.select("product", F.format_string("%.2f", F.col("time").cast("double")).alias("time"), words("lon", "lat", "z").alias("value"))
+        rows.write.mode("overwrite").partitionBy("product", "time").text(f"{folder}/xyz")
+    if spacing:
+        # Positions of earlier times lie between nodes, others may lie on them.
+        for at_nodes, which in ((False, F.col("product") == "distance"), (None, F.col("product") != "distance")):
+            nodes = gridded(products.where(which), spacing, ("product", "time"), on=at_nodes)
+            named = nodes.withColumn("name", F.format_string("%s_%.2f.nc", "product", F.col("time").cast("double")))
+            netcdf.save(netcdf.grid_files(named, spacing, "name"), f"{folder}/grid")
+
+
 def write_training(rows: DataFrame, path: str, sep: str = " ") -> None:
     """The training table with NaN for missing numbers; the tab form reads back with ``sep`` a tab."""
     rows.write.mode("overwrite").csv(path, sep=sep, nullValue="NaN")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import sphere
+
 #: Columns of the training table.
 ALLDATA = (
     "lon lat sedrate sedthick age pcb_mean_dist amazon congo ganges godavari indus magdalena mahanadi "
@@ -45,9 +47,44 @@ def read_training(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     return training_rows(spark.read.text(path), strict=strict)
 
 
-def read_named(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    """The training table from a file with one separator between columns; NaN as text."""
-    return spark.read.csv(path, sep=sep, schema=ALLDATA_SCHEMA, nanValue="NaN")
+def read_named(spark: SparkSession, path: str, sep: str = " ", strict: bool = False) -> DataFrame:
+    """The training table from a file with one separator between columns; NaN as text. ``strict`` fails on lines with
+    another number of columns or one that is no number, which else are null."""
+    return spark.read.csv(path, sep=sep, schema=ALLDATA_SCHEMA, nanValue="NaN", mode="FAILFAST" if strict else "PERMISSIVE")
+
+
+_COLLECTION = """features array<struct<id: string, properties: struct<feature_type: string, plate: int, begin_time: double, end_time: double>,
+ geometry: struct<type: string, coordinates: string>>>"""
+
+
+def parsed_features(collections: DataFrame, value: str = "value") -> DataFrame:
+    """Rows (feature_id, feature_type, plate, begin_time, end_time, kind, part, points) of JSON feature collections, one a row.
+
+    Points, lines and polygons count, several of them in one geometry too; each line or ring is a part with its
+    (lon, lat) arrays. Times are ages, null if open; other geometries have no row.
+    """
+    f = collections.select(F.explode(F.from_json(value, _COLLECTION)["features"]).alias("f"))
+    kind, body = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    read = lambda depth: F.from_json(body, "array<" * depth + "double" + ">" * depth)
+    parts = (
+        F.when(kind == "Point", F.array(F.array(read(1)))).when(kind == "MultiPoint", F.transform(read(2), lambda p: F.array(p))).when(kind == "LineString", F.array(read(2)))
+        .when(kind.isin("MultiLineString", "Polygon"), read(3)).when(kind == "MultiPolygon", F.flatten(read(4)))
+    )
+    columns = [F.col("f.id").alias("feature_id"), *(F.col(f"f.properties.{c}").alias(c) for c in ("feature_type", "plate", "begin_time", "end_time")), kind.alias("kind")]
+    return f.select(*columns, F.posexplode(parts).alias("part", "points"))
+
+
+def read_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``parsed_features`` of files, each of one collection."""
+    return parsed_features(spark.read.text(path, wholetext=True))
+
+
+def arcs(features: DataFrame) -> DataFrame:
+    """Arcs (.., place, a, b) between neighbouring points of each line or ring; single points have none."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size("points") - 2), lambda i: F.struct(F.get("points", i).alias("p"), F.get("points", i + 1).alias("q")))
+    rows = features.where(F.size("points") > 1).select("*", F.posexplode(pairs).alias("place", "_pq"))
+    end = lambda c: sphere.from_lon_lat(F.col(f"_pq.{c}")[0], F.col(f"_pq.{c}")[1])
+    return rows.withColumns({"a": end("p"), "b": end("q")}).drop("points", "_pq")
 
 
 def read_rotations(spark: SparkSession, path: str | list[str]) -> DataFrame:
