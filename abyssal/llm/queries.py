@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, lines, neighbours, packing, quality, recompression, sharding, simhash, suffix
+from . import codes, decontaminate, language, lines, neighbours, packing, quality, recompression, sharding, simhash, suffix
 from .common import table
 
 
@@ -52,13 +52,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"), held_out_fold=2)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_packing, op5_line_dedup, op6_suffix_dedup, op7_quality, op8_neighbours, op9_substring_dedup, op10_language)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_packing, op5_line_dedup, op6_suffix_dedup, op7_quality, op8_neighbours, op9_substring_dedup, op10_language, op11_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the same; the other operators are tested against brute force."""
-    return {"op5_line_dedup": LINES_SQL, "op6_suffix_dedup": STRINGS_SQL, "op8_neighbours": NEIGHBOURS_SQL, "op9_substring_dedup": WINDOWS_SQL}
+    return {"op5_line_dedup": LINES_SQL, "op6_suffix_dedup": STRINGS_SQL, "op8_neighbours": NEIGHBOURS_SQL, "op9_substring_dedup": WINDOWS_SQL, "op11_codes": CODES_SQL}
 
 
 LINES_SQL = """
@@ -105,3 +109,29 @@ WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id
  p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(q.v, lambda x, i: x * c.v[i]), lambda a, b: a + b) / (q.n * c.n) AS score FROM u q JOIN u c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p) WHERE rank <= 5
 """
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Parts as rows (vec_id, part, v, lists of doubles that hold integers); each round assigns all and takes the means."""
+    near = "list_dot_product(c, c) - 2 * list_dot_product(v, c)"
+    steps = [
+        "k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "p AS (SELECT vec_id, p::INT AS part, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM k, range(4) r(p))",
+        "b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 256)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT vec_id, p.part, v, arg_min(entry, ({near}, entry)) AS entry FROM p JOIN b{i} USING (part) GROUP BY vec_id, p.part, v)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT part, entry, j, floor(sum(v[j]) / count(*)) AS x FROM a{i}, range(1, 129) r(j) WHERE j <= len(v) GROUP BY ALL)")
+            steps.append(f"n{i} AS (SELECT part, entry, list(x ORDER BY j) AS c FROM m{i} GROUP BY ALL)")
+            steps.append(f"b{i + 1} AS (SELECT part, entry, coalesce(n{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN n{i} USING (part, entry))")
+    last = f"b{rounds}"
+    return f"""WITH {', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in steps)},
+ e AS (SELECT vec_id, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(list_dot_product(v, v) + {near})::BIGINT AS error FROM a{rounds} JOIN {last} USING (part, entry) GROUP BY 1),
+ y AS (SELECT label, sum(error)::BIGINT AS label_error FROM e JOIN k USING (vec_id) GROUP BY 1),
+ h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM {last})
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM e JOIN k USING (vec_id) JOIN y ON y.label IS NOT DISTINCT FROM k.label, h
+"""
+
+
+CODES_SQL = _codes_sql()
