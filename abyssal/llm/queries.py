@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, decontaminate, language, lines, neighbours, packing, quality, recompression, sharding, simhash, suffix
+from . import codes, decontaminate, language, lines, neighbours, packing, quality, ranking, recompression, secrets, sharding, simhash, suffix
 from .common import table
 
 
@@ -56,13 +56,21 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
 
 
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), fit_rows=1000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_packing, op5_line_dedup, op6_suffix_dedup, op7_quality, op8_neighbours, op9_substring_dedup, op10_language, op11_codes)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_simhash, op4_packing, op5_line_dedup, op6_suffix_dedup, op7_quality, op8_neighbours, op9_substring_dedup, op10_language, op11_codes, op12_ranking, op13_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the same; the other operators are tested against brute force."""
-    return {"op5_line_dedup": LINES_SQL, "op6_suffix_dedup": STRINGS_SQL, "op8_neighbours": NEIGHBOURS_SQL, "op9_substring_dedup": WINDOWS_SQL, "op11_codes": CODES_SQL}
+    return {"op5_line_dedup": LINES_SQL, "op6_suffix_dedup": STRINGS_SQL, "op8_neighbours": NEIGHBOURS_SQL, "op9_substring_dedup": WINDOWS_SQL, "op11_codes": CODES_SQL, "op12_ranking": RANKING_SQL}
 
 
 LINES_SQL = """
@@ -135,3 +143,14 @@ SELECT vec_id, code, error, label_error, codebooks_sha256 FROM e JOIN k USING (v
 
 
 CODES_SQL = _codes_sql()
+
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+RANKING_SQL = f"""
+WITH t AS (SELECT doc_id, {_TERMS} FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY 1),
+ g AS (SELECT count(*) AS N, sum(n)::BIGINT AS L FROM l), q AS (SELECT DISTINCT item_id, {_TERMS} FROM benchmark),
+ w AS (SELECT term, floor(1000 * ln((2 * any_value(g.N) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term),
+ s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * l.n * g.N) // g.L))))::BIGINT AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN l USING (doc_id), g GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
