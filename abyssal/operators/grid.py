@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sphere
+
 
 def counts(spacing: float) -> tuple[int, int]:
     if spacing <= 0:
@@ -39,6 +41,19 @@ def pixel_nodes(spark: SparkSession, depth: int) -> DataFrame:
     return grid.select((F.col("i_lat") * n_lon + F.col("i_lon")).alias("node_id"), "i_lon", "i_lat", (-180.0 + (F.col("i_lon") + 0.5) * spacing).alias("lon"), (-90.0 + (F.col("i_lat") + 0.5) * spacing).alias("lat"))
 
 
+def pixel_at(v: Column, depth: int) -> Column:
+    """Number of the pixel that a unit vector lies in."""
+    n_lon, n_lat, size = 4 << depth, 2 << depth, 90.0 / (1 << depth)
+    row = F.least(F.lit(n_lat - 1), F.greatest(F.lit(0), F.floor((sphere.lat_of(v) + 90.0) / size)))
+    return (row * n_lon + F.pmod(F.floor((sphere.lon_of(v) + 180.0) / size), F.lit(n_lon))).cast("int")
+
+
+def pixel_vector(node: Column, depth: int) -> Column:
+    """Unit vector of a pixel's centre."""
+    n_lon, size = 4 << depth, 90.0 / (1 << depth)
+    return sphere.from_lon_lat(-180.0 + (node % n_lon + 0.5) * size, -90.0 + (F.floor(node / n_lon) + 0.5) * size)
+
+
 def node_index(value: Column, low: float, spacing: float) -> Column:
     """Index of the grid line nearest to a coordinate."""
     return F.round((value - low) / spacing).cast("int")

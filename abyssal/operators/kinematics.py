@@ -202,7 +202,7 @@ def thickness_at_arcs(arcs: DataFrame, thickness: DataFrame, radius: float = mat
     by = ("time",) if "time" in thickness.columns else ()
     points = arcs.withColumn("query_id", F.struct("time", "lon", "lat", "subducting_plate", "overriding_plate"))
     found = query_raster(points.select("query_id", "time", "lon", "lat").distinct(), thickness, radius, smoothing, by)
-    rows = points.join(found, "query_id").withColumnRenamed("z", "thickness").drop("query_id").where(~F.isnan("thickness"))
+    rows = points.join(found.drop(*by), "query_id").withColumnRenamed("z", "thickness").drop("query_id").where(~F.isnan("thickness"))
     normal = scalar.normal_velocity(F.col("conv_cm_yr"), F.col("conv_obliq_deg"))
     return rows.withColumns({"normal_cm_yr": normal * 100, "volume_m2_yr": normal * F.col("thickness")})
 

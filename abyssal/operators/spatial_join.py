@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import sphere
 from ..functions.scalar import MEAN_RADIUS_KM
 from ..storage import stored
+from .grid import pixel_at, pixel_vector
 
 
 def _celled(df: DataFrame, axes: list[Column], size: float, around: bool) -> DataFrame:
@@ -44,26 +45,65 @@ def sphere_pairs(left: DataFrame, right: DataFrame, radius: float, by: tuple[str
 
 
 def nearest(queries: DataFrame, nodes: DataFrame, radius: float, key: str = "query_id", node: str = "node_id", by: tuple[str, ...] = ()) -> DataFrame:
-    """The node nearest to each query within ``radius`` radians, ties to the smaller id; null where there is none."""
-    best = sphere_pairs(queries, nodes, radius, by).groupBy(key).agg(F.min(F.struct("dist", node)).alias("b")).select(key, F.col(f"b.{node}").alias(node), F.col("b.dist").alias("dist"))
-    return queries.join(best, key, "left")
+    """The node nearest to each query (of one key and one value of columns ``by``) within ``radius`` radians, ties to the smaller id; null where there is none."""
+    pairs = sphere_pairs(queries.select(key, *by, "lon", "lat"), nodes, radius, by)
+    best = pairs.groupBy(key, *by).agg(F.min(F.struct("dist", node)).alias("b")).select(key, *by, F.col(f"b.{node}").alias(node), F.col("b.dist").alias("dist"))
+    return queries.join(best, [key, *by], "left")
 
 
-def nearest_anywhere(queries: DataFrame, nodes: DataFrame, key: str = "query_id", node: str = "node_id", radii: tuple[float, ...] = (0.1, 0.3, 0.9, math.pi)) -> DataFrame:
-    """``nearest`` without a bound: growing radii, each for the queries that found none yet, so each radius is computed once."""
-    out, left = None, queries
-    for radius in radii:
-        found = stored(nearest(left, nodes, radius, key, node), "nearest")
-        hit = found.where(F.col(node).isNotNull())
-        out = hit if out is None else out.unionByName(hit)
-        left = found.where(F.col(node).isNull()).select(*queries.columns)
-    return out
+#: Depths of the pixels that caps are kept for, from the coarsest on.
+LEVELS = (1, 3, 5)
+
+
+def _caps(items: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Rows (*by, level, cell, reach): the angle around a pixel's centre that holds all items whose middle lies in it."""
+    at = sphere.evaluated(items.select(*by, "c", "r"), **{f"c{d}": pixel_at(F.col("c"), d) for d in LEVELS})
+    reach = lambda d: sphere.angle(pixel_vector(F.col(f"c{d}"), d), F.col("c")) + F.col("r")
+    rows = at.select(*by, F.explode(F.array(*(F.struct(F.lit(d).alias("level"), F.col(f"c{d}").alias("cell"), reach(d).alias("reach")) for d in LEVELS))).alias("k")).select(*by, "k.*")
+    return rows.groupBy(*by, "level", "cell").agg(F.max("reach").alias("reach"))
+
+
+def nearest_candidates(queries: DataFrame, items: DataFrame, key: tuple[str, ...] = ("query_id",), by: tuple[str, ...] = (), slack: float = 0.0) -> DataFrame:
+    """Pairs of ``queries`` (*key, *by, vector p, its extent own in radians) with all of ``items`` (*by, middle c, extent r, others) that
+    may be no farther than the query's nearest one plus ``slack``, however far that is.
+
+    Bounding caps of the items by pixel, in levels: at each level a query keeps the pixels whose least distance does not
+    exceed the smallest of their greatest distances, and goes on to the pixels within them. So
+    no query meets all items, and queries far from every item meet few.
+    """
+    caps = stored(_caps(items, by), "caps")
+    n, at = (4 << LEVELS[0]) * (2 << LEVELS[0]), None
+    now = queries.select(*key, *by, "p", "own", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cell"))
+    for level in LEVELS:
+        if at is not None:
+            more, wide = 1 << (level - at), 4 << at
+            inner = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(more) for j in range(more)]
+            row, col = F.floor(F.col("cell") / wide) * more + F.col("k.i"), (F.col("cell") % wide) * more + F.col("k.j")
+            now = now.withColumn("k", F.explode(F.array(*inner))).withColumn("cell", (row * (wide * more) + col).cast("int")).drop("k")
+        hit = now.join(caps.where(F.col("level") == level).drop("level"), [*by, "cell"])
+        hit = sphere.evaluated(hit, d=sphere.angle(F.col("p"), pixel_vector(F.col("cell"), level)), span=F.col("reach") + F.col("own"))
+        each = hit.groupBy(*key, *by).agg(F.first("p").alias("p"), F.first("own").alias("own"), F.min(F.col("d") + F.col("span")).alias("best"), F.collect_list(F.struct("cell", (F.col("d") - F.col("span")).alias("least"))).alias("cells"))
+        kept = F.filter("cells", lambda c: c["least"] <= F.col("best") + slack + 1e-9)
+        now, at = each.select(*key, *by, "p", "own", F.explode(kept).alias("k")).select(*key, *by, "p", "own", "k.cell"), level
+    return now.select(*key, *by, "cell", "p").join(items.withColumn("cell", pixel_at(F.col("c"), LEVELS[-1])), [*by, "cell"]).drop("cell")
+
+
+def nearest_anywhere(queries: DataFrame, nodes: DataFrame, key: str = "query_id", node: str = "node_id", radius: float = 0.1) -> DataFrame:
+    """``nearest`` without a bound: queries that find no node within ``radius`` go down the tree of caps."""
+    found = stored(nearest(queries, nodes, radius, key, node), "nearest")
+    left = sphere.evaluated(found.where(F.col(node).isNull()).select(*queries.columns), p=sphere.from_lon_lat(F.col("lon"), F.col("lat")))
+    items = sphere.evaluated(nodes.select(node, "lon2", "lat2"), c=sphere.from_lon_lat(F.col("lon2"), F.col("lat2"))).withColumn("r", F.lit(0.0))
+    pairs = nearest_candidates(left.withColumn("own", F.lit(0.0)), items, (key,)).join(left.select(key, "lon", "lat"), key)
+    dist = sphere.great_circle(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
+    best = pairs.groupBy(key).agg(F.min(F.struct(dist.alias("dist"), node)).alias("b")).select(key, F.col(f"b.{node}").alias(node), F.col("b.dist").alias("dist"))
+    far = left.select(*queries.columns).join(best, key, "left")
+    return found.where(F.col(node).isNotNull()).unionByName(far.select(*found.columns))
 
 
 def query_raster(queries: DataFrame, nodes: DataFrame, search_radius: float, smoothing_radius: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (query_id, z): the nearest node's value within the radius, NaN if there is none. With
+    """Rows (query_id, *by, z): the nearest node's value within the radius, NaN if there is none. With
     ``smoothing_radius`` r (radians) the nodes within r of that node are averaged by r^2 / (r^2 + 9 d^2).
-    Columns ``by``, such as the time of a raster, tell apart rasters whose nodes share ids."""
+    Columns ``by``, such as the time of a raster, tell apart rasters whose nodes share ids, and queries of one id."""
     near = nearest(queries, nodes.select("node_id", *by, F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), search_radius, by=by)
     values = nodes.select("node_id", *by, F.col("z").alias("value"))
     if smoothing_radius is not None:
@@ -72,7 +112,7 @@ def query_raster(queries: DataFrame, nodes: DataFrame, search_radius: float, smo
         pairs = sphere_pairs(centres, nodes.select(*by, F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "z"), smoothing_radius, by)
         w = smoothing_radius**2 / (smoothing_radius**2 + 9 * F.col("dist") * F.col("dist"))
         values = pairs.groupBy("node_id", *by).agg((F.sum(w * F.col("z")) / F.sum(w)).alias("value"))
-    return near.join(values, ["node_id", *by], "left").select("query_id", F.coalesce("value", F.lit(float("nan"))).alias("z"))
+    return near.join(values, ["node_id", *by], "left").select("query_id", *by, F.coalesce("value", F.lit(float("nan"))).alias("z"))
 
 
 def upscale_weights(coarse: DataFrame, fine: DataFrame, spacing: float) -> DataFrame:
@@ -103,29 +143,28 @@ def by_sectors(targets: DataFrame, points: DataFrame, radius: float, sectors: in
 
 
 def distance_to_lines(points: DataFrame, segments: DataFrame, threshold: float | None = None, longest: float = 0.05, by: tuple[str, ...] = (), beyond: float | None = math.pi) -> DataFrame:
-    """Rows (query_id, dist_km): distance of points to the nearest arc of ``segments`` (a, b vectors), mean radius.
+    """Rows (query_id, *by, dist_km): distance of points to the nearest arc of ``segments`` (a, b vectors), mean radius.
 
-    Arcs are cut to at most ``longest`` radians and found through their middles; columns ``by``,
-    such as a time, must be equal too. Beyond ``threshold`` radians, or with nothing in reach, the
+    Arcs are cut to at most ``longest`` radians and found through their middles, near ones by cells and, without a
+    threshold, all others by a tree of caps; columns ``by``, such as a time, must be equal too, so that a point
+    may be asked for at several times. Beyond ``threshold`` radians, or with nothing in reach, the
     distance counts as half the circumference, as in the calibration of the model, or as
     ``beyond`` radians; None gives null.
     """
-    pieces = tessellated(segments, longest).select(*by, "pa", "pb", sphere.lon_of(F.col("mid")).alias("lon2"), sphere.lat_of(F.col("mid")).alias("lat2"))
+    pieces = tessellated(segments, longest).select(*by, "pa", "pb", F.col("mid").alias("c"), (F.col("arc_len") / 2).alias("r"), sphere.lon_of(F.col("mid")).alias("lon2"), sphere.lat_of(F.col("mid")).alias("lat2"))
     pieces = sphere.evaluated(sphere.evaluated(pieces, n=sphere.unit(sphere.cross(F.col("pa"), F.col("pb")))), na=sphere.cross(F.col("n"), F.col("pa")), nb=sphere.cross(F.col("pb"), F.col("n")))
-    points = sphere.evaluated(points, p=sphere.from_lon_lat(F.col("lon"), F.col("lat")))
-    reach = (0.15, 0.5, math.pi) if threshold is None else (threshold + longest / 2,)
-    out, left = None, points
-    for r in reach:
-        p, n = F.col("p"), F.col("n")
-        beside = (sphere.dot(F.col("na"), p) >= 0) & (sphere.dot(F.col("nb"), p) >= 0)
-        end = lambda v: 2 * F.asin(F.least(F.lit(1.0), sphere.norm(sphere.plus(p, sphere.scaled(v, F.lit(-1.0)))) / 2))
-        d = F.when(beside, F.asin(F.least(F.lit(1.0), F.abs(sphere.dot(p, n))))).otherwise(F.least(end(F.col("pa")), end(F.col("pb"))))
-        pairs = sphere_pairs(left, pieces, min(math.pi, r), by).withColumn("d", d)
-        best = pairs.groupBy("query_id").agg(F.min("d").alias("d")).where(F.col("d") <= (threshold if threshold is not None else max(r - longest / 2, 0) if r < math.pi else math.pi))
-        best = best if len(reach) == 1 else stored(best, "line-distances")
-        out = best if out is None else out.unionByName(best)
-        left = left.join(best, "query_id", "left_anti")
-    return points.select("query_id").join(out, "query_id", "left").select("query_id", (F.coalesce("d", F.lit(beyond)) * MEAN_RADIUS_KM).alias("dist_km"))
+    asked = sphere.evaluated(points.select("query_id", *by, "lon", "lat"), p=sphere.from_lon_lat(F.col("lon"), F.col("lat")))
+    p, n = F.col("p"), F.col("n")
+    beside = (sphere.dot(F.col("na"), p) >= 0) & (sphere.dot(F.col("nb"), p) >= 0)
+    end = lambda v: 2 * F.asin(F.least(F.lit(1.0), sphere.norm(sphere.plus(p, sphere.scaled(v, F.lit(-1.0)))) / 2))
+    d = F.when(beside, F.asin(F.least(F.lit(1.0), F.abs(sphere.dot(p, n))))).otherwise(F.least(end(F.col("pa")), end(F.col("pb"))))
+    reach = 0.15 if threshold is None else threshold + longest / 2
+    near = sphere_pairs(asked, pieces, min(math.pi, reach), by).groupBy("query_id", *by).agg(F.min(d).alias("d")).where(F.col("d") <= (reach - longest / 2 if threshold is None else threshold))
+    if threshold is None:
+        near = stored(near, "line-distances")
+        far = asked.join(near, ["query_id", *by], "left_anti").withColumn("own", F.lit(0.0))
+        near = near.unionByName(nearest_candidates(far, pieces, by=by).groupBy("query_id", *by).agg(F.min(d).alias("d")))
+    return asked.select("query_id", *by).join(near, ["query_id", *by], "left").select("query_id", *by, (F.coalesce("d", F.lit(beyond)) * MEAN_RADIUS_KM).alias("dist_km"))
 
 
 def tessellated(segments: DataFrame, threshold: float) -> DataFrame:

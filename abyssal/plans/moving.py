@@ -15,16 +15,16 @@ from .tables import ARCS, CUSTOMERS, SUPPLIERS, arcs, customers, haversine, supp
 
 R = scalar.MEAN_RADIUS_KM
 
-# Six nations are plates; those from the fourth on turn relative to the first, each about a fixed pole at a steady rate.
+# All nations are plates; those from the fourth on turn relative to the first, each about a fixed pole at a steady rate.
 
 
 def rotations(spark, sf_dir) -> DataFrame:
-    k = F.col("n_nationkey")
-    base = table(spark, sf_dir, "nation").where("n_nationkey between 1 and 6").select(
+    k = F.col("n_nationkey") + 1
+    base = table(spark, sf_dir, "nation").select(
         (k * 100).cast("int").alias("moving_plate"), F.when(k > 3, F.lit(100)).otherwise(F.lit(0)).cast("int").alias("fixed_plate"),
-        (k * 11 - 30).cast("double").alias("pole_lat"), (k * 50 - 170).cast("double").alias("pole_lon"), k,
+        (k * 11 % 120 - 30).cast("double").alias("pole_lat"), (k * 50 % 360 - 170).cast("double").alias("pole_lon"), (0.1 + k % 10 * 0.05).alias("rate"),
     )
-    return base.select("*", F.explode(F.array(F.lit(0.0), F.lit(50.0), F.lit(300.0))).alias("time")).withColumn("angle", F.col("time") * (0.1 + F.col("n_nationkey") * 0.05)).drop("n_nationkey")
+    return base.select("*", F.explode(F.array(F.lit(0.0), F.lit(50.0), F.lit(300.0))).alias("time")).withColumn("angle", F.col("time") * F.col("rate")).drop("rate")
 
 
 def anchored(spark, sf_dir, last: float) -> DataFrame:
@@ -32,10 +32,10 @@ def anchored(spark, sf_dir, last: float) -> DataFrame:
 
 
 def _anchored_sql(last: int) -> str:
-    half = "radians(t * (0.1 + n_nationkey * 0.05)) / 2"
-    own = (f"cos({half})", *S.scaled(S.from_lon_lat("(n_nationkey * 50 - 170)", "(n_nationkey * 11 - 30)"), f"sin({half})"))
+    half = "radians(t * (0.1 + k % 10 * 0.05)) / 2"
+    own = (f"cos({half})", *S.scaled(S.from_lon_lat("(k * 50 % 360 - 170)", "(k * 11 % 120 - 30)"), f"sin({half})"))
     both = S.times(S.turn("a."), S.turn("b."))
-    return f"""own AS (SELECT (n_nationkey * 100)::INT AS plate, t::DOUBLE AS t, {S.as_(own, "")} FROM nation, range(0, {last + 1}) r(t) WHERE n_nationkey BETWEEN 1 AND 6),
+    return f"""own AS (SELECT (k * 100)::INT AS plate, t::DOUBLE AS t, {S.as_(own, "")} FROM (SELECT n_nationkey + 1 AS k FROM nation), range(0, {last + 1}) r(t)),
  rot AS (SELECT * FROM own WHERE plate <= 300 UNION ALL SELECT b.plate, b.t, {S.as_(both, "")} FROM own a JOIN own b ON a.plate = 100 AND b.plate > 300 AND a.t = b.t),
  stg AS (SELECT a.plate, a.t, {S.as_(S.times(S.turn("a."), S.inverse(S.turn("b."))), "")} FROM rot a JOIN rot b ON a.plate = b.plate AND b.t = a.t + 1)"""
 
@@ -124,21 +124,22 @@ def thickness_at_trenches(spark, sf_dir):
 
 def margins(spark, sf_dir) -> DataFrame:
     k = F.col("geom_id")
-    return arcs(spark, sf_dir).select("geom_id", "a", "b", ((k % 6 + 1) * 100).cast("int").alias("plate"), F.when(k % 4 == 0, 7.0).alias("begin_time"), F.when(k % 5 == 0, 2.0).alias("end_time"), F.when(k % 3 == 0, "Fault").otherwise("PassiveContinentalBoundary").alias("feature_type"))
+    return arcs(spark, sf_dir).select("geom_id", "a", "b", ((k % 25 + 1) * 100).cast("int").alias("plate"), F.when(k % 4 == 0, 7.0).alias("begin_time"), F.when(k % 5 == 0, 2.0).alias("end_time"), F.when(k % 3 == 0, "Fault").otherwise("PassiveContinentalBoundary").alias("feature_type"))
 
 
-_MARGINS = f"""{_anchored_sql(10)}, {ARCS}, mar AS (SELECT geom_id, rot.t, {S.as_(S.turned(S.turn("rot."), S.named("arcs.a")), "a")}, {S.as_(S.turned(S.turn("rot."), S.named("arcs.e")), "e")}
-  FROM arcs JOIN rot ON rot.plate = (geom_id % 6 + 1) * 100 WHERE len > 0 AND geom_id % 3 <> 0 AND (geom_id % 4 <> 0 OR rot.t <= 7) AND (geom_id % 5 <> 0 OR rot.t >= 2))"""
+_MAR = f"""mar AS (SELECT geom_id, rot.t, {S.as_(S.turned(S.turn("rot."), S.named("arcs.a")), "a")}, {S.as_(S.turned(S.turn("rot."), S.named("arcs.e")), "e")}
+  FROM arcs JOIN rot ON rot.plate = (geom_id % 25 + 1) * 100 WHERE len > 0 AND geom_id % 3 <> 0 AND (geom_id % 4 <> 0 OR rot.t <= 7) AND (geom_id % 5 <> 0 OR rot.t >= 2))"""
+_MARGINS = f"{_anchored_sql(10)}, {ARCS}, {_MAR}"
 
 
 @query(f"""WITH {_MARGINS}, {CUSTOMERS},
- pts AS (SELECT query_id AS point_id, rot.t, {S.as_(S.turned(S.turn("rot."), S.from_lon_lat("q.lon", "q.lat")), "p")} FROM q JOIN rot ON rot.plate = (query_id % 6 + 1) * 100 AND rot.t <= query_id % 12),
+ pts AS (SELECT query_id AS point_id, rot.t, {S.as_(S.turned(S.turn("rot."), S.from_lon_lat("q.lon", "q.lat")), "p")} FROM q JOIN rot ON rot.plate = (query_id % 25 + 1) * 100 AND rot.t <= query_id % 12),
  d AS (SELECT point_id, pts.t, min({S.arc_distance(S.named("p"), S.named("a"), S.named("e"))}) AS d FROM pts JOIN mar USING (t) GROUP BY 1, 2)
  SELECT 0.0::DOUBLE AS paleo_time, point_id, count(*) AS n, round(least(avg(CASE WHEN d <= 0.5 THEN d ELSE pi() END * {R!r}), 3000.0), 6) AS mean_km, round(stddev_pop(CASE WHEN d <= 0.5 THEN d ELSE pi() END * {R!r}), 5) AS std_km FROM d GROUP BY 2""")
 def ocean_proximity(spark, sf_dir):
     """Points and margins move with their plates; margins farther than half a radian count with half the circumference."""
     q = F.col("query_id")
-    points = customers(spark, sf_dir).select(F.lit(0.0).alias("paleo_time"), q.alias("point_id"), (q % 12).cast("double").alias("birth_time"), ((q % 6 + 1) * 100).cast("int").alias("plate"), "lon", "lat")
+    points = customers(spark, sf_dir).select(F.lit(0.0).alias("paleo_time"), q.alias("point_id"), (q % 12).cast("double").alias("birth_time"), ((q % 25 + 1) * 100).cast("int").alias("plate"), "lon", "lat")
     turns = anchored(spark, sf_dir, 10.0)
     there = kinematics.valid_at(kinematics.of_types(margins(spark, sf_dir), ["PassiveContinentalBoundary"]), list(range(11)))
     out = lifetime.proximity(points, lambda rows: kinematics.reconstructed(rows, turns), kinematics.reconstructed_lines(there, turns), 1, 10, 0.5, 3000.0)
