@@ -310,6 +310,32 @@ def sample_bicubic(spark, sf_dir):
     return rounded(raster.bicubic(customers(spark, sf_dir), wave(spark), 5.0, "query_id"), "z")
 
 
+# A raster around the whole sphere with gaps, asked for next to the date line and the poles.
+
+_GLOBE = "w AS (SELECT (i % 73)::INT AS i_lon, (i // 73)::INT AS i_lat, sin(radians((i % 73) * 5)) * 40 + cos((i // 73) * 0.2) * 25 AS z FROM range(73 * 37) t(i) WHERE (i % 72 * 7 + i // 73 * 3) % 41 <> 0)"
+_SEAM = "q AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 2 = 0 THEN 180 - (c_custkey * 37 % 900) / 100.0 ELSE -180 + (c_custkey * 37 % 900) / 100.0 END AS lon, ((c_custkey * 53) % 1799 - 899) / 10.0 AS lat FROM customer)"
+
+
+def globe(spark) -> DataFrame:
+    known = (F.col("i_lat") * 73 + F.col("i_lon")) % 72 * 7 + F.col("i_lat") * 3
+    return grid.grid_points(spark, 5.0).where(known % 41 != 0).select("i_lon", "i_lat", (F.sin(F.radians(F.col("i_lon") * 5.0)) * 40 + F.cos(F.col("i_lat") * 0.2) * 25).alias("z"))
+
+
+def seam(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    off = (k * 37 % 900) / 100.0
+    return table(spark, sf_dir, "customer").select(k.alias("query_id"), F.when(k % 2 == 0, 180 - off).otherwise(-180 + off).alias("lon"), ((k * 53 % 1799 - 899) / 10.0).alias("lat"))
+
+
+@query(f"""WITH {_GLOBE}, {_SEAM}, a AS (SELECT query_id, (lon + 180) / 5 AS x, (lat + 90) / 5 AS y FROM q), c AS (SELECT *, floor(x)::INT + di AS i, floor(y)::INT + dj AS j FROM a, (SELECT unnest(range(-1, 3)) AS di), (SELECT unnest(range(-1, 3)) AS dj)),
+ k AS (SELECT query_id, (i + CASE WHEN j < 0 OR j > 36 THEN 36 ELSE 0 END + 72) % 72 AS i_lon, CASE WHEN j < 0 THEN -j WHEN j > 36 THEN 72 - j ELSE j END AS i_lat, ({_KERNEL.format(t='(x - i)')}) * ({_KERNEL.format(t='(y - j)')}) AS wt FROM c),
+ m AS (SELECT query_id, count(*) = count(z) AS whole, sum(wt * z) AS s, sum(CASE WHEN z IS NOT NULL THEN wt END) AS wt FROM k LEFT JOIN w USING (i_lon, i_lat) WHERE wt <> 0 GROUP BY 1)
+ SELECT query_id, round(CASE WHEN whole THEN s WHEN wt >= 0.5 THEN s / wt END, 6) AS z FROM m""")
+def sample_over_the_seam(spark, sf_dir):
+    """Bicubic samples over date line and poles; gaps give way to their neighbours while half the weight is left."""
+    return rounded(raster.bicubic(seam(spark, sf_dir), globe(spark), 5.0, "query_id", periodic=True, least=0.5), "z")
+
+
 @query(f"""WITH {_RASTERS} SELECT a.i_lon, a.i_lat, round(a.z, 6) AS z, round(d.z, 6) AS sedthick, round(w.z, 6) AS sedrate FROM age a LEFT JOIN dist d USING (i_lon, i_lat) LEFT JOIN (SELECT i_lon, i_lat, z * 2 AS z FROM age WHERE i_lon % 3 = 0) w USING (i_lon, i_lat)""")
 def align_rasters(spark, sf_dir):
     age, dist = rasters(spark, sf_dir)
