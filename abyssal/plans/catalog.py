@@ -581,6 +581,19 @@ def lasso_fit(spark, sf_dir):
     return spark.createDataFrame([(i, round(c, 4)) for i, c in enumerate(model.coefficients)], "term int, coefficient double")
 
 
+_TERMS = "[1, a, d, a*a, a*d, d*d, a*a*a, a*a*d, a*d*d, d*d*d, ln(sedrate)]"
+
+
+@query(f"""WITH {_TRAIN}, r AS (SELECT * FROM train WHERE sedthick <> 0 AND {_NUMBERS}), s AS (SELECT avg(age) AS ma, var_pop(age) AS va, avg(pcb_mean_dist) AS md, var_pop(pcb_mean_dist) AS vd FROM r),
+ f AS (SELECT lon, ntile(3) OVER (ORDER BY lon) - 1 AS fold FROM (SELECT DISTINCT lon FROM r)), z AS (SELECT fold, (age - ma) / sqrt(va) AS a, (pcb_mean_dist - md) / sqrt(vd) AS d, sedrate FROM r JOIN f USING (lon), s),
+ u AS (SELECT fold, {_TERMS} AS u FROM z) SELECT fold::INT AS fold, i::INT AS i, j::INT AS j, round(avg(u[i + 1] * u[j + 1]), 5) AS moment FROM u, range(11) x(i), range(11) y(j) WHERE i <= j GROUP BY 1, 2, 3""")
+def lasso_moments(spark, sf_dir):
+    """The sums by fold that all fits of the calibration are solved from, as means."""
+    rows = calibrate.longitude_folds(calibrate.rate_rows(train(spark, sf_dir)), "lon", 3)
+    _, sums = calibrate.moments(rows, ["age", "pcb_mean_dist"], F.log("sedrate"), "fold")
+    return sums.select("fold", "i", "j", F.round(F.col("total") / F.col("n"), 5).alias("moment"))
+
+
 @query()
 def lasso_out_of_fold(spark, sf_dir):
     out, _ = calibrate.out_of_fold(calibrate.rate_rows(train(spark, sf_dir)), ["age", "pcb_mean_dist"], "sedrate", 3)
