@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from abyssal.functions import sphere
-from abyssal.operators import graph, grid, histories, polygons, raster, spatial_join
+from abyssal.functions import scalar, sphere
+from abyssal.operators import graph, grid, histories, kinematics, polygons, raster, spatial_join
 
 XYZ = "xyz array<struct<x: double, y: double, z: double>>"
 
@@ -146,3 +146,15 @@ def test_interpolation_over_date_line_and_poles(spark):
     assert raster.bicubic(near, gap, 15.0, "k", periodic=True).first()["z"] is None
     assert raster.bicubic(near, gap, 15.0, "k", periodic=True, least=0.5).first()["z"] == pytest.approx(1.0)
     assert raster.bicubic(near, gap, 15.0, "k", periodic=True, least=0.95).first()["z"] is None
+
+
+def test_equal_lines_count_once_where_they_lie(spark):
+    """Equal lines on one plate count once; on a plate that moves otherwise they are apart, and parts of lines are lines of their own."""
+    line, long = ring([0, 10], [0, 0]), ring([0, 10, 20], [0, 0, 0])
+    turns = spark.createDataFrame([(0.0, p, (1.0, 0.0, 0.0, 0.0)) for p in (1, 2)] + [(5.0, 1, (1.0, 0.0, 0.0, 0.0)), (5.0, 2, (math.cos(0.3), 0.0, math.sin(0.3), 0.0))], "time double, plate int, q struct<w: double, x: double, y: double, z: double>")
+    rows = [("polyline", 1, None, None, line), ("polyline", 1, None, None, line), ("polyline", 2, None, 3.0, line), ("polyline", 1, None, None, long), ("point", 1, None, None, line[:1]), ("polygon", 2, 3.0, None, ring([0, 90, 90], [0, 0, 90])), ("polyline", 3, None, None, line)]
+    given = spark.createDataFrame(rows, f"kind string, plate int, begin_time double, end_time double, {XYZ}")
+    degree = math.radians(1) * scalar.MEAN_RADIUS_KM
+    for dedupe, want in ((True, {0.0: 10 + 20 + 270, 5.0: 10 + 10 + 20}), (False, {0.0: 20 + 20 + 270, 5.0: 20 + 10 + 20})):
+        got = {r["t"]: r["length_km"] for r in kinematics.margin_lengths_at(given, turns, [0.0, 5.0], dedupe).collect()}
+        assert got == {t: pytest.approx(x * degree) for t, x in want.items()}
