@@ -9,7 +9,7 @@ and joined into components.
 
 Texts whose five-word shingles agree to 0.8 differ in far more than three of 64 bits.
 ``near_clusters`` finds them with longer sketches: the balls are laid around each of
-five blocks of 28 bits, and what meets on a variant is a candidate if 96 other bits
+ten blocks of 28 bits, and what meets on a variant is a candidate if 96 other bits
 differ little. Candidates link only if their sets of shingles agree to 0.8.
 """
 
@@ -28,13 +28,14 @@ from .quality import signature
 
 RADIUS = 3
 #: Blocks of the key sketch of near copies and bits of each; two sketches meet on a block if they differ there in two bits at most.
-KEY_BLOCKS, KEY_BITS = 5, 28
+KEY_BLOCKS, KEY_BITS = 10, 28
+#: Bits of the key sketch in each block: neighbouring ones in the first half of the blocks, every sixth one in the other half, so that a block of one kind
+#: shares at most five bits with one of the other.
+_KEY_AT = [[KEY_BITS * b + i for i in range(KEY_BITS)] if b < KEY_BLOCKS // 2 else [b - KEY_BLOCKS // 2 + 6 * i for i in range(KEY_BITS)] for b in range(KEY_BLOCKS)]
 #: Largest distance of candidates for near copies over the 96 bits of their fingerprint. Sets of shingles of Jaccard similarity 0.8 differ in 14.5 bits in the mean.
 NEAR_RADIUS = 24
 #: Least Jaccard similarity of the sets of shingles of near copies that link.
 SIMILARITY = 0.8
-#: Times that each set of shingles is compared with the nearest candidate outside the component that it is in by then.
-ROUNDS = 3
 #: Words whose hashes a Python worker keeps.
 CACHED_WORDS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -286,7 +287,7 @@ class Sketches:
         words = np.fromiter(map(self.words.__getitem__, split), dtype=np.uint64, count=len(split))
         runs = self.shingles(words, width)
         fp = np.packbits(self.bits(runs, 2), bitorder="little").view(np.uint64)
-        keys = self.bits(self.shingles(words, key_width), 3)[: KEY_BLOCKS * KEY_BITS].reshape(KEY_BLOCKS, KEY_BITS)
+        keys = self.bits(self.shingles(words, key_width), 3)[_KEY_AT]
         return int(fp[0]), int(fp[1]) & 0xFFFFFFFF, (keys @ (1 << np.arange(KEY_BITS))).tolist(), runs.view(np.int64)
 
 
@@ -297,9 +298,9 @@ def near_clusters(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFr
     ``SIMILARITY`` or more. Candidates are those whose 96-bit fingerprints over the distinct shingles
     differ in at most ``NEAR_RADIUS`` bits and their key sketches, over ``key_width`` words (an
     edit touches fewer of these, so they differ less), in at most two bits of some block:
-    each block emits itself and its one-bit variants, and candidates meet on one. Each set of
-    shingles is compared with the nearest candidate found for it, and ``ROUNDS`` - 1 times more
-    with the nearest one in another component than its own, so no group of copies, however
+    each block emits itself and its one-bit variants, and candidates meet on one. In rounds, each set of
+    shingles is compared with the nearest candidate that it was not compared with and that is in another
+    component of the links found so far, until a round links nothing more; so no group of copies, however
     large, is compared pair by pair. Similarity 0.8
     or more is found with the probability that README measures. Equal texts always
     share a component, as do all documents without words. Repeated rows, null ids and
@@ -340,31 +341,32 @@ def _near(docs: DataFrame, width: int, key_width: int) -> tuple[DataFrame, DataF
     classes = stored(one.select("name", "first", "one.*"), "sketch-classes")
     flips = F.lit([0, *(1 << i for i in range(KEY_BITS))]).cast("array<bigint>")
 
-    def met(some: DataFrame, turn: int) -> DataFrame:
-        """Each name with the nearest candidate that it meets in another set, as pairs (a, b)."""
+    def met(some: DataFrame, turn: int, seen: DataFrame | None) -> DataFrame:
+        """Each name with the nearest candidate that it meets in another set and that ``seen`` does not hold, as pairs (a, b)."""
         blocks = some.repartition(parts(docs.sparkSession)).select("more", "fp", "name", "root", F.posexplode("keys").alias("block", "bits"))
         balls = blocks.select("more", "fp", "name", "root", F.shiftleft(F.col("block").cast("long"), KEY_BITS).alias("block"), "bits", F.explode(flips).alias("flip"))
         key = F.shiftleft(F.col("block") + F.col("bits").bitwiseXOR(F.col("flip")), 32).bitwiseOR(F.col("more"))
-        near = _met(balls.select(key.alias("key"), "fp", "name", "root"), some.count() * KEY_BLOCKS * (KEY_BITS + 1), turn)
+        near = _met(balls.select(key.alias("key"), "fp", "name", "root"), some.count() * KEY_BLOCKS * (KEY_BITS + 1), turn % 4)
+        # Candidates come with the smaller name first, as do the pairs compared before.
+        near = near if seen is None else near.join(seen, ["a", "b"], "left_anti")
         ends = near.select(F.explode(F.array(F.struct("a", "b", "far"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "far"))).alias("p")).select("p.*")
         best = ends.groupBy("a").agg(F.min(F.struct("far", "b")).alias("n"))
         return best.select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b")).distinct()
 
-    apart, linked, seen = classes.withColumn("root", F.col("name")), None, None
-    for turn in range(ROUNDS):
-        pairs = met(apart, turn)
-        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "near-pairs")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    apart, linked, seen, turn = classes.withColumn("root", F.col("name")), None, None, 0
+    while True:
+        pairs = stored(met(apart, turn, seen), "near-pairs")
+        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "near-nodes")
         near = nodes if seen is None else near
         held = beside(rows.select("name", "shingles"), nodes, "name", "inner", row_bytes=F.lit(24))
         sets = stored(held.groupBy("name").agg(F.min("shingles").alias("shingles")), "near-sets")
         found = stored(alike(pairs, sets), "near-links")
-        linked = found if linked is None else found.union(joined)
-        seen = pairs if seen is None else seen.union(pairs)
-        if turn + 1 == ROUNDS or not pairs.limit(1).count():
+        if linked is not None and not found.limit(1).count():
             break
-        found = components(linked, "near-found")
-        joined, roots = found.withColumnsRenamed({"node": "a", "root": "b"}), found.withColumnsRenamed({"node": "name"})
+        linked = found if linked is None else joined.union(found)
+        seen, turn = pairs if seen is None else seen.union(pairs), turn + 1
+        roots = components(linked, "near-found")
+        joined, roots = roots.withColumnsRenamed({"node": "a", "root": "b"}), roots.withColumnsRenamed({"node": "name"})
         apart = stored(classes.join(near, "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "near-apart")
     return rows, classes.select("name", "first"), linked
 

@@ -102,3 +102,36 @@ def test_pairs_below_the_similarity_stay(spark):
         assert jaccard(sets[i], sets[i + 1]) < 0.8 and got[i] == i and got[i + 1] == i + 1
     linked = [got[i] == i - 2 for i in got if i % 10 == 2]
     assert all(got[i] in (i, i - 2) for i in got if i % 10 == 2) and sum(linked) >= 0.85 * len(linked)
+
+
+def test_pairs_at_the_similarity_link(spark):
+    """Nine in ten pairs of similarity 0.80 to 0.85 link, whether the changed words stand together or apart, and no text joins another pair."""
+    import random
+
+    rng, rows = random.Random(7), []
+    word = lambda: f"w{rng.randrange(100_000)}"
+    for i in range(300):
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for at in range(300 - rng.randrange(25, 32), 300) if i % 2 else rng.sample(range(5, 295), 5):
+            copy[at] = word()
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = [i for i in range(0, 3000, 10) if 0.8 <= jaccard(sets[i], sets[i + 1]) <= 0.85]
+    assert len(pairs) > 200 and all(c in (i, i - i % 10) for i, c in got.items())
+    assert sum(got[i + 1] == i for i in pairs) >= 0.9 * len(pairs)
+
+
+def test_chain_of_copies_is_one_component(spark):
+    """Each text is near only to its neighbours; links reach from end to end."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 13):  # each changes twelve more words of the one before: neighbours at 0.94, the ends far apart
+        base = base[:12 * (i - 1)] + [f"c{i}_{k}" for k in range(12)] + base[12 * i :]
+        rows.append((i, " ".join(base)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0}
