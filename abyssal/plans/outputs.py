@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calibrate, lifetime, products
-from ..sources import netcdf, text
+from ..sources import gpml, netcdf, text
+from ..storage import shared_dir
 from .registry import query, rounded, six, table
 from .tables import SUPPLIERS, suppliers
 
@@ -66,3 +69,23 @@ def training_replaced(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("sedthick"))
     new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_acctbal").alias("sedthick"))
     return rounded(calibrate.replaced(rows, new, ["l_suppkey"], "sedthick"), "sedthick")
+
+
+@query("""SELECT 's' || k AS feature_id, CASE k % 3 WHEN 0 THEN 'PassiveContinentalBoundary' WHEN 1 THEN 'HotSpot' ELSE 'Coastline' END AS feature_type, CASE WHEN k % 5 <> 0 THEN (k % 7)::INT ELSE -1 END AS plate,
+ s_acctbal AS begin_time, CASE k % 3 WHEN 0 THEN 'LineString' WHEN 1 THEN 'Point' ELSE 'Polygon' END AS kind, count(*) AS n_points,
+ round(sum(((k * 37) % 180 + p) * (p + 1)), 6)::DOUBLE AS lon_sum, round(sum(((k * 13) % 80 + p % 3 * 0.5) * (p + 1)), 6)::DOUBLE AS lat_sum
+ FROM (SELECT k, unnest([0, 1, 2, 3]) AS p FROM (SELECT s_suppkey AS k FROM supplier) WHERE k % 3 <> 1 UNION ALL SELECT s_suppkey, 0 FROM supplier WHERE s_suppkey % 3 = 1) g JOIN supplier ON s_suppkey = k GROUP BY k, s_acctbal""")
+def feature_gpml(spark, sf_dir):
+    """Points, lines and rings written as GPML files and read back; sums of coordinates by place tell their order."""
+    k = F.col("s_suppkey")
+    at = lambda i: F.array(((k * 37) % 180 + i).cast("double"), ((k * 13) % 80 + i % 3 * 0.5).cast("double"))
+    kind = F.when(k % 3 == 0, "LineString").when(k % 3 == 1, "Point").otherwise("Polygon")
+    name = F.when(k % 3 == 0, "PassiveContinentalBoundary").when(k % 3 == 1, "HotSpot").otherwise("Coastline")
+    features = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("feature_id"), name.alias("feature_type"), F.when(k % 5 != 0, (k % 7).cast("int")).alias("plate"), F.col("s_acctbal").alias("begin_time"),
+        F.lit(None).cast("double").alias("end_time"), kind.alias("kind"), F.lit(0).alias("part"), F.when(k % 3 == 1, F.array(at(0))).otherwise(F.array(*map(at, range(4)))).alias("points"),
+    )
+    path = f"{shared_dir(spark)}/abyssal-gpml-{uuid.uuid4().hex}"
+    gpml.write_gpml(features, path)
+    total = lambda c: six(F.aggregate(F.transform("points", lambda p, i: p[c] * (i + 1)), F.lit(0.0), lambda a, x: a + x))
+    return gpml.read_gpml(spark, path).select("feature_id", "feature_type", F.coalesce("plate", F.lit(-1)).alias("plate"), "begin_time", "kind", F.size("points").cast("long").alias("n_points"), total(0).alias("lon_sum"), total(1).alias("lat_sum"))
