@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar, sphere
-from ..operators import calibrate, graph, grid, lifetime, kinematics, raster, spatial_join, stats
+from ..operators import calibrate, graph, grid, lifetime, kinematics, raster, spatial_join, stats, weights
 from ..sources import sinks, text
 from ..storage import numbered, shared_dir
 from . import sphere_sql as S
@@ -621,6 +622,43 @@ def rivers_with_and_without(spark, sf_dir):
     return out.select(*_ID, *(F.round(c, 3).alias(c) for c in ("with_rivers", "without_rivers", "difference")))
 
 
+def _river_training(spark, sf_dir) -> weights.Training:
+    far = lambda i: F.col("l_suppkey") * (i + 3) % 97 * 25.0 + 5.0
+    rivers = [scalar.inverse_or_zero(far(i)) for i in range(13)]
+    return weights.prepared(calibrate.rate_rows(train(spark, sf_dir)), rivers, ["age", "pcb_mean_dist"], F.log("sedrate"), 3)
+
+
+_WEIGHTS = np.array([scalar.RIVER_WEIGHTS_RATE, scalar.RIVER_WEIGHTS_THICKNESS, [1.0] * 13])
+_FAR = ", ".join(f"CASE WHEN l_suppkey * {i + 3} % 97 * 25 + 5 > 1500 THEN 0::DOUBLE ELSE 1 / (l_suppkey * {i + 3} % 97 * 25 + 5)::DOUBLE END" for i in range(13))
+
+
+@query(f"""WITH {_TRAIN}, b AS (SELECT lon, age, pcb_mean_dist AS dist, ln(sedrate) AS y, [{_FAR}] AS rivers FROM train WHERE sedthick <> 0 AND {_NUMBERS}),
+ c(candidate, w) AS (VALUES {", ".join(f"({c}, {w}::DOUBLE[])" for c, w in enumerate(_WEIGHTS.tolist()))}), x AS (SELECT candidate, lon, age, dist, y, list_dot_product(w, rivers) AS s FROM b, c),
+ m AS (SELECT candidate, avg(age) AS ma, stddev_pop(age) AS va, avg(dist) AS md, stddev_pop(dist) AS vd, avg(s) AS ms, stddev_pop(s) AS vs FROM x GROUP BY 1),
+ f AS (SELECT lon, ntile(3) OVER (ORDER BY lon) - 1 AS fold FROM (SELECT DISTINCT lon FROM b)), z AS (SELECT candidate, fold, (age - ma) / va AS a, (dist - md) / vd AS d, (s - ms) / vs AS r, y FROM x JOIN m USING (candidate) JOIN f USING (lon)),
+ e AS (SELECT i, j, l FROM range(7) t(i), range(7) u(j), range(7) v(l) WHERE i + j + l <= 6)
+ SELECT candidate::INT AS candidate, fold::INT AS fold, i::INT AS i, j::INT AS j, l::INT AS l, round(avg(pow(a, i) * pow(d, j) * pow(r, l)) / pow(10, i + j + l), 6) AS moment, CASE WHEN i + j + l <= 3 THEN round(avg(y * pow(a, i) * pow(d, j) * pow(r, l)) / pow(10, i + j + l), 6) ELSE 0 END AS with_target
+ FROM z, e GROUP BY candidate, fold, i, j, l""")
+def river_weight_moments(spark, sf_dir):
+    """The sums from which weight vectors are scored, as means over ten to the degree, of both published vectors and of equal weights."""
+    sums = weights.moments(_river_training(spark, sf_dir), _WEIGHTS)
+    few = len(weights.products(3, 3))
+    parts = [
+        F.struct(*(F.lit(c.count(f)).alias(n) for f, n in enumerate("ijl")), six(F.col(f"p{at}") / F.col("n") / 10.0 ** len(c)).alias("moment"), (six(F.col(f"q{at}") / F.col("n") / 10.0 ** len(c)) if at < few else F.lit(0.0)).alias("with_target"))
+        for at, c in enumerate(weights.products(3, 6))
+    ]
+    return sums.select("candidate", "fold", F.explode(F.array(*parts)).alias("m")).select("candidate", "fold", "m.*")
+
+
+@query()
+def river_weight_search(spark, sf_dir):
+    """Weights found from those of the rate fit, with the objective at the start and at the end; a round scores 26 vectors in a scan."""
+    training, before = _river_training(spark, sf_dir), _WEIGHTS[0].tolist()
+    start = float(weights.objectives(training, _WEIGHTS[:1])[0])
+    found, score = weights.search(training, before, rounds=3)
+    return spark.createDataFrame([(i, *w, start, score) for i, w in enumerate(zip(before, found))], "river int, weight_before double, weight double, objective_before double, objective double")
+
+
 @query("SELECT o_orderdate, o_orderkey, round(o_totalprice, 6) AS price FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 5")
 def ordered_head(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy("o_orderdate", "o_orderkey").limit(5).select("o_orderdate", "o_orderkey", six("o_totalprice").alias("price"))
