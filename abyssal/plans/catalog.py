@@ -637,7 +637,7 @@ _FAR = ", ".join(f"CASE WHEN l_suppkey * {i + 3} % 97 * 25 + 5 > 1500 THEN 0::DO
  m AS (SELECT candidate, avg(age) AS ma, stddev_pop(age) AS va, avg(dist) AS md, stddev_pop(dist) AS vd, avg(s) AS ms, stddev_pop(s) AS vs FROM x GROUP BY 1),
  f AS (SELECT lon, ntile(3) OVER (ORDER BY lon) - 1 AS fold FROM (SELECT DISTINCT lon FROM b)), z AS (SELECT candidate, fold, (age - ma) / va AS a, (dist - md) / vd AS d, (s - ms) / vs AS r, y FROM x JOIN m USING (candidate) JOIN f USING (lon)),
  e AS (SELECT i, j, l FROM range(7) t(i), range(7) u(j), range(7) v(l) WHERE i + j + l <= 6)
- SELECT candidate::INT AS candidate, fold::INT AS fold, i::INT AS i, j::INT AS j, l::INT AS l, round(avg(pow(a, i) * pow(d, j) * pow(r, l)) / pow(10, i + j + l), 6) AS moment, CASE WHEN i + j + l <= 3 THEN round(avg(y * pow(a, i) * pow(d, j) * pow(r, l)) / pow(10, i + j + l), 6) ELSE 0 END AS with_target
+ SELECT candidate::INT AS candidate, fold::INT AS fold, i::INT AS i, j::INT AS j, l::INT AS l, round(avg(pow(a, i) * pow(d, j) * pow(r, l)) / pow(10, i + j + l), 6) + 0.0::DOUBLE AS moment, CASE WHEN i + j + l <= 3 THEN round(avg(y * pow(a, i) * pow(d, j) * pow(r, l)) / pow(10, i + j + l), 6) + 0.0::DOUBLE ELSE 0 END AS with_target
  FROM z, e GROUP BY candidate, fold, i, j, l""")
 def river_weight_moments(spark, sf_dir):
     """The sums from which weight vectors are scored, as means over ten to the degree, of both published vectors and of equal weights."""
