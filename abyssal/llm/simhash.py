@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import beside, components, parts, stored
@@ -36,6 +36,8 @@ _KEY_AT = [[KEY_BITS * b + i for i in range(KEY_BITS)] if b < KEY_BLOCKS // 2 el
 NEAR_RADIUS = 24
 #: Least Jaccard similarity of the sets of shingles of near copies that link.
 SIMILARITY = 0.8
+#: Candidates that a set of shingles is compared with in each round but the first, which joins most copies by one each.
+LATER_PAIRS = 8
 #: Words whose hashes a Python worker keeps.
 CACHED_WORDS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -299,7 +301,7 @@ def near_clusters(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFr
     differ in at most ``NEAR_RADIUS`` bits and their key sketches, over ``key_width`` words (an
     edit touches fewer of these, so they differ less), in at most two bits of some block:
     each block emits itself and its one-bit variants, and candidates meet on one. In rounds, each set of
-    shingles is compared with the nearest candidate that it was not compared with and that is in another
+    shingles is compared with the nearest candidate (later with ``LATER_PAIRS`` of them) that it was not compared with and that is in another
     component of the links found so far, until a round links nothing more; so no group of copies, however
     large, is compared pair by pair. Similarity 0.8
     or more is found with the probability that README measures. Equal texts always
@@ -342,7 +344,7 @@ def _near(docs: DataFrame, width: int, key_width: int) -> tuple[DataFrame, DataF
     flips = F.lit([0, *(1 << i for i in range(KEY_BITS))]).cast("array<bigint>")
 
     def met(some: DataFrame, turn: int, seen: DataFrame | None) -> DataFrame:
-        """Each name with the nearest candidate that it meets in another set and that ``seen`` does not hold, as pairs (a, b)."""
+        """Each name with the nearest candidates that it meets in another set and that ``seen`` does not hold, as pairs (a, b)."""
         blocks = some.repartition(parts(docs.sparkSession)).select("more", "fp", "name", "root", F.posexplode("keys").alias("block", "bits"))
         balls = blocks.select("more", "fp", "name", "root", F.shiftleft(F.col("block").cast("long"), KEY_BITS).alias("block"), "bits", F.explode(flips).alias("flip"))
         key = F.shiftleft(F.col("block") + F.col("bits").bitwiseXOR(F.col("flip")), 32).bitwiseOR(F.col("more"))
@@ -350,8 +352,8 @@ def _near(docs: DataFrame, width: int, key_width: int) -> tuple[DataFrame, DataF
         # Candidates come with the smaller name first, as do the pairs compared before.
         near = near if seen is None else near.join(seen, ["a", "b"], "left_anti")
         ends = near.select(F.explode(F.array(F.struct("a", "b", "far"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "far"))).alias("p")).select("p.*")
-        best = ends.groupBy("a").agg(F.min(F.struct("far", "b")).alias("n"))
-        return best.select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b")).distinct()
+        nearest = ends.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where(F.col("n") <= (LATER_PAIRS if turn else 1))
+        return nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     apart, linked, seen, turn = classes.withColumn("root", F.col("name")), None, None, 0
     while True:
