@@ -4,6 +4,8 @@ import math
 
 from abyssal.operators import kinematics
 
+ARCS = "time double, lon double, lat double, conv_cm_yr double, conv_obliq_deg double, arc_len_deg double, subducting_plate int, overriding_plate int"
+
 
 def test_equal_lines_of_two_ids_count_twice_with_their_id(spark):
     line = [{"x": 1.0, "y": 0.0, "z": 0.0}, {"x": 0.0, "y": 1.0, "z": 0.0}]
@@ -14,3 +16,9 @@ def test_equal_lines_of_two_ids_count_twice_with_their_id(spark):
     all_one = kinematics.margin_lengths_at(features, still, [0.0]).first()["length_km"]
     by_id = kinematics.margin_lengths_at(features, still, [0.0], same=("geom_id",)).first()["length_km"]
     assert abs(all_one - quarter) < 10 and abs(by_id - 2 * all_one) < 1e-6
+
+
+def test_a_trench_arc_given_twice_counts_once(spark):
+    arcs = spark.createDataFrame([(0.0, 1.0, 2.0, 5.0, 10.0, 1.0, 200, 100)] * 2 + [(0.0, 1.0, 2.0, 5.0, 10.0, 1.0, 300, 100)], ARCS)
+    nodes = spark.createDataFrame([(1, 1.0, 2.5, 70.0)], "node_id long, lon double, lat double, z double")
+    assert sorted(r["subducting_plate"] for r in kinematics.thickness_at_arcs(arcs, nodes).collect()) == [200, 300]
