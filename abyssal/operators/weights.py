@@ -23,7 +23,8 @@ def products(n: int, degree: int) -> list[tuple[int, ...]]:
 
 @dataclass(frozen=True)
 class Training:
-    """Rows (fold, r0.., y, and each feature standardised over all rows as f0..), written, with means and covariances of the rivers."""
+    """Sums by fold and river terms r0.. of the rows that share them, written, with means and covariances of the rivers: n, a0.. of the products of up
+    to six of the features standardised over all rows, b0.. of y with products of up to three, and yy of the square of y."""
 
     rows: DataFrame
     n_features: int
@@ -38,6 +39,7 @@ class Training:
 def prepared(rows: DataFrame, rivers: list[Column], features: list[str], target: Column, k: int, lon: str = "lon") -> Training:
     """The rows of a search: k folds of longitudes, the river terms that weights multiply, and the target.
 
+    Rows with equal river terms are summed once, since weights tell them apart no more; a scan then reads at most as many rows as there are.
     The columns must be numbers; an infinite river term (a river's own mouth) is an error, since no weight makes it a feature.
     """
     folded = longitude_folds(rows.select(lon, *(c.cast("double").alias(f"r{i}") for i, c in enumerate(rivers)), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)), target.alias("y")), lon, k)
@@ -55,7 +57,13 @@ def prepared(rows: DataFrame, rivers: list[Column], features: list[str], target:
     if not np.isfinite(means).all() or not np.isfinite(covariances).all():
         raise ValueError("a river term is not finite")
     standard = [((F.col(c) - s[f"m_{c}"]) / (s[f"v_{c}"] ** 0.5 or 1.0)).alias(c) for c in names]
-    return Training(stored(folded.select("fold", *(f"r{i}" for i in range(n)), *standard, "y"), "weights"), len(features), means, covariances)
+    product = lambda c: reduce(lambda a, b: a * b, (F.col(f"f{i}") for i in c), F.lit(1.0))
+    sums = [F.sum(product(c)).alias(f"a{i}") for i, c in enumerate(products(len(features), 2 * DEGREE))]
+    cross = [F.sum(F.col("y") * product(c)).alias(f"b{i}") for i, c in enumerate(products(len(features), DEGREE))]
+    each = F.explode(F.array(F.struct("fold", *(f"r{i}" for i in range(n)), *standard, "y"))).alias("_e")
+    rows = folded.select(each).select("_e.*").groupBy("fold", *(f"r{i}" for i in range(n)))
+    rows = rows.agg(F.count("*").alias("n"), *sums, *cross, F.sum(F.col("y") * F.col("y")).alias("yy"))
+    return Training(stored(rows, "weights"), len(features), means, covariances)
 
 
 def moments(training: Training, candidates: np.ndarray) -> DataFrame:
@@ -72,11 +80,14 @@ def moments(training: Training, candidates: np.ndarray) -> DataFrame:
     each = F.lit([[float(c), float(s @ training.means), *map(float, s)] for c, s in enumerate(scaled)]).cast("array<array<double>>")
     rows = training.rows.select("*", F.explode(each).alias("w"))
     rivers = reduce(lambda a, b: a + b, (F.get("w", F.lit(i + 2)) * F.col(f"r{i}") for i in range(n))) - F.get("w", F.lit(1))
-    data = rows.select(F.get("w", F.lit(0)).cast("int").alias("candidate"), "fold", *(f"f{i}" for i in range(f)), rivers.alias(f"f{f}"), "y")
-    product = lambda c: reduce(lambda a, b: a * b, (F.col(f"f{i}") for i in c), F.lit(1.0))
-    sums = [F.sum(product(c)).alias(f"p{i}") for i, c in enumerate(products(f + 1, 2 * DEGREE))]
-    cross = [F.sum(F.col("y") * product(c)).alias(f"q{i}") for i, c in enumerate(products(f + 1, DEGREE))]
-    return data.groupBy("candidate", "fold").agg(F.count("*").alias("n"), *sums, *cross, F.sum(F.col("y") * F.col("y")).alias("yy"))
+    few, own = ({c: i for i, c in enumerate(products(f, d))} for d in (DEGREE, 2 * DEGREE))
+    names = [*(f"a{i}" for i in own.values()), *(f"b{i}" for i in few.values())]
+    data = rows.select(F.get("w", F.lit(0)).cast("int").alias("candidate"), "fold", "n", *names, "yy", rivers.alias("s"))
+    # Powers of the river sum times the sums of the features' products with which they make up each product.
+    part = lambda name, of, c: reduce(lambda a, b: a * b, [F.col("s")] * c.count(f), F.col(f"{name}{of[tuple(i for i in c if i < f)]}"))
+    sums = [F.sum(part("a", own, c)).alias(f"p{i}") for i, c in enumerate(products(f + 1, 2 * DEGREE))]
+    cross = [F.sum(part("b", few, c)).alias(f"q{i}") for i, c in enumerate(products(f + 1, DEGREE))]
+    return data.groupBy("candidate", "fold").agg(F.sum("n").alias("n"), *sums, *cross, F.sum("yy").alias("yy"))
 
 
 def _descend(q: np.ndarray, b: np.ndarray, alpha: float, rounds: int = 20_000) -> np.ndarray:
