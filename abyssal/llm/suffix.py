@@ -28,6 +28,8 @@ from .repeats import BASES, Sums, Windows, _at, chunks, documents_with, ids_back
 KEY = 32
 #: Bytes whose hash ranks a place among the candidates for a sentinel.
 GRAM = 12
+#: Starts of windows around a sentinel that are told possible or not by one stretch, which they all hold.
+STARTS = 9
 #: Bytes of text that a shard has about, and that its queues hold in memory before they go to disk.
 SHARD, IN_MEMORY = 2 << 20, 64 << 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[2]))
@@ -257,7 +259,7 @@ class Inducer:
             after = np.zeros(len(rank), dtype=np.int64)
             after[:-step] = rank[step:]
             both = rank * (len(rank) + 1) + after
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both)
             rank = np.empty(len(rank), dtype=np.int64)
             rank[order] = np.cumsum(np.concatenate([[1], both[order][1:] != both[order][:-1]]))
             step *= 2
@@ -265,19 +267,47 @@ class Inducer:
         return self.induce(lms, self._compared(lms))
 
     def _compared(self, suffix: np.ndarray) -> np.ndarray:
-        """What each suffix shares with the one before it, up to ``cap``."""
-        wide = np.concatenate([self.text, np.zeros(self.cap, dtype=self.text.dtype)])
-        out = np.zeros(len(suffix), dtype=np.int16)
+        """What each suffix shares with the one before it, up to ``cap``, four characters at a time."""
+        wide = np.concatenate([self.text, np.zeros(self.cap + 8, dtype=self.text.dtype)]).astype(np.uint64)
+        four = wide[:-3] | wide[1:-2] << np.uint64(16) | wide[2:-1] << np.uint64(32) | wide[3:] << np.uint64(48)
+        out = np.full(len(suffix), self.cap, dtype=np.int16)
+        out[:1] = 0
         a, b, row = suffix[:-1].astype(np.int64), suffix[1:].astype(np.int64), np.arange(1, len(suffix))
-        for k in range(self.cap):
-            same = wide[a + k] == wide[b + k]
-            a, b, row = a[same], b[same], row[same]
+        for k in range(0, self.cap, 4):
+            apart = four[a + k] ^ four[b + k]
+            differ = apart != 0
+            x = apart[differ]
+            out[row[differ]] = np.minimum(k + np.bitwise_count((x & -x) - np.uint64(1)).astype(np.int64) // 16, self.cap)
+            a, b, row = a[~differ], b[~differ], row[~differ]
             if not len(row):
                 break
-            out[row] = k + 1
         return out
 
 
+def possible(contexts: list[bytes], key: np.ndarray, before: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which contexts may hold a window that another one of their key holds around its sentinel, and from where to where in them.
+
+    ``before`` has the bytes of each context that precede its sentinel. Windows of neighbouring
+    starts all hold the stretch that the first and the last of them have in common; where no
+    other context has that stretch at the same distance from its sentinel, none of them is a repeat.
+    """
+    sizes = np.fromiter(map(len, contexts), dtype=np.int64, count=len(contexts))
+    base = np.cumsum(sizes) - sizes
+    sums = Sums(units(contexts)[0], BASES[0])
+    low, high = np.full(len(contexts), windows.length), np.full(len(contexts), -1)
+    for first in range(-windows.left, 1, STARTS):
+        last = min(first + STARTS - 1, 0)
+        start, end = before + last, before + first + windows.length
+        row = np.flatnonzero((start >= 0) & (end <= sizes))
+        both = mix(sums.of(base[row] + start[row], base[row] + end[row]) ^ key[row].view(np.uint64))
+        _, which, n = np.unique(both, return_inverse=True, return_counts=True)
+        row = row[n[which] > 1]
+        low[row] = np.minimum(low[row], np.maximum(before[row] + first, 0))
+        high[row] = np.maximum(high[row], np.minimum(before[row] + last + windows.length, sizes[row]))
+    row = np.flatnonzero(high - low >= windows.length)
+    return row, low[row], high[row]
+
+
 def shard_repeats(contexts: list[bytes], doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (doc, at) of windows in these contexts that also stand in an earlier place of them.
 
@@ -315,26 +345,31 @@ def sorted_repeats(docs: DataFrame, marks: DataFrame, windows: Windows) -> DataF
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in chunks(batch, ["doc", "sig", "places"]):
-                doc, at, key, context = [], [], [], []
+                doc, at, key, before, context = [], [], [], [], []
                 for d, sig, places, text in rows:
                     p = np.array(places, dtype=np.int64)
                     a, b = np.maximum(p - windows.left, 0), np.minimum(p + windows.right, len(text))
                     doc += [d] * len(p)
                     at.append(_at(np.full(len(p), sig), a, 0))
+                    before.append(p - a)
                     context += [text[i:j] for i, j in zip(a.tolist(), b.tolist())]
                     key += [xxhash.xxh64_intdigest(text[i : i + windows.after]) for i in p.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(np.concatenate(at)), pa.array(context, pa.binary())], names=["key", "doc", "at", "context"])
+                longs = (np.array(key, dtype=np.uint64).view(np.int64), np.array(doc, dtype=np.int64), np.concatenate(at), np.concatenate(before))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, longs), pa.array(context, pa.binary())], names=["key", "doc", "at", "before", "context"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b["doc"].to_numpy(), b["at"].to_numpy(), b["context"].to_pylist()) for b in batches if b.num_rows]
+        got = [(*(b[c].to_numpy() for c in ("key", "doc", "at", "before")), b["context"].to_pylist()) for b in batches if b.num_rows]
         if got:
-            doc, at = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-            d, a = shard_repeats([c for g in got for c in g[2]], doc, at, windows.length)
+            key, doc, at, before = (np.concatenate([g[i] for g in got]) for i in range(4))
+            contexts = [c for g in got for c in g[4]]
+            row, low, high = possible(contexts, key, before, windows)
+            cut = [contexts[i][j:k] for i, j, k in zip(row.tolist(), low.tolist(), high.tolist())]
+            d, a = shard_repeats(cut, doc[row], at[row] + (low << 2), windows.length)
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a)], names=["doc", "at"])
 
     size = marks.agg(F.sum(F.size("open"))).first()[0] or 0
     shards = max(1, -(-size * (windows.left + windows.right) // SHARD))
-    rows = documents_with(docs, marks, F.col("open")).drop("cover").mapInArrow(emit, "key long, doc long, at long, context binary")
+    rows = documents_with(docs, marks, F.col("open")).drop("cover").mapInArrow(emit, "key long, doc long, at long, before long, context binary")
     return stored(rows.repartition(shards, "key").mapInArrow(sort, "doc long, at long"), "suffix-repeats")
 
 

@@ -227,6 +227,36 @@ def test_suffix_dedup(docs, empty):
     assert suffix.digest(empty).count() == 0
 
 
+def test_contexts_are_cut_to_possible_repeats():
+    """Contexts of one key go to the sorting only around windows that another one may hold; none of those is lost."""
+    from abyssal.llm import repeats
+
+    rng, windows = random.Random(4), repeats.Windows(100, 0, suffix.KEY, True)
+    noise = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    key, contexts, before = noise(32), [], []
+    for i in range(400):
+        left, right = rng.randrange(69), rng.randrange(69)
+        before.append(rng.choice((68, left)))
+        contexts.append(noise(before[-1]) + key + noise(rng.choice((68, right))))
+        if i % 4 == 3 and before[-1] and len(contexts[-1]) > before[-1] + 32:  # shares some bytes around the key with one before
+            other, b = contexts[-2], before[-2]
+            x, y = rng.randrange(min(b, before[-1]) + 1), rng.randrange(min(len(other) - b, len(contexts[-1]) - before[-1]) + 1)
+            c = contexts[-1]
+            contexts[-1] = c[: before[-1] - x] + other[b - x : b + y] + c[before[-1] + y :]
+    hashed = np.zeros(len(contexts), dtype=np.int64)
+    row, low, high = suffix.possible(contexts, hashed, np.array(before), windows)
+    kept = {r: (a, b) for r, a, b in zip(row.tolist(), low.tolist(), high.tolist())}
+    holders = {}
+    for i, (c, b) in enumerate(zip(contexts, before)):
+        for s in range(max(0, b - 68), min(b, len(c) - 100) + 1):
+            holders.setdefault((s - b, c[s : s + 100]), []).append((i, s))
+    shared = [p for h in holders.values() if len(h) > 1 for p in h]
+    assert len(shared) > 50
+    assert all(i in kept and kept[i][0] <= s and s + 100 <= kept[i][1] for i, s in shared)
+    assert len(kept) <= len({i for i, _ in shared}) + 20 and sum(b - a for a, b in kept.values()) < 0.3 * sum(map(len, contexts))
+    assert all(0 <= a and b <= len(contexts[i]) for i, (a, b) in kept.items())
+
+
 def test_window_hashes_find_what_sorting_finds(docs):
     """Places with keys of very many contexts take the other way; both must remove the same."""
     from abyssal.llm import repeats
