@@ -8,9 +8,9 @@ within the radius meet on a variant. Meetings are verified on the whole fingerpr
 and joined into components.
 
 Texts whose five-word shingles agree to 0.8 differ in far more than three of 64 bits.
-``near_clusters`` finds them with longer sketches: the balls are laid around each of
-ten blocks of 28 bits, and what meets on a variant is a candidate if 96 other bits
-differ little. Candidates link only if their sets of shingles agree to 0.8.
+``near_clusters`` finds them exactly: sets of shingles that agree to 0.8 share a shingle
+among the first fifth of each in any order of all shingles, here rare ones first. Sets meet
+on these, and pairs that sizes, places and 128 bits of parity leave possible are compared in full.
 """
 
 from __future__ import annotations
@@ -23,27 +23,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import beside, components, parts, stored
+from .common import beside, bytes_of, components, parts, stored
 from .quality import signature
 
 RADIUS = 3
-#: Blocks of the key sketch of near copies and bits of each; two sketches meet on a block if they differ there in two bits at most.
-KEY_BLOCKS, KEY_BITS = 10, 28
-#: Bits of the key sketch in each block: neighbouring ones in the first half of the blocks, every sixth one in the other half, so that a block of one kind
-#: shares at most five bits with one of the other.
-_KEY_AT = [[KEY_BITS * b + i for i in range(KEY_BITS)] if b < KEY_BLOCKS // 2 else [b - KEY_BLOCKS // 2 + 6 * i for i in range(KEY_BITS)] for b in range(KEY_BLOCKS)]
-#: Largest distance of candidates for near copies over the 96 bits of their fingerprint. Sets of shingles of Jaccard similarity 0.8 differ in 14.5 bits in the mean.
-NEAR_RADIUS = 24
 #: Least Jaccard similarity of the sets of shingles of near copies that link.
 SIMILARITY = 0.8
-#: Candidates that a set of shingles is compared with in each round but the first, which joins most copies by one each.
-LATER_PAIRS = 8
+#: Candidates that a set of shingles is compared with in the rounds that come before all pairs left are.
+NEAREST = 2
+#: Pairs left for each row at which all of them are compared.
+PAIRS_A_ROW = 16
+#: Texts whose shingles are counted to tell common ones, and how many of the most common are told. Both set the order of shingles only, so results don't depend on them.
+SAMPLED_TEXTS, COMMON = 20_000, 200_000
+#: Rows of a shingle that meet in one group; those of a more common one meet block by block.
+BLOCK = 2048
 #: Words whose hashes a Python worker keeps.
 CACHED_WORDS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SALTS = (_BASE, np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-#: The bits of every byte.
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 #: The three blocks of bits, one of which is masked at a time.
 _BLOCKS = ((1 << 22) - 1, ((1 << 21) - 1) << 22, ((1 << 21) - 1) << 43)
 
@@ -140,46 +136,52 @@ def meetings(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return np.stack([names[moved], names[label[moved]]], axis=1)
 
 
-def candidates(key: np.ndarray, name: np.ndarray, fp: np.ndarray, more: np.ndarray, group: np.ndarray, turn: int = 0) -> np.ndarray:
-    """Rows (name, name, distance) of pairs of these rows that meet on a key and whose fingerprints lie within
-    ``NEAR_RADIUS``, enough to connect all sets (``group``) that do.
+def possible(n_a: np.ndarray, n_b: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which pairs of sets may agree to ``SIMILARITY``: of sizes ``n_a`` and ``n_b``, with ``rest`` elements at most in both
+    and with parities that differ in ``bits`` bits, each of which takes an element of one set alone."""
+    total, slack = n_a + n_b, 1e-6
+    ok = np.minimum(n_a, n_b) >= SIMILARITY * np.maximum(n_a, n_b) - slack
+    return ok & ((1 + SIMILARITY) * rest >= SIMILARITY * total - slack) & ((1 + SIMILARITY) * bits <= (1 - SIMILARITY) * total + slack)
 
-    Rows of a key are compared at growing distances in the order of their fingerprints, turned by ``turn``
-    sixteenths of a long, so that other neighbours come first each time. Sets that meet are joined
-    as they are found, so there are never more pairs than rows.
+
+def partners(group: np.ndarray, side: np.ndarray, split: np.ndarray, root: np.ndarray, name: np.ndarray, n: np.ndarray, rest: np.ndarray, bits: np.ndarray, every: bool) -> Iterator[np.ndarray]:
+    """Rows (name, name, differing bits) of possible pairs of a group from different roots, the smaller name first.
+
+    With ``every`` these are all; otherwise each row has at most two, the first one after those of its root and the first of its group. A
+    ``split`` group pairs one ``side`` with the other. ``bits`` has two longs of parity a row.
     """
-    order = np.lexsort((np.bitwise_or(fp.view(np.uint64) << np.uint64(16 * turn), fp.view(np.uint64) >> np.uint64(64 - 16 * turn)) if turn else fp.view(np.uint64), key))
-    key = key[order]
-    same = np.flatnonzero(key[1:] == key[:-1])
-    if not len(same):
-        return np.zeros((0, 3), dtype=np.int64)
-    keep = np.unique(np.concatenate([same, same + 1]))
-    key, order = key[keep], order[keep]
-    names, at, node = np.unique(name[order], return_index=True, return_inverse=True)
-    value, more = fp[order].view(np.uint64), more[order]
-    _, one, of = np.unique(group[order][at], return_index=True, return_inverse=True)
-    label = one[of]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.concatenate([first, [len(key)]]))
-    after = np.repeat(first + size, size) - np.arange(len(key))
-    part = np.repeat(np.arange(len(first)), size)
-    out, rows, lag = [np.zeros((0, 3), dtype=np.int64)], np.arange(len(key)), 1
-    while True:
-        rows = rows[after[rows] > lag]
-        if not len(rows):
-            break
-        apart = rows[label[node[rows]] != label[node[rows + lag]]]
-        far = np.bitwise_count(value[apart] ^ value[apart + lag]).astype(np.int64) + np.bitwise_count(more[apart] ^ more[apart + lag])
-        hit = far <= NEAR_RADIUS
-        a, b, far = node[apart[hit]], node[apart[hit] + lag], far[hit]
-        if len(a):
-            label = _joined(label, a, b)
-            out.append(np.stack([names[a], names[b], far], axis=1))
-        if lag & (lag - 1) == 0:
-            seen = label[node]
-            rows = rows[(np.minimum.reduceat(seen, first) != np.maximum.reduceat(seen, first))[part[rows]]]
-        lag += 1
-    return np.unique(np.concatenate(out), axis=0)
+    if not len(group):
+        return
+    order = np.lexsort((name, root, side, group))
+    group, side, split, root, name, n, rest, bits = (x[order] for x in (group, side, split, root, name, n, rest, bits))
+    last = lambda new: np.repeat(np.append(np.flatnonzero(new)[1:], len(new)), np.diff(np.append(np.flatnonzero(new), len(new))))
+    new_group = np.concatenate([[True], group[1:] != group[:-1]])
+    new_side = new_group | np.concatenate([[True], side[1:] != side[:-1]])
+    end, own = last(new_group), last(new_side | np.concatenate([[True], root[1:] != root[:-1]]))
+    at = np.where(split, last(new_side), own)
+    rows = np.flatnonzero(at < end)
+    first = np.flatnonzero(new_group)[np.cumsum(new_group) - 1]
+
+    def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        far = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        ok = possible(n[a], n[b], np.minimum(rest[a], rest[b]), far) & (root[a] != root[b])
+        x, y = name[a[ok]], name[b[ok]]
+        return np.stack([np.minimum(x, y), np.maximum(x, y), far[ok]], axis=1)
+
+    if not every:
+        far = np.flatnonzero(root[first] != root)
+        yield np.unique(np.concatenate([of(rows, at[rows]), of(far, first[far])]), axis=0)
+        return
+    held, size, lag = [], 0, 0
+    while len(rows):
+        held.append(of(rows, at[rows] + lag))
+        size, lag = size + len(held[-1]), lag + 1
+        rows = rows[at[rows] + lag < end[rows]]
+        if size >= 1 << 18:
+            yield np.unique(np.concatenate(held), axis=0)
+            held, size = [], 0
+    if held:
+        yield np.unique(np.concatenate(held), axis=0)
 
 
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,24 +199,15 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to connect all within the radius."""
-    return _met(variants(fps.repartition(parts(fps.sparkSession))), fps.count() * (3 + sum(64 - bin(b).count("1") for b in _BLOCKS)))
-
-
-def _met(rows: DataFrame, made: int, turn: int | None = None, rows_a_task: int = 1 << 20) -> DataFrame:
-    """Links (a, b) of ``made`` rows (key, fp). With ``turn``, candidates for near copies (a, b, far) of rows (key, fp, name,
-    root), whose keys hold further bits of the fingerprint in the low 32 bits; root is the set that a name is in."""
-    n = parts(rows.sparkSession, -(-made // rows_a_task))
-    columns = ["a", "b"] if turn is None else ["a", "b", "far"]
+    n = parts(fps.sparkSession, -(-fps.count() * (3 + sum(64 - bin(b).count("1") for b in _BLOCKS)) >> 20))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(b[c].to_numpy() for c in b.schema.names) for b in batches]
+        got = [(b["key"].to_numpy(), b["fp"].to_numpy()) for b in batches]
         if got:
-            key, fp, *rest = (np.concatenate(c) for c in zip(*got))
-            found = meetings(key, fp) if turn is None else candidates(key >> 32, rest[0], fp, key.view(np.uint64) & np.uint64(0xFFFFFFFF), rest[1], turn)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in range(len(columns))], names=columns)
+            found = meetings(*(np.concatenate(c) for c in zip(*got)))
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in (0, 1)], names=["a", "b"])
 
-    by = F.col("key") if turn is None else F.shiftright("key", 32)
-    return rows.select("key", "fp", *([] if turn is None else ["name", "root"])).repartition(n, by).mapInArrow(meet, ", ".join(f"{c} long" for c in columns)).distinct()
+    return variants(fps.repartition(parts(fps.sparkSession))).repartition(n, "key").mapInArrow(meet, "a long, b long").distinct()
 
 
 def clusters(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -252,125 +245,167 @@ class _Words(dict):
         return h
 
 
-class Sketches:
-    """Sketches of texts over the distinct shingles of their words, A-Z in lower case."""
+class Shingles:
+    """Distinct shingles of texts as hashes, in order; A-Z in lower case, without words none."""
 
-    def __init__(self) -> None:
-        self.words = _Words()
+    def __init__(self, width: int) -> None:
+        self.width, self.words = width, _Words()
 
-    def shingles(self, words: np.ndarray, width: int) -> np.ndarray:
-        """Hashes of the distinct runs of ``width`` words; fewer words are one run."""
-        n = max(1, len(words) - width + 1)
+    def of(self, text: str | None) -> np.ndarray:
+        split = (text or "").encode("utf-8", "replace").lower().split()
+        if not split:
+            return np.zeros(0, dtype=np.int64)
+        if len(self.words) > CACHED_WORDS:
+            self.words = _Words()
+        words = np.fromiter(map(self.words.__getitem__, split), dtype=np.uint64, count=len(split))
+        n = max(1, len(words) - self.width + 1)
         h = np.zeros(n, dtype=np.uint64)
-        for k in range(min(width, len(words))):
+        for k in range(min(self.width, len(words))):  # fewer words are one run
             h = (h + words[k : k + n]) * _BASE
             h ^= h >> np.uint64(29)
+        h = h.view(np.int64)
         h.sort()
         return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
-    def bits(self, h: np.ndarray, longs: int) -> np.ndarray:
-        """The bits that over half of the hashes have in each of ``longs`` mixtures, by counts of byte values."""
-        at, counts = 256 * np.arange(8 * longs), 0.0
-        for i in range(0, len(h), 1 << 15):
-            mixed = np.stack([(h[i : i + (1 << 15)] ^ s) * s for s in _SALTS[:longs]], axis=1)
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * _BASE
-            mixed ^= mixed >> np.uint64(29)
-            seen = np.bincount((mixed.view(np.uint8).reshape(len(mixed), -1) + at).ravel(), minlength=2048 * longs)
-            counts = counts + seen.reshape(-1, 256) @ _BITS
-        return (2 * counts > len(h)).ravel()
-
-    def of(self, text: str | None, width: int, key_width: int) -> tuple[int, int, list[int], np.ndarray]:
-        """Fingerprint (64 bits, then 32 more), keys and hashes of the shingles of a text; without words all are zero."""
-        split = (text or "").encode("utf-8", "replace").lower().split()
-        if not split:
-            return 0, 0, [0] * KEY_BLOCKS, np.zeros(0, dtype=np.int64)
-        if len(self.words) > CACHED_WORDS:
-            self.words = _Words()
-        words = np.fromiter(map(self.words.__getitem__, split), dtype=np.uint64, count=len(split))
-        runs = self.shingles(words, width)
-        fp = np.packbits(self.bits(runs, 2), bitorder="little").view(np.uint64)
-        keys = self.bits(self.shingles(words, key_width), 3)[_KEY_AT]
-        return int(fp[0]), int(fp[1]) & 0xFFFFFFFF, (keys @ (1 << np.arange(KEY_BITS))).tolist(), runs.view(np.int64)
 
+def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set (hashes in order) by how common they are (``common`` in order, with ``counts``; others are rare) and then by
+    hash: so many that sets which agree to ``SIMILARITY`` share the first common one among them."""
+    n = len(h) and len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-6)) + 1
+    if not n or not len(common):
+        return h[:n]
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    return h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")[:n]]
 
-def near_clusters(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFrame:
+
+def near_clusters(docs: DataFrame, width: int = 5) -> DataFrame:
     """Rows (doc_id, set_id, component_id) of every document, near copies in one component; ``set_id`` names its set of shingles.
 
     Documents link if their sets of shingles of ``width`` words have a Jaccard similarity of
-    ``SIMILARITY`` or more. Candidates are those whose 96-bit fingerprints over the distinct shingles
-    differ in at most ``NEAR_RADIUS`` bits and their key sketches, over ``key_width`` words (an
-    edit touches fewer of these, so they differ less), in at most two bits of some block:
-    each block emits itself and its one-bit variants, and candidates meet on one. In rounds, each set of
-    shingles is compared with the nearest candidate (later with ``LATER_PAIRS`` of them) that it was not compared with and that is in another
-    component of the links found so far, until a round links nothing more; so no group of copies, however
-    large, is compared pair by pair. Similarity 0.8
-    or more is found with the probability that README measures. Equal texts always
+    ``SIMILARITY`` or more; no link between components is missed. Sets meet on the shingles of their prefixes. In rounds each one is compared
+    with the nearest that it meets in another component, so that no group of copies, however
+    large, is compared pair by pair; then all pairs left that meet from different components are. Equal texts always
     share a component, as do all documents without words. Repeated rows, null ids and
     other columns are dealt with as by ``clusters``.
     """
-    rows, classes, linked = _near(docs, width, key_width)
+    rows, classes, linked = _near(docs, width)
     sets = _labelled(rows.select("doc_id", F.col("name").alias("fp")), classes.withColumnRenamed("name", "fp"), linked)
     return sets.withColumnRenamed("fp", "set_id")
 
 
-def near_roots(docs: DataFrame, width: int = 5, key_width: int = 3) -> DataFrame:
+def near_roots(docs: DataFrame, width: int = 5) -> DataFrame:
     """Rows (doc_id, sig, root) of every document: a hash of its text, and the set of shingles that
     names its component of ``near_clusters``, whatever the ids are."""
-    rows, classes, linked = _near(docs, width, key_width)
+    rows, classes, linked = _near(docs, width)
     roots = stored(_rooted(classes, linked, "name").select("name", "root"), "near-roots")
     return beside(rows, roots, "name", "inner", row_bytes=F.lit(24)).select("doc_id", "sig", "root")
 
 
-def _near(docs: DataFrame, width: int, key_width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, sig, name, ...) of the documents, classes (name, first) and links of near copies; a name is a hash of the set of shingles."""
+def _shingled(texts: DataFrame, width: int) -> DataFrame:
+    """Rows (name, shingles) of rows (name, text)."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches = Sketches()
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                got = [sketches.of(t, width, key_width) for t in batch["text"].to_pylist()]
-                fp = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], batch["sig"], pa.array(fp), pa.array([g[1] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (2, 3))],
-                    names=["doc_id", "sig", "fp", "more", "keys", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([batch["name"], pa.array([shingles.of(t) for t in batch["text"].to_pylist()], pa.list_(pa.int64()))], names=["name", "shingles"])
+
+    return texts.select("name", "text").mapInArrow(split, "name long, shingles array<bigint>")
+
 
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of the most common shingles of a sample of different texts (sig, text), and their counts."""
+    step = max(1, texts.count() // SAMPLED_TEXTS)
+    some = texts.where(F.pmod(F.xxhash64("sig"), F.lit(step)) == 0).groupBy("sig").agg(F.first("text").alias("text"))
+    each = _shingled(some.withColumnRenamed("sig", "name"), width).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    got = each.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = got["h"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order].astype(np.int32)
+
+
+def _near(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, sig, name, ...) of the documents, classes (name, first) and links of near copies; a name is a hash of the set of shingles."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signature(docs).alias("sig"), F.col("text").cast("string").alias("text"))
-    sketched = texts.mapInArrow(score, "doc_id long, sig long, fp long, more long, keys array<bigint>, shingles array<bigint>")
-    rows = stored(sketched.withColumn("name", F.xxhash64("shingles")), "sketches")
-    one = rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min(F.struct("fp", "more", "keys")).alias("one"))
-    classes = stored(one.select("name", "first", "one.*"), "sketch-classes")
-    flips = F.lit([0, *(1 << i for i in range(KEY_BITS))]).cast("array<bigint>")
-
-    def met(some: DataFrame, turn: int, seen: DataFrame | None) -> DataFrame:
-        """Each name with the nearest candidates that it meets in another set and that ``seen`` does not hold, as pairs (a, b)."""
-        blocks = some.repartition(parts(docs.sparkSession)).select("more", "fp", "name", "root", F.posexplode("keys").alias("block", "bits"))
-        balls = blocks.select("more", "fp", "name", "root", F.shiftleft(F.col("block").cast("long"), KEY_BITS).alias("block"), "bits", F.explode(flips).alias("flip"))
-        key = F.shiftleft(F.col("block") + F.col("bits").bitwiseXOR(F.col("flip")), 32).bitwiseOR(F.col("more"))
-        near = _met(balls.select(key.alias("key"), "fp", "name", "root"), some.count() * KEY_BLOCKS * (KEY_BITS + 1), turn % 4)
-        # Candidates come with the smaller name first, as do the pairs compared before.
-        near = near if seen is None else near.join(seen, ["a", "b"], "left_anti")
-        ends = near.select(F.explode(F.array(F.struct("a", "b", "far"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "far"))).alias("p")).select("p.*")
-        nearest = ends.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where(F.col("n") <= (LATER_PAIRS if turn else 1))
-        return nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    apart, linked, seen, turn = classes.withColumn("root", F.col("name")), None, None, 0
+    common, counts = _common(texts, width)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                sets = [shingles.of(t) for t in batch["text"].to_pylist()]
+                name = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64)
+                odd = np.array([np.bincount(h.view(np.uint64) >> np.uint64(57), minlength=128) & 1 for h in sets], dtype=np.uint8).reshape(-1, 128)
+                bits = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+                firsts = pa.array([prefix(h, common, counts) for h in sets], pa.list_(pa.int64()))
+                longs = (name, np.array([len(h) for h in sets], dtype=np.int64), bits[:, 0].copy(), bits[:, 1].copy())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sig"], *map(pa.array, longs), firsts], names=["doc_id", "sig", "name", "n", "p", "q", "firsts"])
+
+    rows = stored(texts.mapInArrow(score, "doc_id long, sig long, name long, n long, p long, q long, firsts array<bigint>"), "near-rows")
+    one = rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min(F.struct("sig", "n", "p", "q", "firsts")).alias("one"))
+    classes = stored(one.select("name", "first", "one.*"), "near-classes")
+    made = bytes_of(classes, F.size("firsts"))
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b[c].to_numpy() for c in ("h", "name", "at")] for b in batches if b.num_rows]
+        if got:
+            h, name, at = (np.concatenate(c) for c in zip(*got))
+            _, which, n = np.unique(h, return_inverse=True, return_counts=True)
+            m = n[which]
+            yield pa.RecordBatch.from_arrays([pa.array(x[m > 1]) for x in (h, name, at, m)], names=["h", "name", "at", "m"])
+
+    firsts = classes.select("name", F.posexplode("firsts").alias("at", "h")).select("h", "name", F.col("at").cast("long").alias("at"))
+    met = stored(firsts.repartition(parts(spark, -(-made >> 20)), "h").mapInArrow(several, "h long, name long, at long, m long"), "near-met")
+
+    def candidates(held: DataFrame, every: bool) -> DataFrame:
+        """Possible pairs (a, b, far) of rows of different roots that meet: all of them, or some of each row."""
+        blocks = F.expr(f"if(m > {BLOCK}, cast(ceil(m / {BLOCK}) as int), 1)") if every else F.lit(1)
+        mine = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+        dealt = held.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("mine", "other"), F.greatest("mine", "other")
+        group = F.when(F.col("blocks") > 1, F.xxhash64("h", low, high)).otherwise(F.col("h"))
+        side = F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long")
+        dealt = dealt.select(group.alias("group"), side.alias("side"), (low < high).cast("long").alias("split"), "root", "name", "n", (F.col("n") - F.col("at")).alias("rest"), "p", "q")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [[b[c].to_numpy() for c in b.schema.names] for b in batches if b.num_rows]
+            if got:
+                group, side, split, root, name, n, rest, p, q = (np.concatenate(c) for c in zip(*got))
+                for found in partners(group, side, split > 0, root, name, n, rest, np.stack([p, q], axis=1), every):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in range(3)], names=["a", "b", "far"])
+
+        return dealt.repartition(parts(spark), "group").mapInArrow(meet, "a long, b long, far long").distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(classes.select("name", "sig"), "name"), "near-nodes")
+        held = beside(texts.select("sig", "text"), nodes, "sig", "inner", row_bytes=F.lit(24))
+        sets = stored(_shingled(held, width).groupBy("name").agg(F.first("shingles").alias("shingles")), "near-sets")
+        return stored(alike(pairs, sets), "near-links")
+
+    linked, roots = None, None
     while True:
-        pairs = stored(met(apart, turn, seen), "near-pairs")
-        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "near-nodes")
-        near = nodes if seen is None else near
-        held = beside(rows.select("name", "shingles"), nodes, "name", "inner", row_bytes=F.lit(24))
-        sets = stored(held.groupBy("name").agg(F.min("shingles").alias("shingles")), "near-sets")
-        found = stored(alike(pairs, sets), "near-links")
-        if linked is not None and not found.limit(1).count():
-            break
-        linked = found if linked is None else joined.union(found)
-        seen, turn = pairs if seen is None else seen.union(pairs), turn + 1
-        roots = components(linked, "near-found")
-        joined, roots = roots.withColumnsRenamed({"node": "a", "root": "b"}), roots.withColumnsRenamed({"node": "name"})
-        apart = stored(classes.join(near, "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "near-apart")
-    return rows, classes.select("name", "first"), linked
+        named = classes.select("name", "n", "p", "q")
+        named = named.withColumn("root", F.col("name")) if roots is None else named.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+        held = met.join(named, "name")
+        of = held.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        mixed = of.where("roots > 1").select("h", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.col("n").alias("m"))
+        held = stored(held.drop("m").join(mixed, "h"), "near-held")
+        left = held.agg(F.count("*").alias("rows"), F.sum(F.col("pairs") / F.col("m")).alias("pairs")).first()
+        # Rounds of nearest ones come first and end once one links nothing more.
+        every = (left["pairs"] or 0) <= PAIRS_A_ROW * left["rows"] or (linked is not None and not found.limit(1).count())
+        near = candidates(held, every)
+        if not every:
+            ends = near.select(F.explode(F.array(F.struct("a", "b", "far"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "far"))).alias("e")).select("e.*")
+            nearest = ends.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where(F.col("i") <= NEAREST)
+            near = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = verified(stored(near.select("a", "b"), "near-pairs"))
+        linked = found if linked is None else linked.union(found)
+        if every:
+            return rows, classes.select("name", "first"), linked
+        roots = components(linked, "near-found").withColumnsRenamed({"node": "name"})
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -135,3 +135,51 @@ def test_chain_of_copies_is_one_component(spark):
         rows.append((i, " ".join(base)))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got.values()) == {0}
+
+
+def linked_by_brute_force(rows: list[tuple[int, str]]) -> dict[int, int]:
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def of(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in sets.items():
+        for k, b in sets.items():
+            if i < k and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((of(i), of(k)))
+                root[y] = x
+    return {i: of(i) for i in root}
+
+
+def families(seed: int) -> list[tuple[int, str]]:
+    """Texts of families around a base each, at similarities about 0.8, so that many that meet don't link."""
+    import random
+
+    rng, rows = random.Random(seed), []
+    for f in range(12):
+        base = [f"f{f}w{k}" for k in range(rng.choice((1, 4, 8, 30, 60, 150)))]
+        for v in range(40):
+            text = list(base)
+            for at in rng.sample(range(len(base)), min(len(base), rng.randrange(1 + len(base) // 24 + (len(base) < 30)))):
+                text[at] = f"c{rng.randrange(3)}" if rng.random() < 0.5 else f"x{f}_{v}"
+            rows.append((len(rows), " ".join(text if rng.random() < 0.7 else text[: len(text) - rng.randrange(1 + len(text) // 5)])))
+    return rows
+
+
+def test_no_link_is_lost(spark):
+    """Components are those of all pairs, also where sets meet more that are almost near than rounds compare."""
+    rows = families(2)
+    want = linked_by_brute_force(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) > 30 and got == want
+
+
+def test_rounds_and_blocks_lose_no_link(spark, monkeypatch):
+    """With rounds of one nearest and blocks of a few rows the components are the same."""
+    rows = families(3)
+    for name, value in (("BLOCK", 7), ("PAIRS_A_ROW", 0), ("NEAREST", 1), ("COMMON", 20)):
+        monkeypatch.setattr(simhash, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked_by_brute_force(rows)
