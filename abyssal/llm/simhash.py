@@ -10,12 +10,14 @@ and joined into components.
 Texts whose five-word shingles agree to 0.8 differ in far more than three of 64 bits.
 ``near_clusters`` finds them exactly: sets of shingles that agree to 0.8 share a shingle
 among the first fifth of each in any order of all shingles, here rare ones first. Sets meet
-on these, and pairs that sizes, places and 128 bits of parity leave possible are compared in full.
+on these; of the pairs that sizes, places and 128 bits of parity leave possible, those that about a bit of parity
+a shingle leaves too are compared in full, from their texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import beside, bytes_of, components, parts, stored
+from .common import beside, components, parts, stored
 from .quality import signature
 
 RADIUS = 3
@@ -37,6 +39,10 @@ PAIRS_A_ROW = 16
 SAMPLED_TEXTS, COMMON = 20_000, 200_000
 #: Rows of a shingle that meet in one group; those of a more common one meet block by block.
 BLOCK = 2048
+#: First shingles that meet at a time, at least, and the most parts that they are dealt to for it. A part's shuffle files go before the next one.
+SLICE, SLICES = 4 << 20, 4
+#: Parts of the texts' shingles that a step of comparing ships at most, and the least number that is worth a step of its own.
+SHIPPED, LEAST = 8, 1 << 21
 #: Words whose hashes a Python worker keeps.
 CACHED_WORDS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -144,6 +150,20 @@ def possible(n_a: np.ndarray, n_b: np.ndarray, rest: np.ndarray, bits: np.ndarra
     return ok & ((1 + SIMILARITY) * rest >= SIMILARITY * total - slack) & ((1 + SIMILARITY) * bits <= (1 - SIMILARITY) * total + slack)
 
 
+def parity(h: np.ndarray) -> bytes:
+    """Whether the number of elements is odd, in each of 2^k ranges of hashes, at least as many as there are elements and 128."""
+    k = max(7, (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h.view(np.uint64) >> np.uint64(64 - k)).view(np.int64), minlength=1 << k).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ, over the ranges of the coarser one; each takes an element of one set alone."""
+    if len(a) == len(b):
+        return int(np.bitwise_count(np.frombuffer(a, dtype=np.uint64) ^ np.frombuffer(b, dtype=np.uint64)).sum())
+    x, y = sorted((np.unpackbits(np.frombuffer(p, dtype=np.uint8), bitorder="little") for p in (a, b)), key=len)
+    return int((x != np.bitwise_xor.reduce(y.reshape(len(x), -1), axis=1)).sum())
+
+
 def partners(group: np.ndarray, side: np.ndarray, split: np.ndarray, root: np.ndarray, name: np.ndarray, n: np.ndarray, rest: np.ndarray, bits: np.ndarray, every: bool) -> Iterator[np.ndarray]:
     """Rows (name, name, differing bits) of possible pairs of a group from different roots, the smaller name first.
 
@@ -319,7 +339,7 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     step = max(1, texts.count() // SAMPLED_TEXTS)
     some = texts.where(F.pmod(F.xxhash64("sig"), F.lit(step)) == 0).groupBy("sig").agg(F.first("text").alias("text"))
     each = _shingled(some.withColumnRenamed("sig", "name"), width).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    got = each.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    got = stored(each.orderBy(F.desc("n"), "h").limit(COMMON), "near-common").toArrow()
     h, n = got["h"].to_numpy(), got["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order].astype(np.int32)
@@ -342,23 +362,48 @@ def _near(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]
                 bits = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
                 firsts = pa.array([prefix(h, common, counts) for h in sets], pa.list_(pa.int64()))
                 longs = (name, np.array([len(h) for h in sets], dtype=np.int64), bits[:, 0].copy(), bits[:, 1].copy())
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sig"], *map(pa.array, longs), firsts], names=["doc_id", "sig", "name", "n", "p", "q", "firsts"])
+                odds = pa.array([parity(h) for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sig"], *map(pa.array, longs), odds, firsts], names=["doc_id", "sig", "name", "n", "p", "q", "parity", "firsts"])
 
-    rows = stored(texts.mapInArrow(score, "doc_id long, sig long, name long, n long, p long, q long, firsts array<bigint>"), "near-rows")
-    one = rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min(F.struct("sig", "n", "p", "q", "firsts")).alias("one"))
+    rows = stored(texts.mapInArrow(score, "doc_id long, sig long, name long, n long, p long, q long, parity binary, firsts array<bigint>"), "near-rows")
+    one = rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min(F.struct("sig", "n", "p", "q", "parity")).alias("one"))
     classes = stored(one.select("name", "first", "one.*"), "near-classes")
-    made = bytes_of(classes, F.size("firsts"))
+    whole = rows.agg(F.sum(F.size("firsts")).alias("firsts"), F.sum("n").alias("shingles"), F.sum(F.length("parity")).alias("parity"), F.count("*").alias("rows")).first()
+    made = whole["firsts"] or 0
+    slices, shipped = min(SLICES, max(1, made // SLICE)), max(LEAST, (whole["shingles"] or 0) // SHIPPED)
+
+    def placed(k: int) -> DataFrame:
+        """Rows (h, name, at) of the first shingles of a slice, a set's once a task."""
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for whole in batches:
+                for start in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(start, 1024)
+                    fresh = np.array([x not in seen and not seen.add(x) for x in batch["name"].to_pylist()], dtype=bool)
+                    offsets, h = batch["firsts"].offsets.to_numpy(), batch["firsts"].values.to_numpy()
+                    size = np.where(fresh, np.diff(offsets), 0)
+                    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    h, name = h[np.repeat(offsets[:-1], size) + at], np.repeat(batch["name"].to_numpy(), size)
+                    own = (h.view(np.uint64) >> np.uint64(20)) % np.uint64(slices) == k
+                    yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (h, name, at)], names=["h", "name", "at"])
+
+        return rows.select("name", "firsts").mapInArrow(place, "h long, name long, at long")
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[b[c].to_numpy() for c in ("h", "name", "at")] for b in batches if b.num_rows]
         if got:
             h, name, at = (np.concatenate(c) for c in zip(*got))
+            order = np.lexsort((name, h))
+            h, name, at = h[order], name[order], at[order]
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (name[1:] != name[:-1])])
+            h, name, at = h[once], name[once], at[once]
             _, which, n = np.unique(h, return_inverse=True, return_counts=True)
             m = n[which]
             yield pa.RecordBatch.from_arrays([pa.array(x[m > 1]) for x in (h, name, at, m)], names=["h", "name", "at", "m"])
 
-    firsts = classes.select("name", F.posexplode("firsts").alias("at", "h")).select("h", "name", F.col("at").cast("long").alias("at"))
-    met = stored(firsts.repartition(parts(spark, -(-made >> 20)), "h").mapInArrow(several, "h long, name long, at long, m long"), "near-met")
+    tasks = parts(spark, -(-(made // slices) >> 20))
+    met = [stored(placed(k).repartition(tasks, "h").mapInArrow(several, "h long, name long, at long, m long"), "near-met") for k in range(slices)]
 
     def candidates(held: DataFrame, every: bool) -> DataFrame:
         """Possible pairs (a, b, far) of rows of different roots that meet: all of them, or some of each row."""
@@ -379,24 +424,59 @@ def _near(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]
 
         return dealt.repartition(parts(spark), "group").mapInArrow(meet, "a long, b long, far long").distinct()
 
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+            far = np.array([differing(a, b) for a, b in zip(batch["parity_a"].to_pylist(), batch["parity_b"].to_pylist())], dtype=np.int64)
+            ok = pa.array(possible(n_a, n_b, np.minimum(n_a, n_b), far))
+            yield pa.RecordBatch.from_arrays([*(batch[c].filter(ok) for c in ("a", "b", "sig_a", "sig_b")), pa.array(n_a + n_b).filter(ok)], names=["a", "b", "sig_a", "sig_b", "n"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, last, own = Shingles(width), None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch, ok = whole.slice(at, 256), []
+                for a, text_a, text_b in zip(batch["a"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
+                    last, own = a, own if a == last else shingles.of(text_a)
+                    ok.append(alike(own, shingles.of(text_b)))
+                yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    def sliced(pairs: DataFrame, n: int) -> list[DataFrame]:
+        return [pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(n)) == k) for k in range(n)] if n > 1 else [pairs]
+
     def verified(pairs: DataFrame) -> DataFrame:
-        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(classes.select("name", "sig"), "name"), "near-nodes")
-        held = beside(texts.select("sig", "text"), nodes, "sig", "inner", row_bytes=F.lit(24))
-        sets = stored(_shingled(held, width).groupBy("name").agg(F.first("shingles").alias("shingles")), "near-sets")
-        return stored(alike(pairs, sets), "near-links")
+        """Links among ``pairs`` (a, b): what their parities rule out goes first, then texts meet and are compared, some pairs at a time."""
+        of = lambda end: classes.select(F.col("name").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("sig", "n", "parity")))
+        odds = pairs.count() * (whole["parity"] or 0) // max(1, whole["rows"])
+        likely = [stored(some.join(of("a"), "a").join(of("b"), "b").mapInArrow(screen, "a long, b long, sig_a long, sig_b long, n long"), "near-likely") for some in sliced(pairs, -(-odds // (2 * shipped)) or 1)]
+        likely = reduce(DataFrame.union, likely)
+        left = likely.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+        links = []
+        for some in sliced(likely, max(1, -(-(left["n"] or 0) // shipped), -(-left["rows"] * 64 // (24 << 20)))):
+            ends = some.select(F.explode(F.array(*(F.struct(F.col(f"sig_{end}").alias("sig"), "a", "b", F.lit(end).alias("end")) for end in "ab"))).alias("e")).select("e.*")
+            held = beside(texts.select("sig", "text"), ends, "sig", "inner", row_bytes=F.lit(32))
+            both = held.groupBy("a", "b").agg(*(F.first(F.when(F.col("end") == end, F.col("text")), ignorenulls=True).alias(f"text_{end}") for end in "ab"))
+            links.append(stored(both.mapInArrow(compare, "a long, b long"), "near-links"))
+        return reduce(DataFrame.union, links)
 
     linked, roots = None, None
     while True:
         named = classes.select("name", "n", "p", "q")
         named = named.withColumn("root", F.col("name")) if roots is None else named.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-        held = met.join(named, "name")
-        of = held.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        mixed = of.where("roots > 1").select("h", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.col("n").alias("m"))
-        held = stored(held.drop("m").join(mixed, "h"), "near-held")
-        left = held.agg(F.count("*").alias("rows"), F.sum(F.col("pairs") / F.col("m")).alias("pairs")).first()
+        held, rows_left, pairs_left = [part.join(named, "name") for part in met], 0, 0
+        for k, part in enumerate(held):
+            if roots is None:  # all rows of a shingle differ in their roots
+                left = met[k].agg(F.count("*").alias("rows"), F.sum((F.col("m") - 1) / 2).alias("pairs")).first()
+            else:
+                of = part.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+                mixed = stored(of.where("roots > 1").select("h", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.col("n").alias("m")), "near-mixed")
+                left = mixed.agg(F.sum("m").alias("rows"), F.sum("pairs").alias("pairs")).first()
+                held[k] = part.drop("m").join(mixed.drop("pairs"), "h")
+            rows_left, pairs_left = rows_left + (left["rows"] or 0), pairs_left + (left["pairs"] or 0)
         # Rounds of nearest ones come first and end once one links nothing more.
-        every = (left["pairs"] or 0) <= PAIRS_A_ROW * left["rows"] or (linked is not None and not found.limit(1).count())
-        near = candidates(held, every)
+        every = pairs_left <= PAIRS_A_ROW * rows_left or (linked is not None and not found.limit(1).count())
+        near = [candidates(part, every) for part in held]
+        near = near[0] if slices == 1 else reduce(DataFrame.union, [stored(part, "near-candidates") for part in near]).distinct()
         if not every:
             ends = near.select(F.explode(F.array(F.struct("a", "b", "far"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "far"))).alias("e")).select("e.*")
             nearest = ends.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where(F.col("i") <= NEAREST)
@@ -408,12 +488,10 @@ def _near(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]
         roots = components(linked, "near-found").withColumnsRenamed({"node": "name"})
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets (name, shingles) have a Jaccard similarity of at least ``SIMILARITY``."""
-    of = lambda name: sets.select(F.col("name").alias(name), F.col("shingles").alias(f"of_{name}"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least(F.size("of_a"), F.size("of_b")) >= SIMILARITY * F.greatest(F.size("of_a"), F.size("of_b")))
-    return joined.where(both >= SIMILARITY * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles, hashes in order, have a Jaccard similarity of at least ``SIMILARITY``."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
 def digest(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import urlparse
 
 import pytest
 
@@ -183,3 +184,46 @@ def test_rounds_and_blocks_lose_no_link(spark, monkeypatch):
         monkeypatch.setattr(simhash, name, value)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == linked_by_brute_force(rows)
+
+
+def test_written_tables_follow_the_texts(spark, monkeypatch):
+    """Long texts that share passages, but are no near copies, meet without their sets of shingles being written; slices and steps lose no link."""
+    import random
+
+    rng, rows = random.Random(13), []
+    word = lambda: f"w{rng.randrange(1_000_000)}"
+    for i in range(60):
+        shared = [[word() for _ in range(9)] for _ in range(60)]
+        for k in range(2):
+            rows.append((len(rows), " ".join(w for s in shared for w in s + [word() for _ in range(30)])))
+        if i % 6 == 0:
+            rows.append((len(rows), rows[-1][1] + " end"))
+    docs, words = spark.createDataFrame(rows, "doc_id long, text string"), sum(len(t.split()) for _, t in rows)
+    for name, value in (("SLICE", 1000), ("LEAST", 20_000)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    written, stored = {}, simhash.stored
+
+    def measured(df, name):
+        out = stored(df, name)
+        written[name] = written.get(name, 0) + sum(os.path.getsize(urlparse(f).path) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", measured)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(docs).collect()}
+    assert got == {i: i - rows[i][1].endswith(" end") for i, _ in rows}
+    assert written["near-rows"] and sum(written.values()) < 5 * words
+
+
+def test_parities_bound_the_difference():
+    """Bits that differ are never more than the elements of one set alone, also of sets whose parities have unlike ranges."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, own = int(rng.integers(1, 900)), int(rng.integers(0, 300))
+        both = rng.integers(-(1 << 63), 1 << 63, n)
+        a, b = (np.unique(np.append(both, rng.integers(-(1 << 63), 1 << 63, rng.integers(0, own + 1)))) for _ in range(2))
+        apart = len(np.setxor1d(a, b))
+        far = simhash.differing(simhash.parity(a), simhash.parity(b))
+        assert far <= apart and far % 2 == apart % 2
+        assert simhash.differing(simhash.parity(a), simhash.parity(a)) == 0
