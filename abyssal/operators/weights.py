@@ -168,18 +168,16 @@ def objectives(training: Training, candidates: np.ndarray, alpha: float = 0.01)
     return error / total - 1.0
 
 
-def search(training: Training, start: list[float], low: float = 0.0, high: float = 4.0, step: float = 0.5, least: float = 0.02, rounds: int = 40, alpha: float = 0.01) -> tuple[list[float], float]:
+def search(training: Training, start: list[float], low: float = 0.0, high: float = 4.0, step: float = 0.5, least: float = 0.02, alpha: float = 0.01) -> tuple[list[float], float]:
     """Weights within bounds with a small objective, and that objective, by a search that needs no derivatives.
 
     A round scores every weight moved up and down by ``step`` times itself and a half in one scan, then all moves that helped put together, at half, one and two times
-    their length, in another. Where nothing helps, ``step`` halves, to ``least`` at the end. Only ratios of weights matter
+    their length, in another. Where nothing helps, ``step`` halves, and below ``least`` the search ends; no number of rounds ends it before. Only ratios of weights matter
     to the fits, so many weight vectors do equally well.
     """
     best = np.clip(np.array(start, dtype=float), low, high)
     score = float(objectives(training, best[None], alpha)[0])
-    for _ in range(rounds):
-        if step < least:
-            break
+    while step >= least:
         moves = np.concatenate([np.diag(s * step * (best + 0.5)) for s in (1.0, -1.0)])
         tried = np.clip(best + moves, low, high)
         got = objectives(training, tried, alpha)

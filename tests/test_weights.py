@@ -50,3 +50,23 @@ def test_what_cannot_be_fitted(spark, rows):
         weights.prepared(rows, [F.when(F.col("lon") > 0, F.lit(float("inf"))).otherwise(F.col("a"))], ["age"], F.log("rate"), 3)
     with pytest.raises(ValueError, match="two folds"):
         weights.objectives(weights.prepared(rows, [F.col("a")], ["age"], F.log("rate"), 1), np.array([[1.0]]))
+
+
+def test_search_goes_on_until_no_move_helps(spark, monkeypatch):
+    """Neither the search nor its query ends at a number of rounds: along a narrow valley it goes on while single moves help."""
+    from abyssal.plans import catalog
+
+    def valley(training, candidates, alpha=0.01):
+        return 0.01 * (candidates[:, 0] - 3.5) ** 2 + 50 * ((candidates[:, 1:] - candidates[:, :1]) ** 2).sum(axis=1)
+
+    def helped(found):
+        best = np.array(found)
+        moves = np.concatenate([np.diag(s * 0.03125 * (best + 0.5)) for s in (1.0, -1.0)])
+        return float((valley(None, best[None])[0] - valley(None, np.clip(best + moves, 0, 4))).max())
+
+    monkeypatch.setattr(weights, "objectives", valley)
+    found, score = weights.search(None, [0.0] * 2, step=0.04)
+    assert helped(found) <= 1e-7 and score == valley(None, np.array([found]))[0]
+    monkeypatch.setattr(catalog, "_river_training", lambda *_: None)
+    rows = catalog.queries()["river_weight_search"](spark, "").orderBy("river").collect()
+    assert rows[0]["objective"] < rows[0]["objective_before"] and helped([r["weight"] for r in rows]) <= 1e-7
